@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm import exact_dedup, packing, simhash, url_filter
+from meshwork.llm import decontaminate, exact_dedup, packing, simhash, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -26,20 +30,35 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.vocabulary_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
+    "op6_decontamination": op6_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 _RULES = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}', '{r}', 1)" for r, v in url_filter.RULES)
 _JUNK = ", ".join(f"('{n}.{d}', '', 'block', NULL, 0)" for n in url_filter.JUNK_NAMES for d in url_filter.EXAMPLE_DOMAINS)
 
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
+_MASKS = ", ".join(f"({k}, {len(m)}, [{', '.join(str(i) for i, c in enumerate(m) if c == '1')}])" for k, m in enumerate(decontaminate.MASKS))
+_SHORT = ", ".join(f"({n + 100}, {n}, [{', '.join(map(str, range(n)))}])" for n in range(decontaminate.MIN_TOKENS, len(decontaminate.MASKS[0])))
+
 SQL: dict[str, str] = {
     "op2_url_filter": rf"""
 WITH listed(h, p, v, r, k) AS (VALUES {_RULES}, {_JUNK}),
@@ -65,5 +84,29 @@ k AS (
   FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+""",
+    "op5_warc": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, sha256(coalesce(html, '')) AS same FROM pages),
+r AS (SELECT *, payload_bytes >= 1000 AND max(page_id) OVER (PARTITION BY same) <> page_id AS again, max(page_id) OVER (PARTITION BY same) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+""",
+    "op6_decontamination": rf"""
+WITH m(mask, span, offs) AS (VALUES {_MASKS}, {_SHORT}),
+d AS (SELECT row_number() OVER () AS n, doc_id, {_TOKENS} AS t FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT row_number() OVER () AS k, item_id, {_TOKENS} AS t FROM benchmark WHERE item_id IS NOT NULL),
+bm AS (SELECT k, item_id, t, mask, span, offs FROM b, m WHERE len(t) >= {decontaminate.MIN_TOKENS} AND (CASE WHEN len(t) >= {len(decontaminate.MASKS[0])} THEN mask < 100 ELSE span = len(t) END)),
+used AS (SELECT DISTINCT mask, span, offs FROM bm),
+bs AS (SELECT k, item_id, t, mask, i, list_transform(offs, lambda o: t[i + o + 1]) AS key FROM (SELECT *, unnest(range(0, len(t) - span + 1)) AS i FROM bm)),
+ds AS (SELECT n, doc_id, mask, i, list_transform(offs, lambda o: t[i + o + 1]) AS key FROM (SELECT n, doc_id, t, mask, offs, unnest(range(0, len(t) - span + 1)) AS i FROM d, used WHERE len(t) >= span)),
+hit AS (SELECT DISTINCT ds.n, bs.k, ds.i - bs.i AS diagonal FROM ds JOIN bs USING (mask, key)),
+laid AS (
+  SELECT d.doc_id, b.item_id, diagonal, least({decontaminate.WINDOW}, len(b.t)) AS w,
+    list_transform(range(0, len(b.t)), lambda x: CASE WHEN diagonal + x >= 0 AND diagonal + x < len(d.t) AND d.t[diagonal + x + 1] = b.t[x + 1] THEN 1 ELSE 0 END) AS same
+  FROM hit JOIN d USING (n) JOIN b USING (k)
+),
+win AS (SELECT doc_id, item_id, w, diagonal + s AS doc_from, list_sum(same[s + 1 : s + w]) AS matches FROM (SELECT *, unnest(range(0, len(same) - w + 1)) AS s FROM laid))
+SELECT doc_id, item_id, max(matches)::INT AS matches, min(doc_from)::INT AS doc_from FROM (
+  SELECT *, max(matches) OVER (PARTITION BY doc_id, item_id) AS top FROM win WHERE matches >= ceil(w * {decontaminate.SHARE})
+) WHERE matches = top GROUP BY doc_id, item_id
 """,
 }
