@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm import decontaminate, exact_dedup, packing, simhash, toxicity, url_filter, warc
+from meshwork.llm import decontaminate, exact_dedup, line_dedup, packing, simhash, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.vocabulary_path())
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
@@ -108,5 +114,23 @@ win AS (SELECT doc_id, item_id, w, diagonal + s AS doc_from, list_sum(same[s + 1
 SELECT doc_id, item_id, max(matches)::INT AS matches, min(doc_from)::INT AS doc_from FROM (
   SELECT *, max(matches) OVER (PARTITION BY doc_id, item_id) AS top FROM win WHERE matches >= ceil(w * {decontaminate.SHARE})
 ) WHERE matches = top GROUP BY doc_id, item_id
+""",
+    "op7_line_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT n, doc, i, trim(ls[i + 1], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d)),
+b AS (SELECT n, doc, i, line, row_number() OVER (PARTITION BY n ORDER BY i) - 1 AS j FROM l WHERE line <> ''),
+w AS (
+  SELECT n, doc, j, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS key, lead(line, {line_dedup.RUN - 1}) OVER w AS last
+  FROM b WINDOW w AS (PARTITION BY n ORDER BY j)
+),
+f AS (SELECT n, j, {{'d': doc, 'j': j}} > min({{'d': doc, 'j': j}}) OVER (PARTITION BY key) AS again FROM w WHERE last IS NOT NULL),
+r AS (SELECT n, j, j - lag(j) OVER (PARTITION BY n ORDER BY j) AS gap FROM f WHERE again),
+g AS (SELECT DISTINCT n, j + k AS j FROM r, range(0, {line_dedup.RUN}) AS t(k)),
+gi AS (SELECT b.n, b.i FROM g JOIN b USING (n, j)),
+kept AS (SELECT l0.n, count(gi.i) AS n_removed, string_agg(CASE WHEN gi.i IS NULL THEN l0.line END, chr(10) ORDER BY l0.i) AS body
+  FROM (SELECT n, i, ls[i + 1] AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d)) l0 LEFT JOIN gi USING (n, i) GROUP BY l0.n),
+runs AS (SELECT n, count(*) FILTER (WHERE gap IS NULL OR gap > {line_dedup.RUN}) AS n_runs FROM r GROUP BY n)
+SELECT doc_id, len(ls)::INT AS n_lines, n_removed::INT AS n_removed, coalesce(n_runs, 0)::INT AS n_runs, sha256(coalesce(body, '')) AS kept_sha256
+FROM d JOIN kept USING (n) LEFT JOIN runs USING (n)
 """,
 }
