@@ -30,6 +30,8 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.metricsEnabled": "false",
 }
@@ -118,7 +120,7 @@ def assign(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_p
     arrivals(docs, digest).write.parquet(log_path)
     log = spark.read.parquet(log_path)
     state = stream_state(log, log_path, files_per_batch)
-    joined = log.join(sized(state, row_bytes=160), "digest")
+    joined = log.join(state, "digest")
     hits = stored(joined.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), "dedup-hits")
     out = joined.select("doc_id", "digest", "keep_id", "group_size", "n_points")
     if not hits.isEmpty():
