@@ -16,6 +16,8 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,54 +32,78 @@ from meshwork.llm.common import shared_dir, stored
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
-#: Chunks between white space whose ids a task remembers; beyond it, it forgets all and goes on.
-REMEMBERED = 400_000
-#: Chunks handed to the tokenizer in one call.
-CALL = 256
+#: Chunks, and words of chunks, whose ids a Python worker remembers.
+REMEMBERED = 250_000
 #: Parts in which a run of equal lengths is ranked.
 SALTS = 32
 
 
+def _class(kind: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(0x21, 0x250)) if unicodedata.category(c)[0] == kind)
+
+
+#: Chunks whose words this module splits itself: Latin text without white space, controls, or a letter that changes its length in lower case.
+PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+#: Fixed value: the vocabulary's own word pattern, over those characters.
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
+
+
+def byte_letters() -> list[str]:
+    """The printable character that a byte-level vocabulary writes for each byte: itself, or the next free one from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(free)) for b in range(256)]
+
+
 class ChunkIds:
     """Ids of a text as little-endian unsigned 32-bit bytes, by its chunks between ASCII white space.
 
     This vocabulary drops white space before it splits words, so that a text's
-    ids are those of its chunks put together.
+    ids are those of its chunks put together. The first REMEMBERED chunks and words
+    are remembered, which are the frequent ones.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = "<|startoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks in few calls, a special token set between each two of them."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        plain = [x for x in chunks if b"<|" not in x]
-        odd = [x for x in chunks if b"<|" in x]
-        parts = [plain[k : k + CALL] for k in range(0, len(plain), CALL)]
-        texts = [f" {self.mark} ".join(x.decode("utf-8", "replace") for x in part) for part in parts]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            cuts = np.nonzero(ids == self.mark_id)[0]
-            for x, a, b in zip(part, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self.known[x] = ids[a:b].tobytes()
-        for x in odd:
-            self.known[x] = np.array(self.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+        if len(self.words) < REMEMBERED:
+            self.words[word] = ids
+        return ids
+
+    def chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            known = self.words
+            ids = b"".join([known.get(w) or self.word(w) for w in WORD.findall(text.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.chunks) < REMEMBERED and len(chunk) < 64:
+            self.chunks[chunk] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        known = self.chunks
         for text in texts:
-            chunks = text.split()
-            new = list(set(chunks).difference(self.known))
-            if new:
-                self.learn(new)
-                if not self.known.keys() >= set(chunks):  # the memory was cleared on the way
-                    self.learn(list(set(chunks).difference(self.known)))
-            yield b"".join(map(self.known.__getitem__, chunks))
+            yield b"".join([known.get(x) or self.chunk(x) for x in text.split()])
+
+
+#: One encoder for each vocabulary in a Python worker, which serves many tasks.
+_ENCODERS: dict[str, ChunkIds] = {}
+
+
+def encoder(path: str) -> ChunkIds:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkIds(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -88,11 +114,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     step = capacity * 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkIds(vocabulary)
+        encode = encoder(vocabulary).encode
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
             texts = [x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
