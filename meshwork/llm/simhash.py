@@ -15,6 +15,7 @@ for component_id; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,7 +33,7 @@ SEED = 42
 CHUNK_WORDS = 50_000
 BLOCKS = 5
 #: Members compared with each other at once in memory, and most members of a bucket in one task.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 TILE_ROWS = 16_384
 
 
@@ -62,37 +63,63 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", fp("text").alias("fp"))
 
 
+def planes_of(values: np.ndarray) -> np.ndarray:
+    """Bit planes of (n, words) fingerprints: row b holds bit b of all of them, 64 a word; n is a multiple of 64."""
+    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
+
+
+def carry_save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry bits of three bits each."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
 def within(queries: np.ndarray, members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of queries and members (unsigned 64-bit) that differ in at most radius bits, radius up to 3."""
-    m = len(members)
-    padded = np.zeros(-(-m // 64) * 64, np.uint64)
+    """Index pairs of queries and members, (n, words) unsigned 64-bit, that differ in at most radius bits.
+
+    Seven planes of differences at a time are reduced by carry-save adders to three
+    and added to vertical counters that start so far below their range that they
+    overflow beyond the radius; a query is abandoned once all members overflowed.
+    """
+    m, ones = len(members), np.uint64(0xFFFFFFFFFFFFFFFF)
+    padded = np.zeros((-(-m // 64) * 64, members.shape[1]), np.uint64)
     padded[:m] = members
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)  # (64, words): one bit of 64 members a word
-    full = np.full(planes.shape[1], np.uint64(0xFFFFFFFFFFFFFFFF))
-    spare = np.zeros(padded.size, np.uint8)
-    spare[m:] = 1
-    spare = np.packbits(spare, bitorder="little").view(np.uint64)
+    planes = planes_of(padded)
+    asked = np.where(np.unpackbits(np.ascontiguousarray(queries).view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little"), ones, np.uint64(0)).T
+    size = max(1, radius.bit_length())
+    spare = np.packbits(np.arange(len(padded)) >= m, bitorder="little").view(np.uint64)
     rows = np.arange(len(queries))
-    one = np.zeros((len(queries), planes.shape[1]), np.uint64)
-    two, over = one.copy(), np.broadcast_to(spare, one.shape).copy()
-    for b in range(64):
-        q = np.where((queries[rows] >> np.uint64(b)) & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-        diff = planes[b] ^ q[:, None]
-        carry = one & diff
-        one ^= diff
-        diff = two & carry
-        two ^= carry
-        over |= diff  # a fourth difference
-        if b % 8 == 7 and b >= 15:
-            alive = (over != full).any(axis=1)
+    shape = (len(queries), planes.shape[1])
+    first = (1 << size) - 1 - radius
+    counter = [np.full(shape, ones if first >> k & 1 else np.uint64(0)) for k in range(size)]
+    over = np.broadcast_to(spare, shape).copy()
+    for at in range(0, len(planes), 7):
+        d = [planes[b] ^ asked[b, rows][:, None] for b in range(at, min(at + 7, len(planes)))]
+        d += [np.zeros_like(over)] * (7 - len(d))
+        s1, c1 = carry_save(*d[:3])
+        s2, c2 = carry_save(*d[3:6])
+        s, c3 = carry_save(s1, s2, d[6])
+        added = (s, *carry_save(c1, c2, c3))
+        carry = None
+        for k in range(max(size, 3)):
+            x = added[k] if k < 3 else None
+            if k >= size:  # this weight alone is beyond the radius
+                over |= x
+            elif x is None:
+                counter[k], carry = counter[k] ^ carry, counter[k] & carry
+            elif carry is None:
+                counter[k], carry = counter[k] ^ x, counter[k] & x
+            else:
+                counter[k], carry = carry_save(counter[k], x, carry)
+            if k == size - 1:
+                over |= carry
+        if at >= 14:
+            alive = (over != ones).any(axis=1)
             if not alive.all():
-                rows, one, two, over = rows[alive], one[alive], two[alive], over[alive]
+                rows, over, counter = rows[alive], over[alive], [c[alive] for c in counter]
                 if not len(rows):
                     break
-    if len(rows) and radius < 3:
-        over |= two if radius < 2 else two & one
-        over |= one if radius < 1 else np.uint64(0)
     ok = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little")[:, :m] if len(rows) else np.zeros((0, m), np.uint8)
     r, c = np.nonzero(ok)
     return rows[r], c
@@ -134,25 +161,29 @@ def links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links within buckets that arrive one after the other; small buckets share a block, which adds only true links."""
-    held: list[np.ndarray] = []
+    """Links (a, b) of nodes within buckets that arrive one after the other; columns bucket, node and the words.
+
+    Small buckets share a block, which adds only true links.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     n, last = 0, None
 
     def out() -> pa.RecordBatch:
-        values = np.unique(np.concatenate(held)).view(np.uint64)
-        x, y = links(values, radius)
-        return pa.RecordBatch.from_arrays([pa.array(values[x].view(np.int64)), pa.array(values[y].view(np.int64))], ["a", "b"])
+        nodes, first = np.unique(np.concatenate([x for x, _ in held]), return_index=True)
+        x, y = links(np.concatenate([w for _, w in held])[first], radius)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(fp)]
+        bucket, node, *words = (c.to_numpy() for c in batch.columns)
+        table = np.column_stack(words).view(np.uint64)
+        cuts = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(node)]
         for x, y in zip(cuts, cuts[1:], strict=False):
             if n >= BLOCK_ROWS and bucket[x] != last:
                 yield out()
                 held, n = [], 0
-            held.append(fp[x:y])
+            held.append((node[x:y], table[x:y]))
             n, last = n + y - x, bucket[x]
     if held:
         yield out()
@@ -169,25 +200,26 @@ def bucket_keys(fp: F.Column, radius: int = 3, blocks: int = BLOCKS) -> list[F.C
     return keys
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Star edges (a, b) that connect all distinct fingerprints which differ in at most radius bits."""
-    keyed = fps.select("fp").distinct().select("fp", F.posexplode(F.array(*bucket_keys(F.col("fp"), radius))).alias("part", "key"))
+def bucket_links(nodes: DataFrame, keys: list[F.Column], words: list[str], radius: int) -> DataFrame:
+    """Star edges (a, b) that connect the nodes which share a key and differ in at most radius bits of their words."""
+    keyed = nodes.select("node", F.posexplode(F.array(*keys)).alias("part", "key"))
     shared = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1").select("part", "key", F.ceil(F.col("n") / TILE_ROWS).alias("chunks"))
     members = keyed.join(shared, ["part", "key"])
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     # A bucket beyond TILE_ROWS is dealt to one task for each pair of its chunks.
-    tiles = members.select("part", "key", "fp", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("d"))
-    named = tiles.select(F.xxhash64("part", "key", F.least("c", "d"), F.greatest("c", "d")).alias("bucket"), "fp")
+    tiles = members.select("part", "key", "node", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("d"))
+    named = tiles.select(F.xxhash64("part", "key", F.least("c", "d"), F.greatest("c", "d")).alias("bucket"), "node")
+    named = named.join(sized(nodes.select("node", *(F.col(w).alias(f"_{w}") for w in words)), row_bytes=8 + 8 * len(words)), "node").select("bucket", "node", *(f"_{w}" for w in words))
     return named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: compare(it, radius), "a long, b long")
 
 
 def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, fp and component_id of every row; all fingerprints within the radius are linked."""
     shared_dir(docs.sparkSession)
     fps = stored(fingerprints(docs, shingle), "simhash")
-    labels = min_labels(fingerprint_links(fps, radius))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    grouped = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp"))
+    labels = min_labels(bucket_links(nodes, bucket_keys(F.col("fp"), radius), ["fp"], radius))
+    grouped = nodes.join(labels, "node", "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
     first = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     by_fp = stored(grouped.join(first, "label").select("fp", "component_id"), "components")
     return fps.join(sized(by_fp), "fp").select("doc_id", "fp", "component_id")
@@ -197,7 +229,74 @@ def hex_digits(fp: F.Column) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def deduplicate(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id."""
-    found = components(docs, radius, shingle)
-    return without_ids(docs, found.where("doc_id <> component_id"))
+#: Words of a wide fingerprint, and odd multipliers that derive each of them from a shingle's hash (fixed values).
+WIDE = 4
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+#: Chance that a pair just similar enough meets in some bucket, and mean members of a bucket.
+MEET, BUCKET_ROWS = 0.98, 0.25
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """WIDE fingerprint words of one whole text, from the distinct shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n, digest, join = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest, b" ".join
+    ones, total = np.zeros(64 * WIDE, np.int64), 0
+    seen: set[int] = set()
+    for at in range(0, n if words else 0, CHUNK_WORDS):
+        part = words[at : min(at + CHUNK_WORDS, n) + shingle - 1]
+        new = {digest(join(x), SEED) for x in zip(*(part[k:] for k in range(shingle)), strict=False)} if len(part) >= shingle else {digest(join(part), SEED)}
+        new -= seen
+        if n > CHUNK_WORDS:
+            seen |= new
+        h = np.fromiter(new, np.uint64, len(new))
+        for k, m in enumerate(MULTIPLIERS):
+            x = (h ^ (h >> np.uint64(31))) * np.uint64(m)
+            x ^= x >> np.uint64(29)
+            ones[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(h)
+    return np.packbits(ones * 2 > total, bitorder="little").tobytes()
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits expected of two sets of equal size and this Jaccard similarity."""
+    return int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id of every row; documents link whose estimated similarity is high enough.
+
+    The similarity of two documents' shingle sets is estimated by the differing bits
+    of their wide fingerprints, 256 of them. Buckets share sampled bits: as many bits
+    as leave BUCKET_ROWS members a bucket on average, and as many samples as let a pair
+    at the threshold meet with a chance of MEET; more similar pairs meet more surely.
+    """
+    shared_dir(docs.sparkSession)
+    names = [f"w{k}" for k in range(WIDE)]
+
+    @F.pandas_udf(", ".join(f"{x} long" for x in names))
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        table = np.frombuffer(b"".join(wide_fingerprint(x, shingle) for x in texts), "<i8").reshape(-1, WIDE)
+        return pd.DataFrame(table, columns=names)
+
+    fps = stored(docs.select("doc_id", prints("text").alias("p")).select("doc_id", "p.*"), "wide-simhash")
+    nodes = stored(fps.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "wide-nodes")
+    n, radius = max(2, nodes.count()), wide_radius(similarity)
+    bits = min(40, max(12, math.ceil(math.log2(n / BUCKET_ROWS))))
+    meet = (1 - radius / (64 * WIDE)) ** bits
+    samples = math.ceil(math.log(1 - MEET) / math.log(1 - meet))
+    rng = np.random.default_rng(bits)
+    keys = []
+    for _ in range(samples):
+        masks = [0] * WIDE
+        for b in rng.choice(64 * WIDE, bits, replace=False):
+            masks[b // 64] |= 1 << int(b % 64)
+        keys.append(F.xxhash64(*(F.col(x).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for x, m in zip(names, masks, strict=True))))
+    labels = min_labels(bucket_links(nodes, keys, names, radius))
+    label = nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id"))
+    return fps.join(sized(stored(label, "wide-components"), n, 64), names, "left").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of docs that stay: of each group of near copies the one with the smallest doc_id."""
+    found = similar_components(docs, similarity, shingle)
+    return without_ids(docs, stored(found.where("doc_id <> component_id").select("doc_id"), "near-copies"))
