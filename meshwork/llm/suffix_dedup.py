@@ -27,11 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meshwork.llm.common import shared_dir, stored
 
@@ -41,6 +41,8 @@ CONTEXT = BACK + SPAN
 PAD = 2 * CONTEXT
 #: Bytes of text hashed at a time, and characters whose suffixes are sorted at a time.
 BUFFER, SORT_CHARS = 1 << 20, 1 << 18
+#: Anchors that a task settles and deals at a time.
+HELD = 600_000
 #: Parts that anchors are dealt to by hash.
 PARTS = 4096
 HOT_CONTEXTS = 20_000
@@ -138,14 +140,14 @@ def packed(parts: np.ndarray, blobs: list[bytes], covered: np.ndarray) -> pa.Rec
     n, m = len(blobs), len(columns[0])
     none = lambda k, t: pa.nulls(k, t)
     return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([pa.array(parts, pa.int32()), none(m, pa.int32())]), pa.concat_arrays([pa.array(blobs, pa.binary()), none(m, pa.binary())])]
+        [pa.concat_arrays([pa.array(parts, pa.int32()), pa.array(columns[0].to_numpy() % PARTS, pa.int32())]), pa.concat_arrays([pa.array(blobs, pa.binary()), none(m, pa.binary())])]
         + [pa.concat_arrays([none(n, c.type), c]) for c in columns],
         [x.split()[0] for x in PACKED.split(", ")],
     )
 
 
 def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs of anchors by part, after the rows of this task that are settled already."""
+    """Blobs of anchors by part, and the rows of this task that are settled already, spread over the parts."""
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
         first, covered = settle(np.concatenate(held))
@@ -175,7 +177,7 @@ def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some, size = [], 0
         held.append(anchors(some))
         n += len(held[-1])
-        if n > 2_000_000:
+        if n > HELD:
             yield out(held)
             held, n = [], 0
     if n:
@@ -411,38 +413,48 @@ def intervals(doc: np.ndarray, body: np.ndarray, start: np.ndarray) -> pa.Record
 
 def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intervals covered by smaller documents, of contexts that arrive anchor by anchor."""
-    rows: list[tuple[int, int, int, bytes]] = []  # doc, body, start, stretch
+    rows: list[tuple[int, int, int, bytes]] = []  # doc, body, start, stretch: of equal stretches the smallest doc's
+    whole: list[tuple[int, int, int, int]] = []  # doc, body, start, stop of the others, which lie in that one
     size = 0
     group: list[tuple] = []
     last = None
 
     def close() -> None:
         nonlocal size
+        same: dict[bytes, list[tuple[int, int, int]]] = {}
         for (_, doc, body, at, _, context), (a, b) in zip(group, trimmed([x[4] for x in group], [x[5] for x in group]), strict=True):
             if b:
-                rows.append((doc, body, at + a, context[a:b]))
-                size += b - a + 1
+                same.setdefault(context[a:b], []).append((doc, body, at + a))
+        for stretch, places in same.items():
+            least = min(places)[0]
+            whole.extend((doc, body, at, at + len(stretch)) for doc, body, at in places if doc > least)
+            if len(same) > 1:
+                rows.extend((doc, body, at, stretch) for doc, body, at in places if doc == least)
+                size += sum(len(stretch) + 1 for doc, _, _ in places if doc == least)
         group.clear()
 
-    def out() -> pa.RecordBatch:
-        doc, body, at = (np.array([x[k] for x in rows], np.int64) for k in range(3))
-        row, start = covered_stretches([x[3] for x in rows], doc)
+    def out() -> Iterator[pa.RecordBatch]:
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in whole], pa.int64()) for k in range(4)], ["doc", "body", "start", "stop"])
+        if rows:
+            doc, body, at = (np.array([x[k] for x in rows], np.int64) for k in range(3))
+            row, start = covered_stretches([x[3] for x in rows], doc)
+            yield intervals(doc[row], body[row], at[row] + start)
+        whole.clear()
         rows.clear()
-        return intervals(doc[row], body[row], at[row] + start)
 
     for batch in batches:
         for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if x[0] != last and group:
                 close()
-                if size > SORT_CHARS:
-                    yield out()
+                if size > SORT_CHARS or len(whole) > 200_000:
+                    yield from out()
                     size = 0
             last = x[0]
             group.append(x)
     if group:
         close()
-    if rows:
-        yield out()
+    yield from out()
 
 
 def hot_intervals(rows: DataFrame) -> DataFrame:
@@ -478,7 +490,7 @@ def split_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def blobs() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ready = pc.is_null(batch.column(0))
+            ready = pc.is_null(batch.column(1))
             early = batch.filter(ready)
             if early.num_rows:
                 held.append(pa.RecordBatch.from_arrays([early.column(2), early.column(3), early.column(4), pa.nulls(early.num_rows, pa.binary())], ["doc", "body", "spots", "wanted"]))
@@ -494,16 +506,15 @@ def split_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held
 
 
-def kept_bytes(text: bytes, spots: list[bytes], spans: list[dict]) -> tuple[bytes, int, int]:
+def kept_bytes(text: bytes, spots: list[bytes], spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left of a text, the number of bytes removed and of maximal removed runs."""
-    edge = np.zeros(len(text) + 1, np.int32)
-    for x in spots:
-        at = np.frombuffer(x, "<u4").astype(np.int64)
-        np.add.at(edge, np.maximum(at - BACK, 0), 1)
-        np.add.at(edge, np.minimum(at + SPAN, len(text)), -1)
-    for x in spans:
-        edge[x["start"]] += 1
-        edge[x["stop"]] -= 1
+    edge = np.zeros(len(text) + 1, np.int64)
+    if spots:
+        at = np.frombuffer(b"".join(spots), "<u4").astype(np.int64)
+        edge += np.bincount(np.maximum(at - BACK, 0), minlength=len(edge)) - np.bincount(np.minimum(at + SPAN, len(text)), minlength=len(edge))
+    for start, stop in spans:
+        edge[start] += 1
+        edge[stop] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     runs = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
@@ -515,12 +526,17 @@ def remove(docs: DataFrame) -> DataFrame:
     found = stored(covered(docs.select("doc_id", "text")), "covered").withColumnsRenamed({"doc": "_doc", "body": "_body", "spots": "_spots", "spans": "_spans"})
     joined = keyed(docs).join(found, ["_doc", "_body"], "left")
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut(text: pd.Series, spots: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, a, b in zip(text, spots, spans, strict=True):
-            kept, gone, runs = (t, 0, 0) if a is None else kept_bytes(t, list(a), list(b))
-            rows.append((len(t), gone, runs, bytes(kept)))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+    columns = docs.columns
+    names = ["n_bytes", "n_removed", "n_spans", "kept"]
 
-    return joined.withColumn("_out", cut("_bytes", "_spots", "_spans")).select(*docs.columns, "_out.*")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t, a, b in zip(*(batch.column(n).to_pylist() for n in ("_bytes", "_spots", "_spans")), strict=True):
+                kept, gone, runs = kept_bytes(t, a, [(x["start"], x["stop"]) for x in b]) if a is not None else (t, 0, 0)
+                rows.append((len(t), gone, runs, kept))
+            made = [pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, *names])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField(names[3], T.BinaryType())])
+    return joined.mapInArrow(cut, schema)
