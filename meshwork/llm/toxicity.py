@@ -26,9 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import shared_dir, sized
+from meshwork.llm.common import shared_dir, sized, stored
 
-#: Most labelled rows of each kind that the classifier is fitted on (a sample by hash), and most terms of the lexicon.
+#: Labelled rows of each kind that the lexicon and the regression are fitted on (a sample by hash), and most terms of the lexicon.
 FIT_ROWS = 20_000
 MAX_TERMS = 5_000
 #: A term occurs in so many toxic training rows at least, and in so many times more of their share than of the others'.
@@ -169,9 +169,15 @@ def folded(text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and toxic of the rows to learn from: those whose crc32(doc_id as text) mod 5 is not 0."""
+    """doc_id, text and toxic of rows to learn from: those whose crc32(doc_id as text) mod 5 is not 0.
+
+    Of each kind about FIT_ROWS are taken, by a hash of the id.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    return docs.select("doc_id", "text").join(sized(known, row_bytes=24), "doc_id")
+    counts = {bool(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, FIT_ROWS / counts.get(True, 1))).otherwise(min(1.0, FIT_ROWS / counts.get(False, 1)))
+    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
+    return docs.select("doc_id", "text").join(sized(chosen, row_bytes=24), "doc_id")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -180,14 +186,16 @@ def held_out(doc_id: Column) -> Column:
 
 def learn_terms(rows: DataFrame, positives: int, negatives: int) -> tuple[list[str], list[str]]:
     """Words and stems of the lexicon: of the terms that tell toxic rows, the shortest that explain the others."""
-    word = F.explode(F.array_distinct(F.split(folded(F.col("text")), r"[^\p{L}]+"))).alias("w")
-    words = rows.select("toxic", "doc_id", word).where(F.char_length("w") >= 3)
-    stems = [F.when(F.char_length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in STEMS]
-    terms = words.select("toxic", "doc_id", F.explode(F.array_distinct(F.array_compact(F.array(F.col("w"), *stems)))).alias("term"))
-    whole = terms.where("NOT endswith(term, '*')").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    begun = terms.where("endswith(term, '*')").distinct().groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    words = F.filter(F.array_distinct(F.split(folded(F.col("text")), r"[^\p{L}]+")), lambda w: F.char_length(w) >= 3)
+
+    def begun(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.char_length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    stems = [begun(n) for n in STEMS]
+    terms = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("term"))
+    counted = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     lift = ((F.col("a") + 0.5) / (positives + 1)) / ((F.col("b") + 0.5) / (negatives + 1))
-    strong = whole.union(begun).where((F.col("a") >= MIN_ROWS) & (lift >= MIN_LIFT))
+    strong = counted.where((F.col("a") >= MIN_ROWS) & (lift >= MIN_LIFT))
     top = [(r["term"], r["a"]) for r in strong.orderBy(F.desc("a"), "term").limit(MAX_TERMS).collect()]  # the bound of the lexicon
     rows_of = dict(top)
     stems_kept: list[str] = []
@@ -202,9 +210,9 @@ def learn_terms(rows: DataFrame, positives: int, negatives: int) -> tuple[list[s
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn the lexicon from all training rows and fit the regression on at most FIT_ROWS of each kind."""
+    """Learn the lexicon and fit the regression on the training rows."""
     shared_dir(docs.sparkSession)
-    rows = training_rows(docs, labels)
+    rows = stored(training_rows(docs, labels), "toxicity-sample")
     counts = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     positives, negatives = counts.get(True, 0), counts.get(False, 0)
     if not positives or not negatives:
@@ -212,8 +220,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(weights=[0.0] * len(FEATURES) + [float(np.log((share + 1e-6) / (1 - share)))], mean=[0.0] * len(FEATURES))
     words, stems = learn_terms(rows, positives, negatives)
     model = Model(words, stems)
-    keep = F.when(F.col("toxic") == 1, min(1.0, FIT_ROWS / positives)).otherwise(min(1.0, FIT_ROWS / negatives))
-    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) < keep * 1_000_000)
     columns = ", ".join(f"f{k} double" for k in range(len(FEATURES)))
 
     def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             near = [sorted({w for w in TOKEN.findall((t or "").lower()) if scorer.automaton.match(w) == 1}) if f[0] else [] for t, f in zip(x["text"], got, strict=True)]
             yield pd.DataFrame(got, columns=[f"f{k}" for k in range(len(FEATURES))]).assign(toxic=x["toxic"].to_numpy(), near=near)
 
-    table = sample.select("text", "toxic").mapInPandas(featured, f"{columns}, toxic int, near array<string>").toPandas()  # at most 2 x FIT_ROWS rows in expectation
+    table = rows.select("text", "toxic").mapInPandas(featured, f"{columns}, toxic int, near array<string>").toPandas()  # at most 2 x FIT_ROWS rows in expectation
     # Words one edit away from a term that mark no toxic rows are themselves, not misspellings.
     seen: dict[str, list[int]] = {}
     for near, toxic in zip(table["near"], table["toxic"], strict=True):
