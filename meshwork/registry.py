@@ -1,6 +1,8 @@
-"""Registered queries over the reference's own operators, with the SQL that states each."""
+"""Registered queries over the graph operators, with the SQL that states each."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from meshwork.plans import graph_queries, statistics_queries
+
+QUERIES: dict = {**graph_queries.QUERIES, **statistics_queries.QUERIES}
+SQL: dict[str, str] = {**graph_queries.SQL, **statistics_queries.SQL}
