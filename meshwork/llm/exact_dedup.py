@@ -8,8 +8,9 @@ an entry of more than one row, and compared byte for byte with the entry's row.
 
 Defined results: a null text counts as empty; ties of length go to the smallest
 doc_id, a null doc_id after all others; a repeated row (same doc_id and same
-normalised text) counts in its group, and one of its rows is kept; an empty table
-gives no rows; columns other than doc_id and text are not read.
+normalised text) counts in its group, and one of its rows is kept; `deduplicate`
+keeps rows without a doc_id; an empty table gives no rows; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -117,8 +118,9 @@ def assign(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_p
     shared_dir(spark)
     docs = docs.select("doc_id", "text")
     log_path = scratch_path(spark, "dedup-arrivals")
-    arrivals(docs, digest).write.parquet(log_path)
-    log = spark.read.parquet(log_path)
+    arrived = arrivals(docs, digest)
+    arrived.write.parquet(log_path)
+    log = spark.read.schema(arrived.schema).parquet(log_path)
     state = stream_state(log, log_path, files_per_batch)
     joined = log.join(state, "digest")
     hits = stored(joined.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), "dedup-hits")

@@ -9,8 +9,8 @@ edit, or neither. Each hit is weighed by the words around it: quotation marks,
 speech verbs and lexicon-free second-person address separate a quoted term from
 abuse. A text is scored as a whole; labels, language, source and id are no inputs.
 
-Defined results: a null or empty text has no hit and gets the score of texts
-without one; repeated rows score alike; without labels of both kinds the lexicon
+Defined results: a null or empty text has no hit, and a text without a hit scores
+at most 0.49; repeated rows score alike; without labels of both kinds the lexicon
 is empty and every text scores the share of toxic labels, at most 0.49; an empty
 table gives no rows; further columns are kept by `reject` and not read.
 """
@@ -43,6 +43,8 @@ SPEECH = frozenset("said says wrote writes quote quoted quotes called calls name
 QUOTES = "\"“”„«»‹›"
 TOKEN = re.compile(rf"[^\W\d_]+|[{QUOTES}]")
 DEAD = -1
+#: Highest score of a text without a hit.
+NO_HIT = 0.49
 
 
 class TrieAutomaton:
@@ -216,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = {bool(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     positives, negatives = counts.get(True, 0), counts.get(False, 0)
     if not positives or not negatives:
-        share = min(0.49, positives / max(1, positives + negatives))
+        share = min(NO_HIT, positives / max(1, positives + negatives))
         return Model(weights=[0.0] * len(FEATURES) + [float(np.log((share + 1e-6) / (1 - share)))], mean=[0.0] * len(FEATURES))
     words, stems = learn_terms(rows, positives, negatives)
     model = Model(words, stems)
@@ -266,7 +268,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
         w, mean = np.array(model.weights), np.array(model.mean)
         for x in texts:
             f = np.array([scorer.features(t) for t in x], float).reshape(-1, len(FEATURES))
-            yield pd.Series(1 / (1 + np.exp(-np.clip((f - mean) @ w[:-1] + w[-1], -30, 30))))
+            p = 1 / (1 + np.exp(-np.clip((f - mean) @ w[:-1] + w[-1], -30, 30)))
+            yield pd.Series(np.where(f[:, 0] > 0, p, np.minimum(p, NO_HIT)))
 
     return scored(docs[text])
 
