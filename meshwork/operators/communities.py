@@ -55,7 +55,7 @@ def louvain(graph: Graph, rounds: int = 20, levels: int = 3) -> DataFrame:
     for _ in range(levels):
         degree = checkpointed(step.groupBy(F.col("u").alias("id")).agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")))
         member = checkpointed(degree.select("id", F.col("id").alias("community")))
-        moved_any = False
+        moved_any, still = False, 0
         for r in range(rounds):
             total = member.join(degree, "id").groupBy("community").agg(F.sum("k").alias("tot"))
             links = step.where("u <> v").join(member.withColumnRenamed("id", "v"), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
@@ -71,7 +71,8 @@ def louvain(graph: Graph, rounds: int = 20, levels: int = 3) -> DataFrame:
             changed = not nxt.where("moved").isEmpty()
             member = nxt.select("id", "community")
             moved_any |= changed
-            if not changed and r % 2:
+            still = 0 if changed else still + 1
+            if still == 2:  # neither half moves
                 break
         if not moved_any:
             break

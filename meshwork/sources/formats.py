@@ -42,7 +42,7 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("ls"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("ls"))
     return whole.select("file", F.posexplode("ls").alias("n", "line")).select("file", "n", F.trim("line").alias("line")).where("line <> ''")
 
 
@@ -79,7 +79,7 @@ def ucinet(spark: SparkSession, path: str) -> DataFrame:
 
 def gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices (id, label) and edges (src, dst, weight) of flat node and edge blocks."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     block = lambda kind: text.select(F.explode(F.regexp_extract_all("value", F.lit(rf"\b{kind}\s*\[([^\[\]]*)\]"), 1)).alias("b"))
     field = lambda name: F.nullif(F.regexp_extract("b", rf'\b{name}\s+"?([^"\s]+(?:[^"\n]*[^"\s])?)"?', 1), F.lit(""))
     vertices = block("node").select(field("id").alias("id"), field("label").alias("label"))
