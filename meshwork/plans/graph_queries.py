@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
-from meshwork.operators import communities, information, motifs, paths, traversal
+from meshwork.operators import communities, expansion, information, motifs, paths, traversal
 from meshwork.plans import analyze, generate
 from meshwork.sources import derived
 
@@ -361,3 +361,36 @@ def generated_random(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def generated_preferential(spark: SparkSession, sf: str) -> DataFrame:
     return generate.preferential(spark, 2000, 3).edges
+
+
+def _two_seeds(g: Graph) -> DataFrame:
+    ends = _two_ends(g)
+    return ends.select(F.lit(0).alias("query"), F.explode(F.array("src", "dst")).alias("seed"))
+
+
+@query(None)
+def degree_prioritised_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return expansion.expand(g, _two_seeds(g), "degree", 8)
+
+
+@query(None)
+def breadth_first_meetings(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return expansion.meetings(expansion.expand(g, _two_seeds(g), "breadth_first", 8))
+
+
+@query(None)
+def betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return expansion.betweenness(g, g.edges.select(F.col("src").alias("id")).distinct())
+
+
+@query(f"WITH {_PATHS} SELECT array_to_string(nodes, '-') AS path, (row_number() OVER (ORDER BY total DESC, nodes))::INT AS position, total::BIGINT AS total FROM (SELECT nodes, sum(d) AS total FROM (SELECT nodes, unnest(nodes) AS u FROM walk) JOIN deg USING (u) GROUP BY nodes) QUALIFY position <= 5")
+def degree_sum_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    found = paths.simple_paths(g, _two_ends(g), 3)
+    d = g.degrees().select("id", "degree")
+    total = found.select("src", "dst", "nodes", "hops", F.explode("nodes").alias("id")).join(d, "id").groupBy("src", "dst", "nodes", "hops").agg(F.sum("degree").alias("score"))
+    best = total.withColumn("position", F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("score"), "nodes"))).where("position <= 5")
+    return best.select(F.array_join("nodes", "-").alias("path"), "position", F.col("score").alias("total"))

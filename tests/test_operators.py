@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
-from meshwork.operators import communities, motifs, paths, traversal
+from meshwork.operators import communities, expansion, motifs, paths, traversal
 from meshwork.plans import analyze, generate
 from meshwork.sources import formats
 from meshwork.streaming.edges import degree_stream
@@ -147,3 +147,19 @@ def test_stream_of_edges(spark, tmp_path, graph):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("degrees").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert {r.id: r.degree for r in spark.table("degrees").collect()} == {k: len(v) for k, v in around().items()}
+
+
+def test_expansion_takes_low_degrees_first(spark):
+    star = [(0, k) for k in range(1, 8)] + [(1, 20), (20, 21), (21, 7)]
+    g = Graph(spark.createDataFrame(star, "src long, dst long"))
+    seeds = spark.createDataFrame([(0, 1), (0, 21)], "query long, seed long")
+    owned = expansion.expand(g, seeds, "degree", 3)
+    assert {(r.seed, r.id) for r in owned.collect()} >= {(1, 1), (1, 20), (1, 0), (21, 21)}
+    full = expansion.expand(g, seeds, "breadth_first", 40)
+    assert {r.id for r in expansion.meetings(full).collect()} == {0, 1, 2, 3, 4, 5, 6, 7, 20, 21}
+
+
+def test_betweenness_of_a_path(spark):
+    g = generate.path(spark, 5)
+    got = {r.id: r.betweenness for r in expansion.betweenness(g, spark.range(5)).collect()}
+    assert got == {0: 0.0, 1: 6.0, 2: 8.0, 3: 6.0, 4: 0.0}
