@@ -89,18 +89,18 @@ def min_labels(edges: DataFrame) -> DataFrame:
     outcome is written to the shared folder. Nodes without an edge are absent.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, n = None, e.count()
     while True:
-        # Large star: every neighbour greater than u links to the smallest of u and its neighbours.
+        # Large star: every neighbour greater than u links to the smallest of u and its neighbours. A vertex of very
+        # many neighbours would gather in one task, so its label goes to the edges where all labels are few enough.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(sized(least, 2 * n, 16), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours link to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x"))
+        small = large.join(sized(low, 2 * n, 16), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x"))
         nxt = stored(small.select(F.col("x.u").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), "edges")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == before:
-            break
-        before, e = tuple(now), nxt
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return nxt.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        before, n, e = now, now[0], nxt

@@ -122,7 +122,7 @@ def assign(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_p
     arrived.write.parquet(log_path)
     log = spark.read.schema(arrived.schema).parquet(log_path)
     state = stream_state(log, log_path, files_per_batch)
-    joined = log.join(state, "digest")
+    joined = with_state(log, state)
     hits = stored(joined.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), "dedup-hits")
     out = joined.select("doc_id", "digest", "keep_id", "group_size", "n_points")
     if not hits.isEmpty():
@@ -132,6 +132,14 @@ def assign(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_p
     return first_of_repeats(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
 
 
+def with_state(log: DataFrame, state: DataFrame) -> DataFrame:
+    """Each arrival with its entry. Entries of many rows, of which there are few, go to the arrivals instead of gathering theirs."""
+    state = stored(state, "dedup-entries")
+    hot = sized(state.where(F.col("group_size") > SALT_ROWS), row_bytes=160)
+    rest = log.join(hot.select("digest"), "digest", "left_anti").join(state.where(F.col("group_size") <= SALT_ROWS), "digest")
+    return log.join(hot, "digest").unionByName(rest)
+
+
 def regrouped(docs: DataFrame, out: DataFrame, differ: DataFrame) -> DataFrame:
     """Groups in which a digest stands for different bytes are dealt anew by the bytes themselves."""
     mixed = differ.select("digest").distinct()
