@@ -41,7 +41,7 @@ def coverage(graph: Graph, membership: DataFrame) -> DataFrame:
     return _with_ends(graph, membership).agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("coverage"))
 
 
-def louvain(graph: Graph, rounds: int = 20, levels: int = 3) -> DataFrame:
+def louvain(graph: Graph, rounds: int = 8, levels: int = 2) -> DataFrame:
     """id and community by parallel local moving.
 
     In each round the vertices of one half, by hash and round, move to the community
