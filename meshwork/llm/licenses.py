@@ -24,6 +24,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,8 @@ OTHERS = (
     "We released the birds and watched them fly to the south.",
     "The mit of the glove is torn and the leather is old.",
 )
+#: Words that tell nothing by themselves or side by side.
+STOP = frozenset("a all along also an and any are as at be by can copy each file following for free from general has have he if in is it its may new no not of on one or other out part person published right she so such terms that the their them they this to under up use used was we were when which who will with without work you your".split())
 UNKNOWN = "unknown"
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
 MIN_PROBABILITY = 0.5
@@ -162,7 +165,7 @@ def examples() -> list[tuple[str, str]]:
 def fit(ridge: float = 0.02, rounds: int = 120) -> Model:
     """Fit the classifier on the fixed examples and its temperature on every fifth one, held out."""
     data = examples()
-    vocabulary = sorted(g for g, n in Counter(g for t, _ in data for g in grams_of(t.split())).items() if n > 1)
+    vocabulary = sorted(g for g, n in Counter(g for t, _ in data for g in grams_of(t.split())).items() if n > 1 and not STOP.issuperset(g.split(" ")))
     index = {g: k for k, g in enumerate(vocabulary)}
     x = np.zeros((len(data), len(vocabulary)), np.float32)
     y = np.array([FAMILIES.index(f) for _, f in data])
@@ -204,11 +207,20 @@ def word_hashes(line: Column) -> Column:
     return F.transform(F.filter(F.split(lowered, "[^a-z0-9]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, paragraph and the word hashes of every line that has a word."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    each = rows.select("row", "doc_id", F.posexplode("lines").alias("paragraph", "line"))
-    return each.select("row", "doc_id", "paragraph", word_hashes(F.col("line")).alias("w")).where(F.size("w") > 0)
+def known_words(model: Model) -> list[int]:
+    """Hashes of the vocabulary's single words. Every 2-gram of the vocabulary holds one of them."""
+    return [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(g.encode(), 42) for g in model.vocabulary if " " not in g)]
+
+
+def paragraphs(docs: DataFrame, known: list[int]) -> DataFrame:
+    """row, doc_id, paragraph and the word hashes of every line that holds a known word.
+
+    Lines are hashed and dismissed inside one array expression, so that a line
+    without a known word never becomes a row.
+    """
+    hashed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line, i: F.struct(i.alias("paragraph"), word_hashes(line).alias("w")))
+    telling = F.filter(hashed, lambda x: F.exists(x["w"], lambda h: h.isin(known)))
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(telling).alias("x")).select("row", "doc_id", "x.*")
 
 
 def vocabulary_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -234,25 +246,27 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = docs.sparkSession
     shared_dir(spark)
     model = model or fit()
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda k: F.xxhash64(F.get("w", k), F.get("w", k + 1)))
-    two = F.array_distinct(F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<bigint>")))
-    grams = paragraphs(docs).select("row", "doc_id", "paragraph", F.size("w").alias("n"), F.size(two).alias("n_pairs"), F.explode(F.array_union(F.array_distinct("w"), two)).alias("gram"))
-    hits = grams.join(sized(vocabulary_table(spark, model), len(model.vocabulary), 256), "gram")
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.xxhash64(a, b))
+    # The count is taken before the explosion, so that no array is copied to each n-gram.
+    counted = paragraphs(docs, known_words(model)).select("row", "doc_id", "paragraph", F.size("w").alias("n"), F.concat("w", pairs).alias("grams"))
+    grams = counted.select("row", "doc_id", "paragraph", "n", F.explode("grams").alias("gram"))
+    known = sized(vocabulary_table(spark, model), len(model.vocabulary), 256)
+    # Repeats are dropped among the few n-grams that the vocabulary holds.
+    hits = grams.join(known.select("gram"), "gram", "left_semi").distinct().join(known, "gram")
     k = range(len(FAMILIES))
     templates = template_list()
     sums = [F.sum(F.get("weights", i)).alias(f"s{i}") for i in k]
     shared = [F.sum((F.col("pair") & F.array_contains("templates", t)).cast("int")).alias(f"t{t}") for t in range(len(templates))]
     in_family = [F.sum((F.col("pair") & F.arrays_overlap("templates", F.array(*(F.lit(t) for t, x in enumerate(templates) if x[0] == i)))).cast("int")).alias(f"f{i}") for i in k[:-1]]
-    scored = hits.groupBy("row", "doc_id", "paragraph", "n", "n_pairs").agg(*sums)
+    scored = hits.groupBy("row", "doc_id", "paragraph", "n").agg(*sums, *shared, *in_family)
     z = [(F.lit(float(model.bias[i])) + F.col(f"s{i}") / F.sqrt(F.col("n").cast("double"))) / model.temperature for i in k]
     scored = scored.withColumn("z", F.array(*z)).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     scored = scored.withColumn("probability", 1 / total).withColumn("class", (F.array_position("z", F.col("top")) - 1).cast("int"))
-    likely = scored.where((F.col("class") != k[-1]) & (F.col("probability") >= MIN_PROBABILITY)).select("row", "paragraph", "class", "probability")
-    # Only likely paragraphs are compared with the templates.
-    compared = hits.join(likely, ["row", "paragraph"]).groupBy("row", "doc_id", "paragraph", "n_pairs", "class", "probability").agg(*shared, *in_family)
+    likely = scored.where((F.col("class") != k[-1]) & (F.col("probability") >= MIN_PROBABILITY))
     best = F.array(*(F.greatest(F.lit(0.0), *(F.col(f"t{t}") / x[1] for t, x in enumerate(templates) if x[0] == i)) for i in k[:-1]))
-    own = F.array(*(F.col(f"f{i}") / F.greatest(F.col("n_pairs"), F.lit(1)) for i in k[:-1]))
+    own = F.array(*(F.col(f"f{i}") / F.greatest(F.col("n") - 1, F.lit(1)) for i in k[:-1]))
     coverage = F.greatest(F.get(best, F.col("class")), F.get(own, F.col("class")))
     names = F.array(*(F.lit(f) for f in FAMILIES))
-    return compared.select("doc_id", "paragraph", F.get(names, F.col("class")).alias("family"), F.round("probability", 6).alias("probability"), F.round(coverage, 6).alias("coverage"), (coverage >= CONFIRMED).alias("confirmed"))
+    return likely.select("doc_id", "paragraph", F.get(names, F.col("class")).alias("family"), F.round("probability", 6).alias("probability"), F.round(coverage, 6).alias("coverage"), (coverage >= CONFIRMED).alias("confirmed"))
