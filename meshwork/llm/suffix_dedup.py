@@ -27,11 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meshwork.llm.common import shared_dir, stored
 
@@ -40,9 +40,9 @@ BACK = SPAN - GRAM  # an anchor lies so many bytes behind the start of a string
 CONTEXT = BACK + SPAN
 PAD = 2 * CONTEXT
 #: Bytes of text hashed at a time, and characters whose suffixes are sorted at a time.
-BUFFER, SORT_CHARS = 1 << 20, 1 << 18
+BUFFER, SORT_CHARS = 1 << 18, 1 << 17
 #: Anchors that a task settles and deals at a time.
-HELD = 600_000
+HELD = 300_000
 #: Parts that anchors are dealt to by hash.
 PARTS = 4096
 HOT_CONTEXTS = 20_000
@@ -55,11 +55,14 @@ ANCHOR = np.dtype([("hash", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("body",
 
 
 def rolled(codes: np.ndarray, table: int) -> dict[int, np.ndarray]:
-    """Hashes of all strings of 1, 2, 4 .. 64 codes, each from two halves."""
-    h = {1: _TABLES[table][codes]}
+    """Hashes of all strings of 4, 16 and 64 codes, each size from two halves of it."""
+    out: dict[int, np.ndarray] = {}
+    h = _TABLES[table][codes]
     for s in (1, 2, 4, 8, 16, 32):
-        h[2 * s] = h[s][:-s] * _POWERS[s] + h[s][s:]
-    return h
+        h = h[:-s] * _POWERS[s] + h[s:]
+        if 2 * s in (4, 16, 64):
+            out[2 * s] = h
+    return out
 
 
 def joined(h: dict[int, np.ndarray], at: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
@@ -526,17 +529,12 @@ def remove(docs: DataFrame) -> DataFrame:
     found = stored(covered(docs.select("doc_id", "text")), "covered").withColumnsRenamed({"doc": "_doc", "body": "_body", "spots": "_spots", "spans": "_spans"})
     joined = keyed(docs).join(found, ["_doc", "_body"], "left")
 
-    columns = docs.columns
-    names = ["n_bytes", "n_removed", "n_spans", "kept"]
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    def cut(text: pd.Series, spots: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, a, b in zip(text, spots, spans, strict=True):
+            kept, gone, runs = kept_bytes(t, list(a), [(x["start"], x["stop"]) for x in b]) if a is not None else (t, 0, 0)
+            rows.append((len(t), gone, runs, bytes(kept)))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t, a, b in zip(*(batch.column(n).to_pylist() for n in ("_bytes", "_spots", "_spans")), strict=True):
-                kept, gone, runs = kept_bytes(t, a, [(x["start"], x["stop"]) for x in b]) if a is not None else (t, 0, 0)
-                rows.append((len(t), gone, runs, kept))
-            made = [pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, *names])
-
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField(names[3], T.BinaryType())])
-    return joined.mapInArrow(cut, schema)
+    return joined.withColumn("_out", cut("_bytes", "_spots", "_spans")).select(*docs.columns, "_out.*")
