@@ -15,7 +15,6 @@ for component_id; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -229,71 +228,157 @@ def hex_digits(fp: F.Column) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Words of a wide fingerprint, and odd multipliers that derive each of them from a shingle's hash (fixed values).
-WIDE = 4
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
-#: Chance that a pair just similar enough meets in some bucket, and mean members of a bucket.
-MEET, BUCKET_ROWS = 0.98, 0.25
+#: Least hashes of a document: BANDS keys of ROWS values each. A pair of similarity 0.8 shares no key with a chance of
+#: (1 - 0.8 ** ROWS) ** BANDS = 5e-6, whatever else the table holds.
+BANDS, ROWS = 40, 6
+_draw = np.random.default_rng(SEED)
+FACTORS = _draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+OFFSETS = _draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+MIXERS = _draw.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Documents and shingles of a group that one task takes at once; larger groups are dealt by pairs of such chunks.
+CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1 << 21
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """WIDE fingerprint words of one whole text, from the distinct shingles."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of one whole text; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n, digest, join = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest, b" ".join
-    ones, total = np.zeros(64 * WIDE, np.int64), 0
-    seen: set[int] = set()
-    for at in range(0, n if words else 0, CHUNK_WORDS):
-        part = words[at : min(at + CHUNK_WORDS, n) + shingle - 1]
-        new = {digest(join(x), SEED) for x in zip(*(part[k:] for k in range(shingle)), strict=False)} if len(part) >= shingle else {digest(join(part), SEED)}
-        new -= seen
-        if n > CHUNK_WORDS:
-            seen |= new
-        h = np.fromiter(new, np.uint64, len(new))
-        for k, m in enumerate(MULTIPLIERS):
-            x = (h ^ (h >> np.uint64(31))) * np.uint64(m)
-            x ^= x >> np.uint64(29)
-            ones[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(h)
-    return np.packbits(ones * 2 > total, bitorder="little").tobytes()
-
-
-def wide_radius(similarity: float) -> int:
-    """Differing bits expected of two sets of equal size and this Jaccard similarity."""
-    return int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) < shingle:
+        return np.array([digest(join(words), SEED)], np.uint64)
+    total, parts = len(words) - shingle + 1, []
+    for at in range(0, total, CHUNK_WORDS):
+        part = words[at : min(at + CHUNK_WORDS, total) + shingle - 1]
+        parts.append(np.unique(np.array([digest(join(x), SEED) for x in zip(*(part[k:] for k in range(shingle)), strict=False)], np.uint64)))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def identity(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    x = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of ROWS least values over the shingles."""
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 256):
+        np.minimum(low, (high[at : at + 256, None] * FACTORS + OFFSETS).min(axis=0), out=low)
+    return (low.reshape(BANDS, ROWS).astype(np.uint64) * MIXERS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges of trees that connect what is linked: sets of at least this Jaccard similarity.
+
+    A search from each set compares with those not reached yet only, so nothing that could connect is passed over.
+    """
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    sizes = np.array([len(x) for x in sets])
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    mark = np.zeros(1 + max((int(x.max()) for x in ids if len(x)), default=0), bool)
+    a: list[int] = []
+    b: list[int] = []
+    left = np.nonzero(sizes)[0]
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            x = front.pop()
+            near = (sizes[left] >= similarity * sizes[x] - 1) & (similarity * sizes[left] - 1 <= sizes[x])
+            tried = left[near]
+            if not len(tried):
+                continue
+            mark[ids[x]] = True
+            starts = np.cumsum(sizes[tried]) - sizes[tried]
+            both = np.add.reduceat(mark[np.concatenate([ids[k] for k in tried])], starts, dtype=np.int64)
+            mark[ids[x]] = False
+            hit = both / (sizes[x] + sizes[tried] - both) >= similarity
+            found = tried[hit].tolist()
+            a += [x] * len(found)
+            b += found
+            front += found
+            near[near] = hit
+            left = left[~near]
+    return a, b
+
+
+def verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of nodes within buckets that arrive one after the other; columns bucket, node and the shingle set."""
+    held: dict[int, np.ndarray] = {}
+    last = None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            nodes = np.fromiter(held, np.int64, len(held))
+            x, y = similar_links(list(held.values()), similarity)
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
+
+    for batch in batches:
+        for bucket, node, x in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+            if bucket != last:
+                yield from out()
+                held, last = {}, bucket
+            held[node] = np.frombuffer(x.as_py(), np.uint64)
+    yield from out()
+
+
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """node and label of nodes (node, keys) that sharing keys connects; nodes that share none are absent."""
+    keyed = nodes.select("node", F.posexplode("keys").alias("part", "key"))
+    shared = keyed.groupBy("part", "key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
+    shared = stored(shared, "shared-keys")
+    return min_labels(keyed.join(sized(shared, row_bytes=24), ["part", "key"]).select("a", F.col("node").alias("b")))
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id and component_id of every row; documents link whose estimated similarity is high enough.
+    """doc_id and component_id of every row; documents link whose shingle sets have this Jaccard similarity.
 
-    The similarity of two documents' shingle sets is estimated by the differing bits
-    of their wide fingerprints, 256 of them. Buckets share sampled bits: as many bits
-    as leave BUCKET_ROWS members a bucket on average, and as many samples as let a pair
-    at the threshold meet with a chance of MEET; more similar pairs meet more surely.
+    Sets that share a band of least hashes are candidates, and groups of candidates
+    hold all links among them. Inside a group the sets themselves are compared. The
+    bands are the same for every table, so two documents are treated alike in all.
     """
     shared_dir(docs.sparkSession)
-    names = [f"w{k}" for k in range(WIDE)]
-
-    @F.pandas_udf(", ".join(f"{x} long" for x in names))
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        table = np.frombuffer(b"".join(wide_fingerprint(x, shingle) for x in texts), "<i8").reshape(-1, WIDE)
-        return pd.DataFrame(table, columns=names)
-
-    fps = stored(docs.select("doc_id", prints("text").alias("p")).select("doc_id", "p.*"), "wide-simhash")
-    nodes = stored(fps.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").cast("long").alias("node")), "wide-nodes")
-    n, radius = max(2, nodes.count()), wide_radius(similarity)
-    bits = min(40, max(12, math.ceil(math.log2(n / BUCKET_ROWS))))
-    meet = (1 - radius / (64 * WIDE)) ** bits
-    samples = math.ceil(math.log(1 - MEET) / math.log(1 - meet))
-    rng = np.random.default_rng(bits)
-    keys = []
-    for _ in range(samples):
-        masks = [0] * WIDE
-        for b in rng.choice(64 * WIDE, bits, replace=False):
-            masks[b // 64] |= 1 << int(b % 64)
-        keys.append(F.xxhash64(*(F.col(x).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for x, m in zip(names, masks, strict=True))))
-    labels = min_labels(bucket_links(nodes, keys, names, radius))
-    label = nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id"))
-    return fps.join(sized(stored(label, "wide-components"), n, 64), names, "left").select("doc_id", "component_id")
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(at, BLOCK_ROWS) for batch in batches for at in range(0, batch.num_rows, BLOCK_ROWS))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            rows = [(identity(x), len(x), band_keys(x)) for x in (shingle_set(t.as_py(), shingle) for t in batch.column("text"))]
+            node, n, keys = zip(*rows, strict=True)
+            ends = pa.array(range(0, BANDS * len(rows) + 1, BANDS), pa.int32())
+            columns = [batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([identity(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
+
+    fps = stored(docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {doc_type}, node long, n long, keys array<long>"), "shingle-keys")
+    nodes = fps.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = stored(nodes, "shingle-nodes")
+    groups = candidate_groups(nodes)
+    members = nodes.select("node", "least", "n").join(sized(groups, row_bytes=16), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES))
+    large = members.groupBy("label").agg(F.count("*").alias("size"), chunks.alias("chunks")).where("size > 1").drop("size")
+    wanted = stored(members.join(sized(large, row_bytes=16), "label").select("node", "least", "label", "chunks"), "candidates")
+    n = wanted.count()
+    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
+    sets = docs.select("doc_id", "text").join(sized(ids, n, 16), "doc_id", "left_semi").select("text").mapInArrow(sets_of, "node long, hashes binary")
+    # A group beyond a chunk is dealt to one task for each pair of its chunks; a set that comes again counts once.
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    tiles = sets.join(sized(wanted.drop("least"), n, 32), "node").select("node", "label", "hashes", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("d"))
+    tiles = tiles.select(F.xxhash64("label", F.least("c", "d"), F.greatest("c", "d")).alias("bucket"), "node", "hashes")
+    links = tiles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: verify(it, similarity), "a long, b long")
+    labels = min_labels(links)
+    named = stored(nodes.select("node", "least").join(sized(labels, row_bytes=16), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "similar-nodes")
+    first = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_node = stored(named.join(sized(first, row_bytes=16), "label").select("node", "component_id"), "similar-components")
+    return fps.select("doc_id", "node").join(sized(by_node, row_bytes=16), "node", "left").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
