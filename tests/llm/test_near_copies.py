@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from meshwork.llm import simhash
 
 
@@ -43,3 +45,20 @@ def test_links_are_those_of_exact_similarity(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK_DOCS", 2)  # groups dealt to several tasks
     found = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in found.collect()} == want
+
+
+def test_links_do_not_depend_on_the_rest_of_the_table(spark):
+    rows = near_threshold(random.Random(4), 10)
+    alone = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    others = [(1000 + k, f"{k} a b c d e {k}") for k in range(3000)]
+    among = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows + others, "doc_id long, text string")).collect()}
+    assert {d: among[d] for d in alone} == alone == plain_components(rows)
+
+
+def test_pairs_at_the_threshold_share_a_key():
+    rng, met = np.random.default_rng(7), 0
+    for _ in range(400):
+        x = rng.integers(0, 1 << 64, 500, np.uint64)
+        y = x[:400]  # 400 of 500: similarity 0.8
+        met += bool((simhash.band_keys(x) == simhash.band_keys(y)).any())
+    assert met == 400
