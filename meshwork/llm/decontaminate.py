@@ -1,25 +1,28 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
+"""Benchmark decontamination by seed hashing, in DataFrame operations only.
 
-Each mask marks the token positions that count; the others may differ. The hashes
-of all masked windows of the test items meet those of all documents in an equi
-join, which gives the diagonals (document position less item position) worth
-verifying. On each diagonal the item is laid over the document token by token,
-and the best window of WINDOW tokens must agree in SHARE of them.
+A window of WINDOW tokens (or a whole shorter item) that agrees in SHARE of them
+has so few differences that some run between them is at least so long, 2 to 4
+tokens by the item's length. The hashes of all runs of that length of the test
+items meet those of all documents in an equi join, which gives every diagonal
+(document position less item position) that can hold an overlap. On each diagonal
+the item is laid over the document token by token, and the best window must agree
+in SHARE of its tokens.
 
 Defined results: null and empty texts, and items of fewer than MIN_TOKENS tokens,
-match nothing; an item shorter than the masks must occur whole to be verified;
-rows that repeat a doc_id or an item_id are merged into one pair; rows without an
+match nothing; rows that repeat a doc_id or an item_id are merged into one pair; rows without an
 id match nothing; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm.common import shared_dir, sized, stored, without_ids
 
-#: Masks of the token positions that count.
+#: Masks of the token positions that count in the query's SQL, which finds a part of the overlaps only.
 MASKS = ("111010010111", "110110110101")
 WINDOW, SHARE = 20, 0.8
 MIN_TOKENS = 5
@@ -48,22 +51,26 @@ def hashed(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("hashes"))
 
 
+def run_length(n: int) -> int:
+    """Length of the run of equal tokens that an overlap with an item of n tokens cannot do without."""
+    window = min(WINDOW, n)
+    least = math.ceil(window * SHARE)
+    return -(-least // (window - least + 1))
+
+
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id, diagonal) of windows that agree under a mask."""
-    span = len(MASKS[0])
-    items = hashed(benchmark, "item_id").where(F.size("hashes") >= MIN_TOKENS)
-    short = sorted(r[0] for r in items.where(F.size("hashes") < span).select(F.size("hashes")).distinct().collect())  # fewer than span values
-    whole = ["1" * n for n in short]
-    long_seeds = seeds(items.where(F.size("hashes") >= span), list(MASKS))
-    of_item = long_seeds
-    if whole:
-        short_seeds = seeds(items.where(F.size("hashes") < span), whole).join(items.select("id", F.size("hashes").alias("n")), "id")
-        length = F.element_at(F.array(*(F.lit(n) for n in short)), F.col("mask") + 1)
-        of_item = of_item.union(short_seeds.where(F.col("n") == length).select("id", F.col("mask") + len(MASKS), "pos", "h"))
-    of_item = of_item.select(F.col("id").alias("item_id"), F.col("mask"), F.col("pos").alias("at"), "h")
+    """Distinct (doc_id, item_id, diagonal) on which a run of an item's run_length occurs."""
+    items = hashed(benchmark, "item_id").where(F.size("hashes") >= MIN_TOKENS).withColumn("n", F.least(F.lit(WINDOW), F.size("hashes")))
+    lengths = {n: run_length(n) for n in range(MIN_TOKENS, WINDOW + 1)}
+    runs = sorted({lengths[r.n] for r in items.select("n").distinct().collect()}) or [1]  # at most WINDOW values
+    of_item = None
+    for k, q in enumerate(runs):
+        fit = items.where(F.col("n").isin([n for n, x in lengths.items() if x == q]))
+        part = seeds(fit, ["1" * q]).select(F.col("id").alias("item_id"), F.lit(k).alias("mask"), F.col("pos").alias("at"), "h")
+        of_item = part if of_item is None else of_item.union(part)
     n = of_item.count()
     # The explosion keeps only the id, so that no token array is copied for each window.
-    of_doc = seeds(hashed(docs, "doc_id"), [*MASKS, *whole]).withColumnRenamed("id", "doc_id")
+    of_doc = seeds(hashed(docs, "doc_id"), ["1" * q for q in runs]).withColumnRenamed("id", "doc_id")
     return of_doc.join(sized(of_item, n, 48), ["h", "mask"]).select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
 
 
