@@ -383,7 +383,7 @@ def breadth_first_meetings(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    return expansion.betweenness(g, g.edges.select(F.col("src").alias("id")).distinct())
+    return expansion.betweenness(g, g.ids())
 
 
 @query(f"WITH {_PATHS} SELECT array_to_string(nodes, '-') AS path, (row_number() OVER (ORDER BY total DESC, nodes))::INT AS position, total::BIGINT AS total FROM (SELECT nodes, sum(d) AS total FROM (SELECT nodes, unnest(nodes) AS u FROM walk) JOIN deg USING (u) GROUP BY nodes) QUALIFY position <= 5")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
 from meshwork.operators import communities, expansion, motifs, paths, traversal
-from meshwork.plans import analyze, generate
+from meshwork.plans import analyze, generate, graph_queries
 from meshwork.sources import formats
 from meshwork.streaming.edges import degree_stream
 
@@ -163,3 +163,25 @@ def test_betweenness_of_a_path(spark):
     g = generate.path(spark, 5)
     got = {r.id: r.betweenness for r in expansion.betweenness(g, spark.range(5)).collect()}
     assert got == {0: 0.0, 1: 6.0, 2: 8.0, 3: 6.0, 4: 0.0}
+
+
+def test_betweenness_query_has_all_sources(spark, graph, monkeypatch):
+    n = around()
+    monkeypatch.setattr(graph_queries, "_strong", lambda spark, sf: graph)
+
+    def shortest(s, t):
+        front = [[s]]
+        while front:
+            if done := [p for p in front if p[-1] == t]:
+                return done
+            front = [[*p, v] for p in front for v in n[p[-1]] - set(p)] if len(front[0]) <= len(n) else []
+        return []
+
+    want = dict.fromkeys(range(23), 0.0)
+    for s, t in itertools.permutations(sorted(n), 2):
+        found = shortest(s, t)
+        for p in found:
+            for u in p[1:-1]:
+                want[u] += 1 / len(found)
+    got = {r.id: r.betweenness for r in graph_queries.betweenness(spark, "").collect()}
+    assert {k: v for k, v in want.items() if v} == pytest.approx({k: v for k, v in got.items() if v})
