@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows and bytes that a join side may have and still be broadcast.
@@ -17,10 +18,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where a local session has none."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="meshwork-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -69,15 +72,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that `stored` wrote and that no later step reads."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/meshwork-" in path:
+                remove_path(df.sparkSession, path)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sized(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
     """Mark df for broadcast only when its counted rows prove it small; otherwise leave the join to shuffle."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else df
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key is not in dropped (one column). Rows with a null key stay."""
-    return docs.join(sized(dropped.select(key).distinct()), key, "left_anti").select(docs.columns)
+def located(docs: DataFrame) -> DataFrame:
+    """docs with a file and a row for each of its rows: itself, or what is written of it where no file holds it."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return stored(docs, "input")
+    return docs
+
+
+def place_of(docs: DataFrame) -> Column:
+    """A hash of a row's locator; with the doc_id it names the row."""
+    at = docs.metadataColumn("_metadata")
+    return F.xxhash64(at["file_path"], at["row_index"])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs (with locators) that gone (doc_id, place) does not name, with all their columns."""
+    here = unused(docs.columns, "place")
+    placed = docs.withColumn(here, place_of(docs))
+    named = gone.select(F.col("doc_id").alias(f"{here}_id"), F.col("place").alias(f"{here}_at"))
+    return placed.join(sized(named, row_bytes=24), (placed[here] == named[f"{here}_at"]) & placed["doc_id"].eqNullSafe(named[f"{here}_id"]), "left_anti").select(docs.columns)
 
 
 def min_labels(edges: DataFrame) -> DataFrame:
@@ -100,6 +137,7 @@ def min_labels(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(sized(low, 2 * n, 16), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x"))
         nxt = stored(small.select(F.col("x.u").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), "edges")
+        dropped(e)
         now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return nxt.select(F.col("u").alias("node"), F.col("v").alias("label"))

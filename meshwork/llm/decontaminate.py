@@ -1,29 +1,31 @@
-"""Benchmark decontamination by seed hashing, in DataFrame operations only.
+"""Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-A window of WINDOW tokens (or a whole shorter item) that agrees in SHARE of them
-has so few differences that some run between them is at least so long, 2 to 4
-tokens by the item's length. The hashes of all runs of that length of the test
-items meet those of all documents in an equi join, which gives every diagonal
-(document position less item position) that can hold an overlap. On each diagonal
-the item is laid over the document token by token, and the best window must agree
-in SHARE of its tokens.
+A seed is a fixed mask that ignores some token positions: a masked window's hash is
+that of the tokens under the mask's ones. An overlap is a window of WINDOW tokens (or
+a whole shorter item) that agrees in SHARE of its tokens on one diagonal (document
+position less item position). The masks are chosen so that every pattern of as many
+substitutions as that allows leaves some placement of some mask untouched; so the
+hashes of all masked windows of test items and documents meet in an equi join on
+every diagonal that can hold an overlap. On each such diagonal the item is laid over
+the document token by token, and the best window must agree in SHARE of its tokens.
 
 Defined results: null and empty texts, and items of fewer than MIN_TOKENS tokens,
-match nothing; rows that repeat a doc_id or an item_id are merged into one pair; rows without an
-id match nothing; empty tables give no rows; other columns are not read.
+match nothing; rows that repeat a doc_id or an item_id are merged into one pair; rows
+without an id match nothing; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import shared_dir, sized, stored, without_ids
+from meshwork.llm.common import located, place_of, shared_dir, sized, stored, without_rows
 
-#: Masks of the token positions that count in the query's SQL, which finds a part of the overlaps only.
-MASKS = ("111010010111", "110110110101")
+#: Masks for items of so many tokens and more, up to the next entry. Each pair is hit by every pattern of 1 substitution in
+#: 5 tokens, 2 in 10, and 3 in 15 as well as 4 in 20 (tests/llm tries all patterns).
+MASKS = {5: ("111", "1101"), 10: ("1111", "11101"), 15: ("111011", "110100011")}
 WINDOW, SHARE = 20, 0.8
 MIN_TOKENS = 5
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -51,26 +53,18 @@ def hashed(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("hashes"))
 
 
-def run_length(n: int) -> int:
-    """Length of the run of equal tokens that an overlap with an item of n tokens cannot do without."""
-    window = min(WINDOW, n)
-    least = math.ceil(window * SHARE)
-    return -(-least // (window - least + 1))
-
-
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id, diagonal) on which a run of an item's run_length occurs."""
-    items = hashed(benchmark, "item_id").where(F.size("hashes") >= MIN_TOKENS).withColumn("n", F.least(F.lit(WINDOW), F.size("hashes")))
-    lengths = {n: run_length(n) for n in range(MIN_TOKENS, WINDOW + 1)}
-    runs = sorted({lengths[r.n] for r in items.select("n").distinct().collect()}) or [1]  # at most WINDOW values
-    of_item = None
-    for k, q in enumerate(runs):
-        fit = items.where(F.col("n").isin([n for n, x in lengths.items() if x == q]))
-        part = seeds(fit, ["1" * q]).select(F.col("id").alias("item_id"), F.lit(k).alias("mask"), F.col("pos").alias("at"), "h")
-        of_item = part if of_item is None else of_item.union(part)
+    """Distinct (doc_id, item_id, diagonal) on which a masked window of an item occurs."""
+    items = hashed(benchmark, "item_id").where(F.size("hashes") >= MIN_TOKENS)
+    least = reduce(lambda c, n: F.when(F.size("hashes") >= n, F.lit(n)).otherwise(c), sorted(MASKS), F.lit(0))
+    items = items.withColumn("least", least)
+    used = sorted(r["least"] for r in items.select("least").distinct().collect()) or [MIN_TOKENS]  # as many as MASKS has
+    masks = [m for n in used for m in MASKS[n]]
+    parts = [seeds(items.where(F.col("least") == n), [m]).withColumn("mask", F.lit(masks.index(m))) for n in used for m in MASKS[n]]
+    of_item = reduce(DataFrame.union, parts).select(F.col("id").alias("item_id"), "mask", F.col("pos").alias("at"), "h")
     n = of_item.count()
     # The explosion keeps only the id, so that no token array is copied for each window.
-    of_doc = seeds(hashed(docs, "doc_id"), ["1" * q for q in runs]).withColumnRenamed("id", "doc_id")
+    of_doc = seeds(hashed(docs, "doc_id"), masks).withColumnRenamed("id", "doc_id")
     return of_doc.join(sized(of_item, n, 48), ["h", "mask"]).select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
 
 
@@ -79,8 +73,8 @@ def verified(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame) -> DataFra
     n = pairs.count()
     texts = docs.join(sized(pairs.select("doc_id").distinct(), n, 24), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("words"))
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item"))
-    joined = pairs.join(texts, "doc_id").select("doc_id", "item_id", "diagonal", "words").join(items, "item_id")
-    # Only the part of the document that the item is laid over goes on.
+    # The documents come last: only the part that the item is laid over goes on, no token array is copied to a diagonal.
+    joined = pairs.join(items, "item_id").join(texts, "doc_id")
     laid = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda k: F.coalesce(F.get("words", F.col("diagonal") + k) == F.get("item", k), F.lit(False)).cast("int"))
     flags = joined.select("doc_id", "item_id", "diagonal", laid.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("w"))
     starts = F.sequence(F.lit(0), F.size("same") - F.col("w"))
@@ -98,5 +92,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found."""
-    return without_ids(docs, stored(overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated"))
+    """The rows of docs in which no item is found; each row is judged for itself, whatever its doc_id."""
+    shared_dir(docs.sparkSession)
+    docs = located(docs)
+    rows = docs.select(F.struct("doc_id", place_of(docs).alias("place")).alias("doc_id"), "text")
+    return without_rows(docs, stored(overlaps(rows, benchmark).select("doc_id").distinct().select("doc_id.*"), "contaminated"))

@@ -1,30 +1,36 @@
 """Exact deduplication as a stateful stream over keyed state on disk.
 
 Every row becomes a small arrival record: digest of its normalised text, stable
-identifier, length and content locator. A Structured Streaming query folds the
-arrivals into one state entry per digest, held by RocksDB without a watermark,
-so an entry never expires. The whole texts are read again only for rows that hit
-an entry of more than one row, and compared byte for byte with the entry's row.
+identifier, length and content locator (file and row in it). A Structured Streaming
+query folds the arrivals into one state entry per digest, held by RocksDB without a
+watermark, so an entry never expires. Each micro-batch checks its hits at once: the
+whole texts of the rows that hit an entry, and the text that the entry's locator
+names, are read, and of each entry the least and the greatest bytes must be equal.
+Entries of which they differ are dealt anew by the bytes themselves.
+
+With a state_path the state, and the arrivals that it was made from, outlive the
+call: a later call takes further documents and judges them against all before.
 
 Defined results: a null text counts as empty; ties of length go to the smallest
-doc_id, a null doc_id after all others; a repeated row (same doc_id and same
-normalised text) counts in its group, and one of its rows is kept; `deduplicate`
-keeps rows without a doc_id; an empty table gives no rows; columns other than
-doc_id and text are not read.
+doc_id, a null doc_id after all others, and then to the first row by file and place;
+rows that repeat a doc_id are told apart by their place, so one row of a group stays
+whatever repeats; an empty table gives no rows; columns other than doc_id and text
+are not read, and kept by `deduplicate` whatever their names. docs is a scan of
+files, filtered and projected at will; a frame that no file holds is written first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import scratch_path, shared_dir, sized, stored, without_ids
+from meshwork.llm.common import located, place_of, scratch_path, shared_dir, sized, stored, without_rows
 
 #: White space that does not count: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Copies of one entry that are compared with one copy of its text.
+#: Rows of an entry beyond which the entry goes to its rows instead of gathering them.
 SALT_ROWS = 1000
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -47,22 +53,35 @@ def sha256(norm: Column) -> Column:
 
 
 def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    docs = located(docs)
+    at = docs.metadataColumn("_metadata")
     return docs.select(
         "doc_id",
         digest(normalised(F.col("text"))).alias("digest"),
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
-        F.input_file_name().alias("locator"),
+        at["file_path"].alias("file"),
+        at["row_index"].alias("row"),
+        place_of(docs).alias("place"),
     )
 
 
-def stream_state(log: DataFrame, log_path: str, files_per_batch: int | None = None, state_path: str | None = None) -> DataFrame:
+def _batches(spark: SparkSession, folder: str) -> list[str]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().toString() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def stream_state(log: DataFrame, log_path: str, files_per_batch: int | None = None, state_path: str | None = None, check: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame] | DataFrame:
     """Fold the arrival files below log_path into the state and return one row per digest.
 
     state_path keeps the stream's checkpoint: a later call with the same one only
-    reads files that arrived since.
+    reads files that arrived since. check is given the entries of several rows that
+    a micro-batch changed and names the digests whose texts differ; with it, they
+    are returned beside the state.
     """
     spark = log.sparkSession
     base = state_path or scratch_path(spark, "dedup-state")
+    schema = "digest string, group_size long, keep_id {}, keep_file string, keep_row long, keep_place long".format(log.schema["doc_id"].dataType.simpleString())
     before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
     for k, v in STREAM_CONF.items():
         spark.conf.set(k, v)
@@ -70,106 +89,107 @@ def stream_state(log: DataFrame, log_path: str, files_per_batch: int | None = No
         reader = spark.readStream.schema(log.schema)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        state = reader.parquet(log_path).groupBy("digest").agg(
-            F.count("*").alias("group_size"),
-            F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")).alias("best"),
-        )
+        best = F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "row", "place")
+        state = reader.parquet(log_path).groupBy("digest").agg(F.count("*").alias("group_size"), F.min(best).alias("best"))
 
         def upsert(batch: DataFrame, number: int) -> None:
-            batch.select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{base}/updates/batch={number:09d}")
+            path = f"{base}/updates/batch={number:09d}"
+            batch.select("digest", "group_size", *(F.col(f"best.{c}").alias(f"keep_{n}") for c, n in (("doc_id", "id"), ("file", "file"), ("row", "row"), ("place", "place")))).write.mode("overwrite").parquet(path)
+            if check:
+                hits = spark.read.schema(schema).parquet(path).where("group_size > 1")
+                check(hits).select("digest").write.mode("overwrite").parquet(f"{base}/collisions/batch={number:09d}")
 
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(upsert).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "digest string, group_size long, keep_id {}, keep_locator string, batch long".format(log.schema["doc_id"].dataType.simpleString())
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{base}/updates")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return spark.createDataFrame([], schema).drop("batch")
-    batches = sorted(x.getPath().toString() for x in fs.listStatus(folder))
-    updates = spark.read.schema(schema).parquet(*batches)
-    if len(batches) == 1:
-        return updates.drop("batch")
-    # Each batch writes the entries that it changed; an entry's last update is its state.
-    return updates.groupBy("digest").agg(F.max_by(F.struct("group_size", "keep_id", "keep_locator"), "batch").alias("s")).select("digest", "s.*")
-
-
-def collisions(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Compare the whole normalised bytes of every hit with its entry's row; return the ids of rows that differ.
-
-    hits: doc_id, digest, keep_id, group_size. An entry's text is copied for every
-    SALT_ROWS rows of its group, so that a group of any size spreads over tasks.
+    batches = _batches(spark, f"{base}/updates")
+    entries = spark.createDataFrame([], schema)
+    if batches:
+        # Each batch writes the entries that it changed; an entry's last update is its state.
+        entries = spark.read.schema(schema).parquet(*batches)
+    if len(batches) > 1:
+        s = F.struct("group_size", "keep_id", "keep_file", "keep_row", "keep_place")
+        # The file's name holds the batch, and a later state of an entry has more rows.
+        entries = entries.groupBy("digest").agg(F.max_by(s, "group_size").alias("s")).select("digest", "s.*")
+    if not check:
+        return entries
+    found = _batches(spark, f"{base}/collisions")
+    return entries, (spark.read.schema("digest string").parquet(*found) if found else spark.createDataFrame([], "digest string")).distinct()
+
+
+def texts_at(spark: SparkSession, keepers: DataFrame) -> DataFrame:
+    """digest and text of the rows that keep_file and keep_row name: only those files are read."""
+    files = [r["keep_file"] for r in keepers.select("keep_file").distinct().collect()]  # names of input files, as a scan's plan holds
+    if not files:
+        return spark.createDataFrame([], "digest string, text string")
+    scan = spark.read.parquet(*files)
+    at = scan.metadataColumn("_metadata")
+    rows = scan.select("text", at["file_path"].alias("keep_file"), at["row_index"].alias("keep_row"))
+    return rows.join(sized(keepers, row_bytes=300), ["keep_file", "keep_row"]).select("digest", "text")
+
+
+def differing(docs: DataFrame, log: DataFrame, hits: DataFrame, resumed: bool = False) -> DataFrame:
+    """Digests of hits (entries of several rows) whose normalised texts are not all the same bytes.
+
+    Each task holds an entry's least and greatest bytes only, so a group of any size spreads over all tasks.
     """
-    involved = hits.select("doc_id").union(hits.select("keep_id")).distinct()
-    texts = docs.join(sized(involved), "doc_id").select("doc_id", F.encode(normalised(F.col("text")), "UTF-8").alias("body"))
-    copies = hits.where("doc_id <> keep_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_size") / SALT_ROWS)))
-    keepers = hits.groupBy("keep_id").agg(F.max("group_size").alias("n")).select("keep_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SALT_ROWS) - 1)).alias("salt"))
-    left = copies.join(texts, "doc_id").select("doc_id", "digest", "keep_id", "salt", "body")
-    right = keepers.join(texts.withColumnRenamed("doc_id", "keep_id").withColumnRenamed("body", "keep_body").dropDuplicates(["keep_id"]), "keep_id")
-    return left.join(right, ["keep_id", "salt"]).where("body <> keep_body").select("doc_id", "digest").distinct()
-
-
-def assign(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, digest."""
     spark = docs.sparkSession
-    shared_dir(spark)
-    docs = docs.select("doc_id", "text")
-    log_path = scratch_path(spark, "dedup-arrivals")
-    arrived = arrivals(docs, digest)
-    arrived.write.parquet(log_path)
-    log = spark.read.schema(arrived.schema).parquet(log_path)
-    state = stream_state(log, log_path, files_per_batch)
-    joined = with_state(log, state)
-    hits = stored(joined.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), "dedup-hits")
-    out = joined.select("doc_id", "digest", "keep_id", "group_size", "n_points")
-    if not hits.isEmpty():
-        differ = stored(collisions(docs, hits), "dedup-collisions")
-        if not differ.isEmpty():
-            out = regrouped(docs, out, differ)
-    return first_of_repeats(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    rows = log.join(sized(hits.select("digest"), row_bytes=80), "digest").select("digest", F.col("doc_id").alias("_id"), F.col("place").alias("_place"))
+    rows = stored(rows, "dedup-hits")
+    placed = docs.select("doc_id", "text", place_of(docs).alias("place"))
+    texts = placed.join(sized(rows, row_bytes=90), (F.col("place") == F.col("_place")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("digest", "text")
+    if resumed:  # an entry's row may have come with an earlier call
+        mine = rows.select("digest", F.col("_place").alias("keep_place"))
+        texts = texts.unionByName(texts_at(spark, stored(hits.join(mine, ["digest", "keep_place"], "left_anti").join(rows.select("digest").distinct(), "digest", "left_semi"), "dedup-keepers")))
+    body = F.encode(normalised(F.col("text")), "UTF-8")
+    return texts.groupBy("digest").agg(F.min(body).alias("low"), F.max(body).alias("high")).where("low <> high").select("digest")
+
+
+def rows_with_entries(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state_path: str | None = None) -> DataFrame:
+    """doc_id, place, digest, keep_id, group_size and kept of every row of docs (which has locators)."""
+    spark = docs.sparkSession
+    log_path = f"{state_path}/arrivals" if state_path else scratch_path(spark, "dedup-arrivals")
+    resumed = bool(state_path) and bool(_batches(spark, log_path))
+    arrived = stored(arrivals(docs, digest), "dedup-arrived") if state_path else arrivals(docs, digest)
+    arrived.write.mode("append").parquet(log_path)
+    log = arrived if state_path else spark.read.schema(arrived.schema).parquet(log_path)
+    state, mixed = stream_state(log, log_path, files_per_batch, state_path and f"{state_path}/state", lambda hits: differing(docs, log, hits, resumed))
+    out = with_state(log, state).select("doc_id", "place", "digest", "keep_id", "group_size", (F.col("keep_place").eqNullSafe(F.col("place")) & F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+    mixed = stored(mixed, "dedup-collisions")
+    return out if mixed.isEmpty() else regrouped(docs, out, mixed, digest)
+
+
+def assign(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state_path: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, digest."""
+    shared_dir(docs.sparkSession)
+    docs = located(docs.select("doc_id", "text"))
+    return rows_with_entries(docs, digest, files_per_batch, state_path).select("doc_id", "keep_id", "group_size", "kept", "digest")
 
 
 def with_state(log: DataFrame, state: DataFrame) -> DataFrame:
     """Each arrival with its entry. Entries of many rows, of which there are few, go to the arrivals instead of gathering theirs."""
-    state = stored(state, "dedup-entries")
+    state = stored(state.select("digest", "group_size", "keep_id", "keep_place"), "dedup-entries")
     hot = sized(state.where(F.col("group_size") > SALT_ROWS), row_bytes=160)
     rest = log.join(hot.select("digest"), "digest", "left_anti").join(state.where(F.col("group_size") <= SALT_ROWS), "digest")
     return log.join(hot, "digest").unionByName(rest)
 
 
-def regrouped(docs: DataFrame, out: DataFrame, differ: DataFrame) -> DataFrame:
-    """Groups in which a digest stands for different bytes are dealt anew by the bytes themselves."""
-    mixed = differ.select("digest").distinct()
-    bad = out.join(sized(mixed), "digest", "left_semi")
-    bodies = docs.join(sized(bad.select("doc_id").distinct()), "doc_id").select("doc_id", normalised(F.col("text")).alias("body")).dropDuplicates(["doc_id", "body"])
-    full = bad.select("doc_id", "digest", "n_points").join(bodies, "doc_id")
-    best = full.groupBy("digest", "body").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_points")).alias("shorter"), "doc_id")).alias("best"))
-    again = full.join(best, ["digest", "body"]).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", "n_points")
-    return out.join(sized(mixed), "digest", "left_anti").select("doc_id", "digest", "keep_id", "group_size", "n_points").union(again)
-
-
-def first_of_repeats(out: DataFrame) -> DataFrame:
-    """Of rows that repeat a kept doc_id, only one stays kept: the one with the most code points."""
-    twice = out.where("kept").groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if twice.isEmpty():
-        return out.drop("n_points")
-    w = Window.partitionBy("digest", "doc_id").orderBy(F.col("n_points").desc())
-    return out.withColumn("kept", F.col("kept") & (F.row_number().over(w) == 1)).drop("n_points")
+def regrouped(docs: DataFrame, out: DataFrame, mixed: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Digests that stand for different bytes (of this call's documents): their rows are dealt anew by the bytes themselves."""
+    norm = normalised(F.col("text"))
+    rows = docs.select("doc_id", place_of(docs).alias("place"), digest(norm).alias("digest"), norm.alias("body"), F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"))
+    full = rows.join(sized(mixed), "digest", "left_semi")
+    best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place"))
+    groups = full.groupBy("digest", "body").agg(F.count("*").alias("group_size"), best.alias("best"))
+    kept = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.place") == F.col("place"))
+    again = full.join(groups, ["digest", "body"]).select("doc_id", "place", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"))
+    return out.join(sized(mixed), "digest", "left_anti").select(again.columns).union(again)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    out = assign(docs)
-    gone = stored(out.where("not kept").select("doc_id", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeat")), "dedup-gone")
-    left = without_ids(docs, gone.where("not repeat"))
-    repeats = gone.where("repeat")
-    if repeats.isEmpty():
-        return left
-    ids = repeats.select("doc_id").distinct()
-    named = left.join(sized(ids), left.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    others = left.join(sized(ids), left.doc_id.eqNullSafe(ids.doc_id), "left_anti")
-    best = named.withColumn("_points", F.char_length(F.coalesce("text", F.lit("")))).orderBy(F.col("_points").desc()).dropDuplicates(["doc_id"]).drop("_points")
-    return others.unionByName(best.select(docs.columns))
+    shared_dir(docs.sparkSession)
+    docs = located(docs)
+    return without_rows(docs, stored(rows_with_entries(docs).where("NOT kept").select("doc_id", "place"), "dedup-gone"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import min_labels, shared_dir, sized, stored, without_ids
+from meshwork.llm.common import located, min_labels, place_of, shared_dir, sized, stored, without_rows
 
 SEED = 42
 #: Words hashed at a time, which bounds the memory that a very long text takes.
@@ -332,14 +332,8 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     return min_labels(keyed.join(sized(shared, row_bytes=24), ["part", "key"]).select("a", F.col("node").alias("b")))
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id and component_id of every row; documents link whose shingle sets have this Jaccard similarity.
-
-    Sets that share a band of least hashes are candidates, and groups of candidates
-    hold all links among them. Inside a group the sets themselves are compared. The
-    bands are the same for every table, so two documents are treated alike in all.
-    """
-    shared_dir(docs.sparkSession)
+def similar_rows(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """doc_id, place, component_id and kept of every row of docs (with locators); of a component the smallest doc_id's row is kept."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,16 +344,18 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
             rows = [(identity(x), len(x), band_keys(x)) for x in (shingle_set(t.as_py(), shingle) for t in batch.column("text"))]
             node, n, keys = zip(*rows, strict=True)
             ends = pa.array(range(0, BANDS * len(rows) + 1, BANDS), pa.int32())
-            columns = [batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys"])
+            columns = [batch.column("doc_id"), batch.column("place"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "node", "n", "keys"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([identity(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "hashes"])
 
-    fps = stored(docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {doc_type}, node long, n long, keys array<long>"), "shingle-keys")
-    nodes = fps.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = docs.select("doc_id", place_of(docs).alias("place"), "text")
+    fps = stored(rows.mapInArrow(prints, f"doc_id {doc_type}, place long, node long, n long, keys array<long>"), "shingle-keys")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")).alias("least")
+    nodes = fps.groupBy("node").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stored(nodes, "shingle-nodes")
     groups = candidate_groups(nodes)
     members = nodes.select("node", "least", "n").join(sized(groups, row_bytes=16), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -367,8 +363,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     large = members.groupBy("label").agg(F.count("*").alias("size"), chunks.alias("chunks")).where("size > 1").drop("size")
     wanted = stored(members.join(sized(large, row_bytes=16), "label").select("node", "least", "label", "chunks"), "candidates")
     n = wanted.count()
-    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(sized(ids, n, 16), "doc_id", "left_semi").select("text").mapInArrow(sets_of, "node long, hashes binary")
+    ids = wanted.select(F.col("least.doc_id").alias("_id"), F.col("least.place").alias("_at"))
+    sets = rows.join(sized(ids, n, 24), (F.col("place") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(sets_of, "node long, hashes binary")
     # A group beyond a chunk is dealt to one task for each pair of its chunks; a set that comes again counts once.
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     tiles = sets.join(sized(wanted.drop("least"), n, 32), "node").select("node", "label", "hashes", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("d"))
@@ -376,12 +372,26 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     links = tiles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: verify(it, similarity), "a long, b long")
     labels = min_labels(links)
     named = stored(nodes.select("node", "least").join(sized(labels, row_bytes=16), "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "similar-nodes")
-    first = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = stored(named.join(sized(first, row_bytes=16), "label").select("node", "component_id"), "similar-components")
-    return fps.select("doc_id", "node").join(sized(by_node, row_bytes=16), "node", "left").select("doc_id", "component_id")
+    first = named.groupBy("label").agg(F.min("least").alias("first"))
+    by_node = stored(named.join(sized(first, row_bytes=32), "label").select("node", "first"), "similar-components")
+    kept = F.col("first.place").eqNullSafe(F.col("place")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    return fps.select("doc_id", "place", "node").join(sized(by_node, row_bytes=32), "node", "left").select("doc_id", "place", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id and component_id of every row; documents link whose shingle sets have this Jaccard similarity.
+
+    Sets that share a band of least hashes are candidates, and groups of candidates
+    hold all links among them. Inside a group the sets themselves are compared. The
+    bands are the same for every table, so two documents are treated alike in all.
+    A text without words links to others without; a null doc_id counts last.
+    """
+    shared_dir(docs.sparkSession)
+    return similar_rows(located(docs.select("doc_id", "text")), similarity, shingle).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the smallest doc_id."""
-    found = similar_components(docs, similarity, shingle)
-    return without_ids(docs, stored(found.where("doc_id <> component_id").select("doc_id"), "near-copies"))
+    """The rows of docs that stay: of each group of near copies one row, that of the smallest doc_id."""
+    shared_dir(docs.sparkSession)
+    docs = located(docs)
+    return without_rows(docs, stored(similar_rows(docs, similarity, shingle).where("NOT kept").select("doc_id", "place"), "near-copies"))
