@@ -1,19 +1,23 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Each line of a text is a paragraph. A multinomial logistic regression over sparse
-word 1- and 2-grams, fitted on the driver on the templates and sentences below,
-tells the license families and an unknown class apart; its probabilities are
-calibrated by a temperature fitted on examples held out of the fit. A prediction
-is confirmed where the paragraph's 2-grams cover enough of a template of the
-family, or the family's templates enough of the paragraph.
+A paragraph ends at a blank line, or at a line's end that ends a sentence too; other
+line ends are those of wrapped text. Each paragraph is judged, and each line of a
+paragraph of several lines for itself as well. A multinomial logistic regression over sparse
+word 1- and 2-grams, fitted on the driver on the templates and sentences below, tells
+the license families and an unknown class apart. Its probabilities are calibrated by
+a temperature fitted on templates and sentences of which the fit saw no form. A
+prediction is confirmed where the paragraph's 2-grams cover enough of a template of
+the family, or the family's templates enough of the paragraph.
 
 Scanning uses DataFrame operations only: hashed n-grams of all paragraphs meet the
 vocabulary in an equi join, and the weights are summed by paragraph. A paragraph
 without any known n-gram is unknown, as the fit gives such a paragraph that class.
 
-Defined results: null and empty texts, and empty lines, have no licence; repeated
-rows are reported each; a null doc_id is reported as null; an empty table gives no
-rows; other columns are not read.
+Defined results: null and empty texts, and empty paragraphs, have no licence;
+paragraphs, and lines in them, are counted from 0 with the empty ones, line is null
+for a whole paragraph of several lines; repeated rows are reported each; a
+null doc_id is reported as null; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -117,6 +121,8 @@ STOP = frozenset("a all along also an and any are as at be by can copy each file
 UNKNOWN = "unknown"
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
 MIN_PROBABILITY = 0.5
+#: Where one paragraph ends and the next begins.
+PARAGRAPH = r"(?<=[.!?:;]\r{0,1})\n|\n(?=[ \t\r]*\n)"
 #: Share of a template's 2-grams in the paragraph, or of the paragraph's in the family's templates, that confirms.
 CONFIRMED = 0.6
 
@@ -146,11 +152,14 @@ class Model:
         return e / e.sum()
 
 
-def examples() -> list[tuple[str, str]]:
-    """Templates and other sentences, whole, in stretches of words, and with every few words left out."""
-    out = [("", UNKNOWN)] * 10
+def examples() -> list[tuple[str, str, bool]]:
+    """Templates and other sentences, whole, in stretches of words, and with every few words left out; and whether held out.
+
+    All forms of a text are on one side: of each family's texts every third one is held out.
+    """
+    out = [("", UNKNOWN, False)] * 10
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
-        for text in texts:
+        for k, text in enumerate(texts):
             w = words_of(text)
             forms = [w] * 6 + [w[:k] + w[k + 1 :] for k in range(len(w)) if len(w) > 4]
             if family == UNKNOWN:
@@ -158,21 +167,21 @@ def examples() -> list[tuple[str, str]]:
             else:
                 forms += [w[k : k + 12] for k in range(0, max(1, len(w) - 11), 3) if len(w) > 14]
                 forms += [["see", "below", *w], [*w, "thank", "you"]]
-            out += [(" ".join(f), family) for f in forms]
+            out += [(" ".join(f), family, k % 3 == 1) for f in forms]
     return out
 
 
 def fit(ridge: float = 0.02, rounds: int = 120) -> Model:
-    """Fit the classifier on the fixed examples and its temperature on every fifth one, held out."""
+    """Fit the classifier on the fixed examples, after its temperature on the texts held out."""
     data = examples()
-    vocabulary = sorted(g for g, n in Counter(g for t, _ in data for g in grams_of(t.split())).items() if n > 1 and not STOP.issuperset(g.split(" ")))
+    vocabulary = sorted(g for g, n in Counter(g for t, *_ in data for g in grams_of(t.split())).items() if n > 1 and not STOP.issuperset(g.split(" ")))
     index = {g: k for k, g in enumerate(vocabulary)}
     x = np.zeros((len(data), len(vocabulary)), np.float32)
-    y = np.array([FAMILIES.index(f) for _, f in data])
-    for row, (text, _) in zip(x, data, strict=True):
+    y = np.array([FAMILIES.index(f) for _, f, _ in data])
+    for row, (text, *_) in zip(x, data, strict=True):
         words = text.split()
         row[[index[g] for g in grams_of(words) if g in index]] = 1 / math.sqrt(max(1, len(words)))
-    held = np.arange(len(data)) % 5 == 4
+    held = np.array([h for *_, h in data])
 
     def descend(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w, b = np.zeros((len(FAMILIES), x.shape[1]), np.float32), np.zeros(len(FAMILIES), np.float32)
@@ -212,14 +221,22 @@ def known_words(model: Model) -> list[int]:
     return [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(g.encode(), 42) for g in model.vocabulary if " " not in g)]
 
 
+def units(paragraph: Column, p: Column) -> Column:
+    """The whole paragraph and, where it has several, its lines."""
+    lines = F.split(paragraph, "\n", -1)
+    each = F.transform(lines, lambda x, i: F.struct(p.alias("paragraph"), i.alias("line"), word_hashes(x).alias("w")))
+    whole = F.array(F.struct(p.alias("paragraph"), F.lit(None).cast("int").alias("line"), word_hashes(paragraph).alias("w")))
+    return F.when(F.size(lines) == 1, each).otherwise(F.concat(whole, each))
+
+
 def paragraphs(docs: DataFrame, known: list[int]) -> DataFrame:
-    """row, doc_id, paragraph and the word hashes of every line that holds a known word.
+    """row, doc_id, paragraph, line and the word hashes of every paragraph and line that holds a known word.
 
-    Lines are hashed and dismissed inside one array expression, so that a line
-    without a known word never becomes a row.
+    They are hashed and dismissed inside one array expression, so that one without a
+    known word never becomes a row.
     """
-    hashed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line, i: F.struct(i.alias("paragraph"), word_hashes(line).alias("w")))
-    telling = F.filter(hashed, lambda x: F.exists(x["w"], lambda h: h.isin(known)))
+    parts = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), PARAGRAPH, -1), units))
+    telling = F.filter(parts, lambda x: F.exists(x["w"], lambda h: h.isin(known)))
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(telling).alias("x")).select("row", "doc_id", "x.*")
 
 
@@ -242,15 +259,15 @@ def template_list() -> list[tuple[int, int, str]]:
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph, family, probability, coverage and confirmed of all paragraphs that are not unknown."""
+    """doc_id, paragraph, line, family, probability, coverage and confirmed of all paragraphs that are not unknown."""
     spark = docs.sparkSession
     shared_dir(spark)
     model = model or fit()
     rest = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.xxhash64(a, b))
     # The count is taken before the explosion, so that no array is copied to each n-gram.
-    counted = paragraphs(docs, known_words(model)).select("row", "doc_id", "paragraph", F.size("w").alias("n"), F.concat("w", pairs).alias("grams"))
-    grams = counted.select("row", "doc_id", "paragraph", "n", F.explode("grams").alias("gram"))
+    counted = paragraphs(docs, known_words(model)).select("row", "doc_id", "paragraph", "line", F.size("w").alias("n"), F.concat("w", pairs).alias("grams"))
+    grams = counted.select("row", "doc_id", "paragraph", "line", "n", F.explode("grams").alias("gram"))
     known = sized(vocabulary_table(spark, model), len(model.vocabulary), 256)
     # Repeats are dropped among the few n-grams that the vocabulary holds.
     hits = grams.join(known.select("gram"), "gram", "left_semi").distinct().join(known, "gram")
@@ -259,7 +276,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sums = [F.sum(F.get("weights", i)).alias(f"s{i}") for i in k]
     shared = [F.sum((F.col("pair") & F.array_contains("templates", t)).cast("int")).alias(f"t{t}") for t in range(len(templates))]
     in_family = [F.sum((F.col("pair") & F.arrays_overlap("templates", F.array(*(F.lit(t) for t, x in enumerate(templates) if x[0] == i)))).cast("int")).alias(f"f{i}") for i in k[:-1]]
-    scored = hits.groupBy("row", "doc_id", "paragraph", "n").agg(*sums, *shared, *in_family)
+    scored = hits.groupBy("row", "doc_id", "paragraph", "line", "n").agg(*sums, *shared, *in_family)
     z = [(F.lit(float(model.bias[i])) + F.col(f"s{i}") / F.sqrt(F.col("n").cast("double"))) / model.temperature for i in k]
     scored = scored.withColumn("z", F.array(*z)).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
@@ -269,4 +286,4 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     own = F.array(*(F.col(f"f{i}") / F.greatest(F.col("n") - 1, F.lit(1)) for i in k[:-1]))
     coverage = F.greatest(F.get(best, F.col("class")), F.get(own, F.col("class")))
     names = F.array(*(F.lit(f) for f in FAMILIES))
-    return likely.select("doc_id", "paragraph", F.get(names, F.col("class")).alias("family"), F.round("probability", 6).alias("probability"), F.round(coverage, 6).alias("coverage"), (coverage >= CONFIRMED).alias("confirmed"))
+    return likely.select("doc_id", "paragraph", "line", F.get(names, F.col("class")).alias("family"), F.round("probability", 6).alias("probability"), F.round(coverage, 6).alias("coverage"), (coverage >= CONFIRMED).alias("confirmed"))
