@@ -43,8 +43,8 @@ PAD = 2 * CONTEXT
 BUFFER, SORT_CHARS = 1 << 18, 1 << 17
 #: Anchors that a task settles and deals at a time.
 HELD = 300_000
-#: Parts that anchors are dealt to by hash.
-PARTS = 4096
+#: Bytes of text for each part that anchors are dealt to by hash, and fewest and most parts.
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 1 << 21, 4096, 1 << 24
 HOT_CONTEXTS = 20_000
 NOBODY = (1 << 63) - 1
 
@@ -138,29 +138,34 @@ def spots(rows: np.ndarray) -> tuple[list[pa.Array], list[str]]:
 PACKED = "part int, rows binary, doc long, body long, spots binary"
 
 
-def packed(parts: np.ndarray, blobs: list[bytes], covered: np.ndarray) -> pa.RecordBatch:
+def parts_for(n_bytes: int) -> int:
+    """How many parts a corpus of so many bytes is dealt to, so that a part stays about as large whatever the corpus."""
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << (n_bytes // PART_BYTES).bit_length()))
+
+
+def packed(parts: np.ndarray, blobs: list[bytes], covered: np.ndarray, n_parts: int) -> pa.RecordBatch:
     columns, _ = spots(covered)
     n, m = len(blobs), len(columns[0])
     none = lambda k, t: pa.nulls(k, t)
     return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([pa.array(parts, pa.int32()), pa.array(columns[0].to_numpy() % PARTS, pa.int32())]), pa.concat_arrays([pa.array(blobs, pa.binary()), none(m, pa.binary())])]
+        [pa.concat_arrays([pa.array(parts, pa.int32()), pa.array(columns[0].to_numpy() % n_parts, pa.int32())]), pa.concat_arrays([pa.array(blobs, pa.binary()), none(m, pa.binary())])]
         + [pa.concat_arrays([none(n, c.type), c]) for c in columns],
         [x.split()[0] for x in PACKED.split(", ")],
     )
 
 
-def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def emit_anchors(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     """Blobs of anchors by part, and the rows of this task that are settled already, spread over the parts."""
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
         first, covered = settle(np.concatenate(held))
-        part = (first["hash"] >> np.uint64(40)).astype(np.int64) % PARTS
+        part = (first["hash"] >> np.uint64(40)).astype(np.int64) % n_parts
         order = np.argsort(part, kind="stable")
         first, part = first[order], part[order]
         cuts = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0]
         # Column after column: equal high bytes compress well.
         blobs = [b"".join(np.ascontiguousarray(first[name][a:b]).tobytes() for name in ANCHOR.names) for a, b in zip(cuts, np.r_[cuts[1:], len(first)], strict=True)]
-        return packed(part[cuts], blobs, covered)
+        return packed(part[cuts], blobs, covered, n_parts)
 
     held: list[np.ndarray] = []
     n = 0
@@ -476,7 +481,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """doc, body, spots (anchors whose whole context is covered) and spans (covered intervals) of documents that lose bytes."""
     texts = keyed(docs).select(F.col("_doc").alias("doc"), F.col("_body").alias("body"), F.col("_bytes").alias("text")).where(F.octet_length("text") >= SPAN)
-    found = stored(texts.mapInArrow(emit_anchors, PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(split_parts, WANTED), "anchors")
+    n_parts = parts_for(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    found = stored(texts.mapInArrow(lambda it: emit_anchors(it, n_parts), PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(split_parts, WANTED), "anchors")
     wanted = found.where("wanted IS NOT NULL").groupBy("doc", "body").agg(F.collect_list("wanted").alias("list"))
     blob = F.aggregate("list", F.lit(bytearray()), lambda a, x: F.concat(a, x))
     contexts = wanted.select("doc", "body", blob.alias("wanted")).join(texts, ["doc", "body"]).select("doc", "body", "wanted", "text")
