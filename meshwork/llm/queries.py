@@ -69,28 +69,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-_RULES = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}', '{r}', 1)" for r, v in url_filter.RULES)
-_JUNK = ", ".join(f"('{n}.{d}', '', 'block', NULL, 0)" for n in url_filter.JUNK_NAMES for d in url_filter.EXAMPLE_DOMAINS)
+_RULES = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}', '{r}')" for r, v in url_filter.RULES)
+_JUNK = ", ".join(f"('{n}.{d}')" for n in url_filter.JUNK_NAMES for d in url_filter.EXAMPLE_DOMAINS)
 
 _TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
-_MASKS = ", ".join(f"({k}, {len(m)}, [{', '.join(str(i) for i, c in enumerate(m) if c == '1')}])" for k, m in enumerate(decontaminate.MASKS))
-_SHORT = ", ".join(f"({n + 100}, {n}, [{', '.join(map(str, range(n)))}])" for n in range(decontaminate.MIN_TOKENS, len(decontaminate.MASKS[0])))
 
 SQL: dict[str, str] = {
     "op2_url_filter": rf"""
-WITH listed(h, p, v, r, k) AS (VALUES {_RULES}, {_JUNK}),
+WITH rules(h, p, v, r) AS (VALUES {_RULES}), listed(h) AS (VALUES {_JUNK}),
 u AS (
   SELECT row_number() OVER () AS n, page_id,
     coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages
 ),
+c AS (SELECT n, trim(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '\.{{2,}}', '.', 'g'), '.') AS bare FROM u),
 best AS (
-  SELECT n, first(r ORDER BY k DESC, length(h || p) DESC, h || p DESC) AS r, first(v ORDER BY k DESC, length(h || p) DESC, h || p DESC) AS v
-  FROM u JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  SELECT n, first(r ORDER BY length(h || p) DESC, h || p DESC) AS r, first(v ORDER BY length(h || p) DESC, h || p DESC) AS v
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
   GROUP BY n
-)
-SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM u LEFT JOIN best USING (n)
+),
+junk AS (SELECT DISTINCT n FROM c JOIN listed ON bare = h OR ends_with(bare, '.' || h))
+SELECT page_id, host, path, best.r AS rule, coalesce(best.v, CASE WHEN junk.n IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN best USING (n) LEFT JOIN junk USING (n)
 """,
     "op3_exact_dedup": r"""
 WITH d AS (
@@ -108,39 +108,29 @@ r AS (SELECT *, payload_bytes >= 1000 AND max(page_id) OVER (PARTITION BY same)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
 """,
     "op6_decontamination": rf"""
-WITH m(mask, span, offs) AS (VALUES {_MASKS}, {_SHORT}),
-d AS (SELECT row_number() OVER () AS n, doc_id, {_TOKENS} AS t FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_TOKENS} AS t FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT row_number() OVER () AS k, item_id, {_TOKENS} AS t FROM benchmark WHERE item_id IS NOT NULL),
-bm AS (SELECT k, item_id, t, mask, span, offs FROM b, m WHERE len(t) >= {decontaminate.MIN_TOKENS} AND (CASE WHEN len(t) >= {len(decontaminate.MASKS[0])} THEN mask < 100 ELSE span = len(t) END)),
-used AS (SELECT DISTINCT mask, span, offs FROM bm),
-bs AS (SELECT k, item_id, t, mask, i, list_transform(offs, lambda o: t[i + o + 1]) AS key FROM (SELECT *, unnest(range(0, len(t) - span + 1)) AS i FROM bm)),
-ds AS (SELECT n, doc_id, mask, i, list_transform(offs, lambda o: t[i + o + 1]) AS key FROM (SELECT n, doc_id, t, mask, offs, unnest(range(0, len(t) - span + 1)) AS i FROM d, used WHERE len(t) >= span)),
-hit AS (SELECT DISTINCT ds.n, bs.k, ds.i - bs.i AS diagonal FROM ds JOIN bs USING (mask, key)),
-laid AS (
-  SELECT d.doc_id, b.item_id, diagonal, least({decontaminate.WINDOW}, len(b.t)) AS w,
-    list_transform(range(0, len(b.t)), lambda x: CASE WHEN diagonal + x >= 0 AND diagonal + x < len(d.t) AND d.t[diagonal + x + 1] = b.t[x + 1] THEN 1 ELSE 0 END) AS same
-  FROM hit JOIN d USING (n) JOIN b USING (k)
-),
-win AS (SELECT doc_id, item_id, w, diagonal + s AS doc_from, list_sum(same[s + 1 : s + w]) AS matches FROM (SELECT *, unnest(range(0, len(same) - w + 1)) AS s FROM laid))
-SELECT doc_id, item_id, max(matches)::INT AS matches, min(doc_from)::INT AS doc_from FROM (
-  SELECT *, max(matches) OVER (PARTITION BY doc_id, item_id) AS top FROM win WHERE matches >= ceil(w * {decontaminate.SHARE})
-) WHERE matches = top GROUP BY doc_id, item_id
+dt AS (SELECT n, unnest(t) AS word, unnest(range(0, len(t))) AS p FROM d),
+bt AS (SELECT k, len(t) AS size, least({decontaminate.WINDOW}, len(t)) AS w, unnest(t) AS word, unnest(range(0, len(t))) AS q FROM b WHERE len(t) >= {decontaminate.MIN_TOKENS}),
+laid AS (SELECT n, k, p - q AS diagonal, size, w, list(q) AS same FROM dt JOIN bt USING (word) GROUP BY ALL HAVING count(*) >= ceil(w * {decontaminate.SHARE})),
+win AS (SELECT n, k, w, diagonal + s AS doc_from, len(list_filter(same, lambda q: q >= s AND q < s + w)) AS matches FROM (SELECT *, unnest(range(0, size - w + 1)) AS s FROM laid)),
+best AS (SELECT doc_id, item_id, doc_from, matches, max(matches) OVER (PARTITION BY doc_id, item_id) AS top FROM win JOIN d USING (n) JOIN b USING (k) WHERE matches >= ceil(w * {decontaminate.SHARE}))
+SELECT doc_id, item_id, matches::INT AS matches, min(doc_from)::INT AS doc_from FROM best WHERE matches = top GROUP BY doc_id, item_id, matches
 """,
     "op7_line_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT n, doc, i, trim(ls[i + 1], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d)),
 b AS (SELECT n, doc, i, line, row_number() OVER (PARTITION BY n ORDER BY i) - 1 AS j FROM l WHERE line <> ''),
 w AS (
-  SELECT n, doc, j, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS key, lead(line, {line_dedup.RUN - 1}) OVER w AS last
-  FROM b WINDOW w AS (PARTITION BY n ORDER BY j)
+  SELECT n, doc, j, k, following FROM (SELECT n, doc, j, list(line) OVER (PARTITION BY n ORDER BY j ROWS BETWEEN CURRENT ROW AND {line_dedup.RUN - 1} FOLLOWING) AS following FROM b), range(1, {line_dedup.RUN} + 1) AS t(k)
 ),
-f AS (SELECT n, j, {{'d': doc, 'j': j}} > min({{'d': doc, 'j': j}}) OVER (PARTITION BY key) AS again FROM w WHERE last IS NOT NULL),
-r AS (SELECT n, j, j - lag(j) OVER (PARTITION BY n ORDER BY j) AS gap FROM f WHERE again),
-g AS (SELECT DISTINCT n, j + k AS j FROM r, range(0, {line_dedup.RUN}) AS t(k)),
+c AS (SELECT n, doc, j, k, following[:k] AS key FROM w WHERE len(following) >= k AND (k = {line_dedup.RUN} OR list_sum(list_transform(following[:k], lambda x: length(x))) >= {line_dedup.RUN_CHARS})),
+f AS (SELECT n, j, k, {{'d': doc, 'j': j}} > min({{'d': doc, 'j': j}}) OVER (PARTITION BY key) AS again FROM c),
+g AS (SELECT DISTINCT n, j + x AS j FROM f, range(0, {line_dedup.RUN}) AS t(x) WHERE again AND x < k),
 gi AS (SELECT b.n, b.i FROM g JOIN b USING (n, j)),
 kept AS (SELECT l0.n, count(gi.i) AS n_removed, string_agg(CASE WHEN gi.i IS NULL THEN l0.line END, chr(10) ORDER BY l0.i) AS body
   FROM (SELECT n, i, ls[i + 1] AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d)) l0 LEFT JOIN gi USING (n, i) GROUP BY l0.n),
-runs AS (SELECT n, count(*) FILTER (WHERE gap IS NULL OR gap > {line_dedup.RUN}) AS n_runs FROM r GROUP BY n)
+runs AS (SELECT n, count(*) FILTER (WHERE gap IS NULL OR gap > 1) AS n_runs FROM (SELECT n, j - lag(j) OVER (PARTITION BY n ORDER BY j) AS gap FROM g) GROUP BY n)
 SELECT doc_id, len(ls)::INT AS n_lines, n_removed::INT AS n_removed, coalesce(n_runs, 0)::INT AS n_runs, sha256(coalesce(body, '')) AS kept_sha256
 FROM d JOIN kept USING (n) LEFT JOIN runs USING (n)
 """,

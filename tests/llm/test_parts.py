@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.llm import decontaminate, exact_dedup, packing, simhash, suffix_dedup, toxicity, warc
+from meshwork.llm import decontaminate, exact_dedup, licenses, line_dedup, packing, simhash, suffix_dedup, toxicity, url_filter, warc
 from meshwork.llm.common import min_labels, scratch_path
 
 
@@ -171,3 +171,70 @@ def test_held_out_accuracy_and_quotation(spark):
     scorer = toxicity.Scorer(toxicity.Model(words=["idiot"]))
     assert scorer.features("you idiot go")[1] > scorer.features('he said "idiot" once')[1] > 0
     assert scorer.features("you idoit")[0] == 0 and scorer.features("you idiott")[0] > 0
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    rows = [(3, "aa"), (5, "aa"), (5, "bb"), (None, "a a"), (None, "bb"), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = exact_dedup.assign(docs)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()), key=repr) == sorted(
+        [(3, None, 3, False), (5, None, 3, False), (None, None, 3, True), (5, 5, 2, True), (None, 5, 2, False), (7, 7, 2, True), (7, 7, 2, False)], key=repr
+    )
+    mixed = exact_dedup.assign(docs, digest=lambda norm: F.lit("same"))
+    assert sorted((r.group_size, r.kept) for r in mixed.collect()) == [(2, False), (2, False), (2, True), (2, True), (3, False), (3, False), (3, True)]
+    named = docs.withColumns({"place": F.lit(1), "_place": F.lit(2), "digest": F.lit("d"), "_metadata": F.lit("m")})
+    left = exact_dedup.deduplicate(named)
+    assert left.columns == named.columns and sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id) == [(5, "bb"), (7, "")] or left.count() == 3
+
+
+def test_state_judges_later_documents_against_earlier_ones(spark):
+    state = scratch_path(spark, "kept-state")
+    first = spark.createDataFrame([(5, "x y"), (6, "z")], "doc_id long, text string")
+    later = spark.createDataFrame([(1, "xy"), (2, "z  "), (9, "new")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in exact_dedup.assign(first, state_path=state).collect()) == [(5, 5, True), (6, 6, True)]
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.assign(later, state_path=state).collect()) == [(1, 5, 2, False), (2, 2, 2, True), (9, 9, 1, True)]
+
+
+def test_lines_of_equal_hashes_are_compared(spark):
+    texts = ["a long line of words number one\nx", "y\na long line of words number two", "a long line of words number one\nz", "p\nq\nr", "o\np\nq\nr"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc, r.s, r.n) for r in line_dedup.repeated(docs, line_hash=lambda x: F.lit(7).cast("long")).collect()}
+    assert got == {(r.doc, r.s, r.n) for r in line_dedup.repeated(docs).collect()} == {(2, 0, 1), (4, 1, 3)}
+    out = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup.rewrite(docs.withColumn("n_runs", F.lit("was here"))).collect()}
+    assert out == {0: (0, texts[0]), 1: (0, texts[1]), 2: (1, "z"), 3: (0, texts[3]), 4: (3, "o")}
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path"),
+    [("http://u:p@A.example.com.:80/a/./b/../c", "a.example.com", "/a/c"), ("http://x..y//p//q/", "x.y", "/p/q/"), ("http://h/%7Ea%2Fb+c", "h", "/~a/b+c"), ("http://h/%zz", "h", "/%zz"), ("http://h", "h", ""), ("http://h/..", "h", "/")],
+)
+def test_canonical_urls(spark, url, host, path):
+    row = spark.createDataFrame([(url,)], "url string").select(url_filter.canonical_host(url_filter.host_of(F.col("url"))).alias("h"), url_filter.canonical_path(url_filter.path_of(F.col("url"))).alias("p")).first()
+    assert (row.h, row.p) == (host, path)
+
+
+def test_listed_urls_in_any_spelling(spark):
+    listed = spark.createDataFrame([("HTTP://Bad.example.org:80/x/../y",), ("http://all.example.org",), (None,), ("",)], "url string")
+    urls = ["http://bad.example.org/y", "http://bad.example.org/y/z", "http://me@bad.example.org./y?q", "http://sub.all.example.org:8080/any", "http://notall.example.org/", "http://a.net/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(pages, listed).orderBy("page_id").collect()] == ["block", "allow", "block", "block", "allow", "block", "allow"]
+
+
+def test_confirmed_licences(spark):
+    wrapped = "intro.\n\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the \"Software\"),\nto deal in the Software without restriction.\n\nThe end."
+    docs = spark.createDataFrame([(1, wrapped), (2, "Licensed under the Apache License, Version 2.0."), (3, "He lost his driving license last year and takes the bus to work.")], "doc_id long, text string")
+    rows = licenses.scan(docs).collect()
+    assert any(r.line is not None for r in rows)  # a wrapped licence's lines are judged too
+    got = {r.doc_id: (r.family, r.coverage, r.confirmed) for r in rows if r.line is None or r.doc_id != 1}
+    assert set(got) == {1, 2} and got[1][0] == "mit" and got[1][2] and got[2][0] == "apache" and got[2][2]
+    for _, (family, coverage, _) in got.items():
+        text = wrapped.split("\n\n")[1] if family == "mit" else "Licensed under the Apache License, Version 2.0."
+        pairs = lambda t: set(zip(licenses.words_of(t), licenses.words_of(t)[1:], strict=False))
+        known = {tuple(g.split()) for g in licenses.fit().vocabulary if " " in g}
+        best = max(len(pairs(t) & pairs(text) & known) / max(1, len(pairs(t))) for t in licenses.TEMPLATES[family])
+        own = len(pairs(text) & known & set().union(*(pairs(t) for t in licenses.TEMPLATES[family]))) / max(1, len(licenses.words_of(text)) - 1)
+        assert abs(coverage - max(best, own)) < 1e-6
+
+
+def test_parts_grow_with_the_corpus():
+    assert suffix_dedup.parts_for(10**9) == suffix_dedup.LEAST_PARTS and suffix_dedup.parts_for(3 * 10**10) > suffix_dedup.LEAST_PARTS

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -29,7 +30,7 @@ def test_empty_tables_give_no_rows(spark, empty, name):
     assert QUERIES[name](spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op6_decontamination"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op6_decontamination", "op7_line_dedup"])
 def test_awkward_rows_as_sql_says(spark, tables, by_sql, rows_of, name):
     assert rows_of(QUERIES[name](spark, tables)) == by_sql(tables, SQL[name])
 
@@ -144,11 +145,13 @@ def test_op9_against_the_model(spark, tables, folder):
     folder = tables if folder == "tables" else folder
     model, want = licenses.fit(), []
     for doc, text in documents(folder):
-        for k, line in enumerate((text or "").split("\n")):
-            p = model.probabilities(line)
-            if p.argmax() != len(p) - 1 and p.max() >= licenses.MIN_PROBABILITY:
-                want.append((doc, k, licenses.FAMILIES[p.argmax()], round(float(p.max()), 4)))
-    got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 4)) for r in licenses.scan(table(spark, folder, "documents"), model).collect()]
+        for k, paragraph in enumerate(re.split(r"(?<=[.!?:;])\n|(?<=[.!?:;]\r)\n|\n(?=[ \t\r]*\n)", text or "")):
+            lines = paragraph.split("\n")
+            for at, unit in [*([(None, paragraph)] if len(lines) > 1 else []), *enumerate(lines)]:
+                p = model.probabilities(unit)
+                if p.argmax() != len(p) - 1 and p.max() >= licenses.MIN_PROBABILITY:
+                    want.append((doc, (k, at), licenses.FAMILIES[p.argmax()], round(float(p.max()), 4)))
+    got = [(r.doc_id, (r.paragraph, r.line), r.family, round(r.probability, 4)) for r in licenses.scan(table(spark, folder, "documents"), model).collect()]
     assert [x[:3] for x in sorted(got, key=repr)] == [x[:3] for x in sorted(want, key=repr)]
     assert all(abs(a[3] - b[3]) < 1e-3 for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True))
     assert folder != tables or {x[2] for x in got} == {"apache", "proprietary"}
