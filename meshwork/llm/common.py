@@ -17,6 +17,17 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows and bytes that a Python worker is handed at once, unless the session sets them: whole texts are long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(16 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a batch holds for this session. Results are read lazily, so the bound has to outlive the call."""
+    for key, (default, bound) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, bound)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one made here where a local session has none."""
     sc = spark.sparkContext
@@ -27,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="meshwork-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
+    small_batches(spark)
     return base
 
 

@@ -33,7 +33,7 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 #: Chunks, and words of chunks, whose ids a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Parts in which a run of equal lengths is ranked.
 SALTS = 32
 

@@ -36,6 +36,8 @@ MIN_ROWS, MIN_LIFT = 3, 30.0
 STEMS = (4, 5, 6)
 #: Shortest term that matches with one edit.
 FUZZY_LENGTH = 5
+#: Words whose verdict a Python worker remembers.
+REMEMBERED = 200_000
 #: Words on each side of a hit that make its context.
 WINDOW = 8
 #: Speech verbs and quotation marks.
@@ -151,7 +153,7 @@ class Scorer:
         for w in set(tokens).difference(seen):
             seen[w] = match(w)
         grades = {w: seen[w] for w in set(tokens) if seen[w]} if tokens else {}
-        if len(seen) > 500_000:
+        if len(seen) > REMEMBERED:
             seen.clear()
         hits = [(k, grades[w]) for k, w in enumerate(tokens) if w in grades] if grades else []
         weighed = strongest = quoted = 0.0
