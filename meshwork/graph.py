@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """Cut lineage in the folder that spark.checkpoint.dir names; a folder of our own only where a local session has none."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="meshwork-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshwork-"))
     return df.checkpoint()
 
 
+#: Most rows and bytes that a join side may have and still be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def sized(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
+    """Mark df for broadcast only when its counted rows prove it small; otherwise leave the join to shuffle."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; removed when the driver ends."""
+    checkpointed(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/meshwork-{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is already gone: nothing is left to delete with
+            return
+
+    atexit.register(drop)
+    return path
+
+
 @dataclass(frozen=True)
 class Graph:
     """vertices: id and attributes; edges: src, dst and optionally weight, type and attributes."""
@@ -25,6 +57,15 @@ class Graph:
     vertices: DataFrame | None = None
     directed: bool = False
 
+    def stored(self) -> Graph:
+        """The same graph with its edges (and vertices) computed once; loops start with it."""
+        return Graph(checkpointed(self.edges), None if self.vertices is None else checkpointed(self.vertices), self.directed)
+
+    def undirected(self) -> Graph:
+        """Each pair of different vertices once, smaller id first, whatever directions and copies there were."""
+        pairs = self.edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        return Graph(pairs, self.vertices)
+
     def ids(self) -> DataFrame:
         if self.vertices is not None:
             return self.vertices.select("id").distinct()

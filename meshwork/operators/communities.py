@@ -1,92 +1,170 @@
-"""Community detection and the quality of a division. membership: id, community."""
+"""Community detection and the quality of a division. membership: id, community.
+
+An edge counts with its weight where the edges have a column of that name given, and
+one otherwise.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph, checkpointed
 from meshwork.operators.traversal import components
 
 
-def _with_ends(graph: Graph, membership: DataFrame) -> DataFrame:
+def weighed(graph: Graph, weight: str | None) -> DataFrame:
+    """src, dst, w."""
+    return graph.edges.select("src", "dst", (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"))
+
+
+def _with_ends(edges: DataFrame, membership: DataFrame) -> DataFrame:
     a = membership.select(F.col("id").alias("src"), F.col("community").alias("ca"))
     b = membership.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-    return graph.edges.join(a, "src").join(b, "dst")
+    return edges.join(a, "src").join(b, "dst")
+
+
+def community_modularity(graph: Graph, membership: DataFrame, weight: str | None = None) -> DataFrame:
+    """community and its share of the modularity: the part of all edges inside, less what the degrees lead to expect."""
+    e = weighed(graph, weight)
+    total = e.agg(F.sum("w").alias("m"))
+    ends = e.select(F.explode(F.array("src", "dst")).alias("id"), "w").join(membership, "id").groupBy("community").agg(F.sum("w").alias("k"))
+    inside = _with_ends(e, membership).where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.sum("w").alias("inside"))
+    both = membership.select("community").distinct().join(ends, "community", "left").join(inside, "community", "left").na.fill(0.0, ["k", "inside"])
+    return both.join(F.broadcast(total)).select("community", (F.col("inside") / F.col("m") - F.col("k") * F.col("k") / (4 * F.col("m") * F.col("m"))).alias("modularity"))  # one row is broadcast
 
 
-def modularity(graph: Graph, membership: DataFrame) -> DataFrame:
-    """One row with Q: the share of edges inside communities, less what the degrees lead to expect."""
-    m = graph.edges.count()
-    d = graph.degrees().join(membership, "id").groupBy("community").agg(F.sum("degree").alias("k"))
-    inside = _with_ends(graph, membership).where("ca = cb").agg(F.count("*").alias("inside"))
-    spread = d.agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("k2"))
-    return inside.join(F.broadcast(spread)).select((F.col("inside") / m - F.col("k2") / (4.0 * m * m)).alias("modularity"))  # one row is broadcast
+def modularity(graph: Graph, membership: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row with Q, the sum of the communities' shares."""
+    return community_modularity(graph, membership, weight).agg(F.sum("modularity").alias("modularity"))
+
+
+def move_gain(links: Column, degree: Column, total: Column, inside: Column, m: Column) -> Column:
+    """What Q changes by when a vertex with so many links joins a community of that total degree and inner weight (twice)."""
+    joined = (inside + links) / (2 * m) - ((total + degree) / (2 * m)) ** 2
+    apart = inside / (2 * m) - (total / (2 * m)) ** 2 - (degree / (2 * m)) ** 2
+    return joined - apart
 
 
 def quality(graph: Graph, membership: DataFrame) -> DataFrame:
     """community, size, inside, cut, volume, density and conductance."""
-    total = 2 * graph.edges.count()
-    e = _with_ends(graph, membership)
+    total = graph.edges.agg((2 * F.count("*")).alias("total"))
+    e = _with_ends(graph.edges.select("src", "dst"), membership)
     ends = e.select(F.explode(F.array_distinct(F.array("ca", "cb"))).alias("community"), (F.col("ca") == F.col("cb")).alias("within"))
     counts = ends.groupBy("community").agg(F.sum(F.col("within").cast("int")).alias("inside"), F.sum((~F.col("within")).cast("int")).alias("cut"))
     sizes = membership.groupBy("community").agg(F.count("*").alias("size"))
-    out = sizes.join(counts, "community", "left").na.fill(0, ["inside", "cut"]).withColumn("volume", 2 * F.col("inside") + F.col("cut"))
-    low = F.least(F.col("volume"), F.lit(total) - F.col("volume"))
+    out = sizes.join(counts, "community", "left").na.fill(0, ["inside", "cut"]).withColumn("volume", 2 * F.col("inside") + F.col("cut")).join(F.broadcast(total))  # one row is broadcast
+    low = F.least(F.col("volume"), F.col("total") - F.col("volume"))
     density = F.when(F.col("size") > 1, 2.0 * F.col("inside") / (F.col("size") * (F.col("size") - 1))).otherwise(0.0)
-    return out.withColumn("density", density).withColumn("conductance", F.when(low > 0, F.least(F.lit(1.0), F.col("cut") / low)).otherwise(0.0))
+    return out.withColumn("density", density).withColumn("conductance", F.when(low > 0, F.least(F.lit(1.0), F.col("cut") / low)).otherwise(0.0)).drop("total")
 
 
 def coverage(graph: Graph, membership: DataFrame) -> DataFrame:
-    return _with_ends(graph, membership).agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("coverage"))
+    return _with_ends(graph.edges.select("src", "dst"), membership).agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("coverage"))
+
+
+def summary(graph: Graph, membership: DataFrame) -> DataFrame:
+    """One row: modularity, average and size-weighted conductance, average density, communities and coverage."""
+    q = quality(graph, membership).agg(
+        F.count("*").alias("communities"), F.avg("conductance").alias("conductance"), (F.sum(F.col("conductance") * F.col("size")) / F.sum("size")).alias("weighted_conductance"), F.avg("density").alias("density")
+    )
+    return q.join(F.broadcast(modularity(graph, membership))).join(F.broadcast(coverage(graph, membership)))  # one row each
 
 
-def louvain(graph: Graph, rounds: int = 8, levels: int = 2) -> DataFrame:
-    """id and community by parallel local moving.
+def _modularity_of(step: DataFrame, degree: DataFrame, member: DataFrame, m: float) -> float:
+    """Q of a division of a level; step has every edge both ways, a loop once."""
+    k = member.join(degree, "id").groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
+    a, b = (member.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")) for c in "uv")
+    inside = step.join(a, "u").join(b, "v").where("cu = cv").agg(F.coalesce(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))), F.lit(0.0)).alias("inside"))
+    row = k.join(F.broadcast(inside)).first()  # one row each
+    return row.inside / (2 * m) - row.k2 / (4 * m * m)
+
+
+def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float, rounds: int, within: DataFrame | None = None, threshold: float = 1e-6) -> tuple[DataFrame, bool]:
+    """member (id, community) after rounds of local moving, and whether any vertex moved.
 
     In each round the vertices of one half, by hash and round, move to the community
-    around them with the largest positive gain; ties go to the smallest. Communities
-    then become vertices, until a level moves nothing.
+    around them with the largest gain; ties go to the smallest. With within (id, part),
+    moves stay inside a part, only vertices that are alone move, and they join
+    communities whose naming vertex does not move in this round. Sweeps go on until
+    one adds less than the threshold to the modularity.
     """
-    m = float(graph.edges.count())
-    plain = Graph(graph.edges.select("src", "dst", F.lit(1.0).alias("w")), None, False)
-    whole = checkpointed(graph.ids().select("id", F.col("id").alias("community")))
-    step = checkpointed(plain.adjacency("w").groupBy("u", "v").agg(F.sum("w").alias("w")))
+    moved_any, best_q = False, None
+    turn = lambda c, r: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
+    around = step.where("u <> v")
+    if within is not None:
+        a, b = within.select(F.col("id").alias("u"), F.col("part").alias("pu")), within.select(F.col("id").alias("v"), F.col("part").alias("pv"))
+        around = checkpointed(around.join(a, "u").join(b, "v").where("pu = pv").select("u", "v", "w"))
+    for r in range(2 * rounds):  # two halves are one sweep over all vertices
+        total = member.join(degree, "id").groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+        links = around.join(member.withColumnRenamed("id", "v"), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
+        own = member.select(F.col("id").alias("u"), F.col("community").alias("own")).join(degree.withColumnRenamed("id", "u"), "u")
+        tried = links.join(own, "u").join(total, "community")
+        mine = F.col("community") == F.col("own")
+        # Gain up to a constant of the vertex: links less expected links, its own community without itself.
+        value = F.round(F.col("inside") - F.col("k") * (F.col("tot") - F.when(mine, F.col("k")).otherwise(0.0)) / (2 * m), 9)
+        tried = tried.withColumn("value", value)
+        if within is not None:
+            alone = total.where("size = 1").select(F.col("community").alias("own"))
+            tried = tried.join(alone, "own", "left_semi").where(mine | ~turn(F.col("community"), r))
+        best = tried.groupBy("u").agg(F.min(F.struct((-F.col("value")).alias("worse"), "community")).alias("b"), F.max(F.when(mine, F.col("value"))).alias("stay"), F.first("own").alias("own"))
+        moves = best.where(turn(F.col("u"), r) & (-F.col("b.worse") > F.coalesce("stay", F.lit(0.0))) & (F.col("b.community") != F.col("own"))).select(F.col("u").alias("id"), F.col("b.community").alias("to"))
+        nxt = checkpointed(member.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
+        moves_made, member = nxt.agg(F.sum(F.col("moved").cast("int"))).first()[0], nxt.select("id", "community")
+        moved_any |= bool(moves_made)
+        if r % 2:  # a sweep is over: vertices that move at once may undo each other, so it is the whole that has to gain
+            q = _modularity_of(step, degree, member, m)
+            if best_q is not None and q < best_q + threshold:
+                break
+            best_q = q
+    return member, moved_any
+
+
+def _levels(graph: Graph, rounds: int, levels: int, refine: bool, weight: str | None) -> DataFrame:
+    edges = checkpointed(weighed(graph, weight))
+    m = float(edges.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
+    ids = checkpointed(graph.ids())
+    whole = ids.select("id", F.col("id").alias("node"))
+    step = checkpointed(Graph(edges).adjacency("w").groupBy("u", "v").agg(F.sum("w").alias("w")))
+    found, member = ids.select("id", F.col("id").alias("community")), None
     for _ in range(levels):
         degree = checkpointed(step.groupBy(F.col("u").alias("id")).agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")))
-        member = checkpointed(degree.select("id", F.col("id").alias("community")))
-        moved_any, still = False, 0
-        for r in range(rounds):
-            total = member.join(degree, "id").groupBy("community").agg(F.sum("k").alias("tot"))
-            links = step.where("u <> v").join(member.withColumnRenamed("id", "v"), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
-            own = member.select(F.col("id").alias("u"), F.col("community").alias("own")).join(degree.withColumnRenamed("id", "u"), "u")
-            tried = links.join(own, "u").join(total, "community")
-            # Gain up to a constant of the vertex: links less expected links, its own community without itself.
-            value = F.col("inside") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * m)
-            best = tried.withColumn("value", value).groupBy("u").agg(F.max(F.struct("value", (-F.col("community")).alias("low"))).alias("b"), F.max(F.when(F.col("community") == F.col("own"), F.col("value"))).alias("stay"), F.first("own").alias("own"), F.first("k").alias("k"))
-            alone = F.coalesce("stay", F.lit(0.0))
-            turn = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0
-            moves = best.where(turn & (F.col("b.value") > alone + 1e-9) & (-F.col("b.low") != F.col("own"))).select(F.col("u").alias("id"), (-F.col("b.low")).alias("to"))
-            nxt = checkpointed(member.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
-            changed = not nxt.where("moved").isEmpty()
-            member = nxt.select("id", "community")
-            moved_any |= changed
-            still = 0 if changed else still + 1
-            if still == 2:  # neither half moves
-                break
-        if not moved_any:
+        member, moved = _local_moves(step, degree, degree.select("id", F.col("id").alias("community")) if member is None else member, m, rounds)
+        top = member.select(F.col("id").alias("node"), "community")
+        found = checkpointed(whole.join(top, "node", "left").select("id", F.coalesce("community", "node").alias("community")))
+        if not moved:
             break
-        whole = checkpointed(whole.join(member.select(F.col("id").alias("community"), F.col("community").alias("top")), "community", "left").select("id", F.coalesce("top", "community").alias("community")))
-        step = checkpointed(step.join(member.select(F.col("id").alias("u"), F.col("community").alias("a")), "u").join(member.select(F.col("id").alias("v"), F.col("community").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), F.when((F.col("a") == F.col("b")) & (F.col("u") != F.col("v")), F.col("w") / 2).otherwise(F.col("w")).alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
-    return whole
+        parts = member
+        if refine:
+            parts, _ = _local_moves(step, degree, degree.select("id", F.col("id").alias("community")), m, rounds, member.withColumnRenamed("community", "part"))
+        part = parts.select(F.col("id").alias("node"), F.col("community").alias("next"))
+        whole = checkpointed(whole.join(part, "node", "left").select("id", F.coalesce("next", "node").alias("node")))
+        a, b = parts.select(F.col("id").alias("u"), F.col("community").alias("a")), parts.select(F.col("id").alias("v"), F.col("community").alias("b"))
+        inner = F.when((F.col("a") == F.col("b")) & (F.col("u") != F.col("v")), F.col("w") / 2).otherwise(F.col("w"))
+        step = checkpointed(step.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"), inner.alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+        # The next level starts from the communities, each named by one of its parts.
+        joined = parts.join(member.withColumnRenamed("community", "top"), "id").select(F.col("community").alias("id"), "top").distinct()
+        name = joined.groupBy("top").agg(F.min("id").alias("community"))
+        member = checkpointed(joined.join(name, "top").select("id", "community")) if refine else None
+    return found
+
+
+def louvain(graph: Graph, rounds: int = 20, levels: int = 3, weight: str | None = None) -> DataFrame:
+    """id and community: sweeps of local moving until none moves, then communities become vertices, level by level."""
+    return _levels(graph, rounds, levels, False, weight)
+
+
+def leiden(graph: Graph, rounds: int = 20, levels: int = 3, weight: str | None = None) -> DataFrame:
+    """id and community: as louvain, but the vertices of a level are refined parts of the communities, which keep their place.
+
+    Parts grow inside a community from single vertices only; at the end communities
+    that are not connected fall into their components.
+    """
+    return split_disconnected(graph, _levels(graph, rounds, levels, True, weight))
 
 
 def split_disconnected(graph: Graph, membership: DataFrame) -> DataFrame:
-    """Refinement: communities that are not connected fall into their components."""
-    inside = _with_ends(graph, membership).where("ca = cb").select("src", "dst")
+    """Communities that are not connected fall into their components."""
+    inside = _with_ends(graph.edges.select("src", "dst"), membership).where("ca = cb").select("src", "dst")
     parts = components(Graph(inside, membership.select("id")))
     return parts.select("id", F.col("component").alias("community"))
-
-
-def leiden(graph: Graph) -> DataFrame:
-    return split_disconnected(graph, louvain(graph))

@@ -1,59 +1,141 @@
-"""Seeded expansion in rounds: in each, every query expands its most urgent frontier vertex.
+"""Seeded expansion: each query (a set of seeds) grows from its seeds, its most urgent vertices first, until it may stop.
 
-Many queries (each a set of seeds) advance together; a round is one join of the
-picked vertices with the adjacency. The order is a column expression, so the
-members of the family differ in that alone.
+Strict one-by-one order would be a job per vertex. Urgency is cut into bands instead,
+and a round expands every frontier vertex of a query's lowest band, for all queries at
+once; a round is one plan of joins. What a query reaches when nothing is left to
+expand does not depend on the order; parents, rounds and where seeds meet first do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph, checkpointed
+from meshwork.graph import Graph, checkpointed, sized
+from meshwork.operators.paths import signature
+from meshwork.operators.traversal import min_labels, walked_back
 
+#: Orders whose bands need the state of the expansion, and are computed in each round.
+MOVING = ("breadth_first", "frontier_balanced", "cross_seed", "path_preserving")
 
 
-def priority(name: str) -> Column:
-    """Urgency by name, lower first, over degree, mean, deviation, entropy, round, size (of the seed's frontier), query, seed and id."""
+def _doubling(x: Column) -> Column:
+    return F.floor(F.log2(F.greatest(x, F.lit(0.0)) + 1)).cast("int")
+
+
+def band(order: str) -> Column:
+    """Band of a frontier vertex, lower first.
+
+    Over degree, spread (of its neighbours' degrees from its own, in deviations),
+    entropy, score, depth, size (of its seed's frontier), owners and potential.
+    """
     d = F.col("degree").cast("double")
     return {
-        "breadth_first": F.col("round").cast("double"),
-        "degree": d,
-        "frontier_balanced": F.col("size").cast("double"),
-        "random": F.pmod(F.xxhash64("query", "seed", "id"), F.lit(1 << 30)).cast("double"),
-        "degree_surprise": -F.abs(d - F.col("mean")) / F.greatest(F.col("deviation"), F.lit(1e-10)),
-        "entropy_guided": F.log(d + 1) / (F.col("entropy") + 0.001),
-    }[name]
+        "breadth_first": F.col("depth"),
+        "degree": _doubling(d),
+        "high_degree": -_doubling(d),
+        "frontier_balanced": F.col("size").cast("int"),
+        "random": F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"),
+        "degree_surprise": -_doubling(F.col("spread")),
+        "entropy_guided": _doubling(10 * F.log(d + 1) / (F.col("entropy") + 0.001)),
+        "salience": -_doubling(1000 * F.col("score")),
+        "cross_seed": _doubling((d + 1) * (1 + F.col("owners"))),
+        "path_preserving": _doubling(d / (1 + F.col("potential"))),
+    }[order]
+
 
+ORDERS = ("breadth_first", "degree", "high_degree", "frontier_balanced", "random", "degree_surprise", "entropy_guided", "salience", "cross_seed", "path_preserving")
 
-def vertex_facts(graph: Graph) -> DataFrame:
-    """id, degree, mean and deviation of all degrees, and the entropy (bits) of the types of the vertex's edges."""
+
+def vertex_facts(graph: Graph, scores: DataFrame | None = None) -> DataFrame:
+    """id, degree, spread, the entropy (bits) of the types of the vertex's edges, and its score."""
     step = graph.adjacency("type") if "type" in graph.edges.columns else graph.adjacency().withColumn("type", F.lit(0))
-    kinds = step.groupBy("u", "type").agg(F.count("*").alias("c"))
-    total = kinds.groupBy("u").agg(F.sum("c").alias("degree"))
+    kinds = checkpointed(step.groupBy("u", "type").agg(F.count("*").alias("c")))
+    total = checkpointed(kinds.groupBy("u").agg(F.sum("c").alias("degree")))
     p = F.col("c") / F.col("degree")
-    per = kinds.join(total, "u").groupBy("u", "degree").agg((-F.sum(p * F.log2(p))).alias("entropy"))
-    moments = per.agg(F.avg("degree").alias("mean"), F.stddev_pop("degree").alias("deviation"))
-    return per.join(F.broadcast(moments)).withColumnRenamed("u", "id")  # one row is broadcast
-
-
-def expand(graph: Graph, seeds: DataFrame, order: str = "degree", rounds: int = 20) -> DataFrame:
-    """query, seed, id, parent, round of all vertices that the seeds of each query own after some rounds; seeds: query, seed."""
-    facts = checkpointed(vertex_facts(graph))
-    step = checkpointed(graph.adjacency().distinct())
-    owned = checkpointed(seeds.select("query", "seed", F.col("seed").alias("id"), F.lit(None).cast(seeds.schema["seed"].dataType).alias("parent"), F.lit(0).alias("round"), F.lit(False).alias("done")))
-    one = Window.partitionBy("query").orderBy("urgency", "id", "seed")
-    for r in range(1, rounds + 1):
-        waiting = owned.where("NOT done").withColumn("size", F.count("*").over(Window.partitionBy("query", "seed"))).join(facts, "id")
-        picked = checkpointed(waiting.withColumn("urgency", priority(order)).withColumn("n", F.row_number().over(one)).where("n = 1").select("query", "seed", "id"))
-        if picked.isEmpty():
-            break
-        found = picked.join(step, picked.id == step.u).select("query", "seed", F.col("v").alias("id"), F.col("u").alias("parent"))
-        fresh = found.join(owned.select("query", "seed", "id"), ["query", "seed", "id"], "left_anti").withColumns({"round": F.lit(r), "done": F.lit(False)})
-        marked = owned.join(picked.withColumn("now", F.lit(True)), ["query", "seed", "id"], "left").select("query", "seed", "id", "parent", "round", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        owned = checkpointed(marked.unionByName(fresh))
-    return owned.drop("done")
+    entropy = kinds.join(total, "u").groupBy("u", "degree").agg((-F.sum(p * F.log2(p))).alias("entropy"))
+    around = step.join(total.select(F.col("u").alias("v"), F.col("degree").alias("d")), "v").groupBy("u").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"))
+    gap = F.abs(F.col("degree") - F.col("mean"))
+    facts = entropy.join(around, "u").select(F.col("u").alias("id"), "degree", F.when(F.col("sd") > 0, gap / F.col("sd")).otherwise(gap).alias("spread"), "entropy")
+    if scores is None:
+        return facts.withColumn("score", F.lit(0.0))
+    return facts.join(scores.select("id", F.col("score").cast("double").alias("score")), "id", "left").na.fill(0.0, ["score"])
+
+
+def _ranked(owned: DataFrame, step: DataFrame, order: str) -> DataFrame:
+    """Open rows with their band."""
+    waiting = owned.where("NOT done")
+    if order == "frontier_balanced":
+        sizes = waiting.groupBy("query", "seed").agg(F.count("*").alias("size"))
+        waiting = waiting.join(sizes, ["query", "seed"])
+    elif order == "cross_seed":
+        waiting = waiting.join(owned.groupBy("query", "id").agg(F.countDistinct("seed").alias("owners")), ["query", "id"])
+    elif order == "path_preserving":
+        near = waiting.select("query", "seed", "id").join(step, F.col("id") == F.col("u")).join(owned.select("query", F.col("seed").alias("other"), F.col("id").alias("v")), ["query", "v"])
+        potential = near.where("other <> seed").groupBy("query", "seed", "id").agg(F.countDistinct("v").alias("potential"))
+        waiting = waiting.join(potential, ["query", "seed", "id"], "left").na.fill(0, ["potential"])
+    return waiting.withColumn("band", band(order)) if order in MOVING else waiting
+
+
+def expand(graph: Graph, seeds: DataFrame, order: str = "degree", stop: str | None = None, delay: int = 0, scores: DataFrame | None = None, share: float = 0.8) -> DataFrame:
+    """query, seed, id, parent, depth and round of all vertices that the seeds of each query come to own; seeds: query, seed.
+
+    stop: None (nothing left to expand), `common` (all seeds own one vertex), `pairwise`
+    (each two seeds share a vertex), `connected` (shared vertices connect all seeds) or
+    `coverage` (so large a share of all vertices is owned); delay: rounds that a query
+    goes on after that. A seed that is no vertex owns itself alone.
+    """
+    step = checkpointed(graph.adjacency().where("u <> v").distinct())
+    facts = vertex_facts(graph, scores).withColumn("band", F.lit(0) if order in MOVING else band(order))
+    facts = checkpointed(facts.select("id", "degree", "band"))
+    n_vertices = facts.count()
+    kind = seeds.schema["seed"].dataType
+    owned = seeds.select("query", "seed", F.col("seed").alias("id"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("round")).distinct()
+    owned = checkpointed(owned.join(facts, "id", "left").na.fill(0, ["degree", "band"]).withColumn("done", F.lit(False)))
+    queries = seeds.select("query").distinct().count()
+    met: DataFrame | None = None
+    r = 0
+    while True:
+        r += 1
+        ranked = _ranked(owned, step, order)
+        low = ranked.groupBy("query").agg(F.min("band").alias("low"))
+        picked = ranked.join(sized(low, queries), "query").where("band = low").select("query", "seed", "id", "depth")
+        if order in MOVING:
+            picked = checkpointed(picked)
+        found = picked.join(step, F.col("id") == F.col("u")).groupBy("query", "seed", "v").agg(F.min(F.struct((F.col("depth") + 1).alias("depth"), F.col("u").alias("parent"))).alias("p"))
+        fresh = found.withColumnRenamed("v", "id").join(owned.select("query", "seed", "id"), ["query", "seed", "id"], "left_anti").join(facts, "id", "left")
+        fresh = fresh.select("query", "seed", "id", "p.parent", "p.depth", F.lit(r).alias("round"), "degree", "band", F.lit(False).alias("done"))
+        now = picked.select("query", "seed", "id", F.lit(True).alias("now"))
+        marked = owned.join(now, ["query", "seed", "id"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
+        owned = checkpointed(marked.select(fresh.columns).unionByName(fresh))
+        if stop:
+            ended = stopped(owned, seeds, stop, n_vertices, share).withColumn("at", F.lit(r))
+            met = checkpointed(ended if met is None else met.unionByName(ended).groupBy("query").agg(F.min("at").alias("at")))
+            over = met.where(F.col("at") + delay <= r).select("query", F.lit(True).alias("over"))
+            owned = checkpointed(owned.join(sized(over, queries), "query", "left").withColumn("done", F.col("done") | F.coalesce("over", F.lit(False))).drop("over"))
+        if owned.where("NOT done").isEmpty():
+            return owned.select("query", "seed", "id", "parent", "depth", "round")
+
+
+def stopped(owned: DataFrame, seeds: DataFrame, rule: str, n_vertices: int, share: float = 0.8) -> DataFrame:
+    """query of those that may stop by a rule."""
+    n = seeds.groupBy("query").agg(F.countDistinct("seed").alias("n"))
+    if rule == "common":
+        return owned.groupBy("query", "id").agg(F.countDistinct("seed").alias("k")).join(n, "query").where("k = n AND n > 1").select("query").distinct()
+    if rule == "coverage":
+        return owned.groupBy("query").agg(F.countDistinct("id").alias("k")).where(F.col("k") >= share * n_vertices).select("query")
+    met = overlaps(owned)
+    if rule == "pairwise":
+        return met.groupBy("query").agg(F.count("*").alias("k")).join(n, "query").where("2 * k = n * (n - 1)").select("query")
+    return connected_queries(met, seeds)
+
+
+def connected_queries(met: DataFrame, seeds: DataFrame) -> DataFrame:
+    """query of those whose seeds the overlapping pairs connect; a single seed never is."""
+    node = lambda c: F.concat_ws("\n", F.col("query").cast("string"), F.col(c).cast("string"))
+    labels = min_labels(met.select(node("a").alias("a"), node("b").alias("b")))
+    named = seeds.select("query", node("seed").alias("node")).join(labels, "node", "left").groupBy("query").agg(F.countDistinct(F.coalesce("label", "node")).alias("groups"), F.countDistinct("node").alias("n"))
+    return named.where("groups = 1 AND n > 1").select("query")
 
 
 def meetings(owned: DataFrame) -> DataFrame:
@@ -61,28 +143,84 @@ def meetings(owned: DataFrame) -> DataFrame:
     return owned.groupBy("query", "id").agg(F.array_sort(F.collect_set("seed")).alias("seeds")).where(F.size("seeds") > 1)
 
 
-def betweenness(graph: Graph, sources: DataFrame) -> DataFrame:
-    """id and the sum over sources of the share of shortest paths through it, by levels out and back."""
-    step = checkpointed(graph.adjacency().distinct())
-    level = checkpointed(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("hops"), F.lit(1.0).alias("sigma")))
-    levels, depth = [level], 0
+def overlaps(owned: DataFrame) -> DataFrame:
+    """query, seeds a < b and the number of vertices that both own."""
+    pairs = F.filter(F.flatten(F.transform("seeds", lambda a: F.transform("seeds", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda x: x["a"] < x["b"])
+    return meetings(owned).select("query", F.explode(pairs).alias("p")).groupBy("query", "p.a", "p.b").agg(F.count("*").alias("shared"))
+
+
+def sphere_overlaps(owned: DataFrame, max_distance: int | None = None) -> DataFrame:
+    """query, seeds a < b and the vertices of both that lie within the reach of the other's sphere (and within max_distance)."""
+    radius = owned.groupBy("query", "seed").agg(F.max("depth").alias("radius"))
+    a, b = (owned.join(radius, ["query", "seed"]).select("query", "id", F.col("seed").alias(x), F.col("depth").alias(f"d{x}"), F.col("radius").alias(f"r{x}")) for x in "ab")
+    near = a.join(b, ["query", "id"]).where("a < b AND (da <= rb OR db <= ra)")
+    if max_distance is not None:
+        near = near.where((F.col("da") <= max_distance) & (F.col("db") <= max_distance))
+    return near.groupBy("query", "a", "b").agg(F.count("*").alias("shared"))
+
+
+def threshold_overlaps(owned: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """query, seeds a < b and the Jaccard similarity of what they own, from the threshold on."""
+    size = owned.groupBy("query", "seed").agg(F.count("*").alias("k"))
+    both = overlaps(owned).join(size.select("query", F.col("seed").alias("a"), F.col("k").alias("ka")), ["query", "a"]).join(size.select("query", F.col("seed").alias("b"), F.col("k").alias("kb")), ["query", "b"])
+    return both.select("query", "a", "b", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def meeting_paths(owned: DataFrame) -> DataFrame:
+    """query, src < dst and nodes of the simple paths that join two seeds by their parents at a vertex both own, each once."""
+    seen = checkpointed(owned.select("query", "seed", "id", "parent"))
+    key = F.struct("query", F.col("seed").alias("seed"))
+    parents = seen.select(key.alias("seed"), "id", "parent")
+    back = checkpointed(walked_back(parents, seen.select(key.alias("src"), F.col("id").alias("dst"))).select("src.query", "src.seed", F.col("dst").alias("id"), "nodes"))
+    a, b = back.select("query", "id", F.col("seed").alias("src"), F.col("nodes").alias("x")), back.select("query", "id", F.col("seed").alias("dst"), F.col("nodes").alias("y"))
+    joined = a.join(b, ["query", "id"]).where("src < dst").select("query", "src", "dst", F.concat("x", F.slice(F.reverse("y"), 2, F.size("y"))).alias("nodes"))
+    simple = joined.where(F.size("nodes") == F.size(F.array_distinct("nodes")))
+    return simple.withColumn("s", signature(F.col("nodes"))).dropDuplicates(["query", "s"]).drop("s")
+
+
+def salient_vertices(paths: DataFrame, share: float = 0.1, least: int = 10) -> DataFrame:
+    """id and frequency of the vertices on most paths: that share of them, and so many at least, ties by id."""
+    n = paths.select(F.explode(F.array_distinct("nodes")).alias("id")).groupBy("id").agg(F.count("*").alias("frequency"))
+    keep = max(least, int(n.count() * share))
+    return n.orderBy(F.desc("frequency"), "id").limit(keep)
+
+
+def truncated(graph: Graph, owned: DataFrame) -> DataFrame:
+    """id and component of owned vertices whose component, in the graph that the owned vertices induce, holds a meeting."""
+    from meshwork.operators.traversal import components
+
+    inside = graph.induced(owned.select("id").distinct())
+    parts = checkpointed(components(Graph(inside.edges, owned.select("id").distinct(), graph.directed)))
+    holds = parts.join(meetings(owned).select("id").distinct(), "id", "left_semi").select("component").distinct()
+    return parts.join(holds, "component", "left_semi").select("id", "component")
+
+
+def betweenness(graph: Graph, sources: DataFrame, normalised: bool = False) -> DataFrame:
+    """id and the sum over sources of the share of shortest paths through it, by levels out and back.
+
+    normalised divides by (n - 1)(n - 2), by half of it where the graph is undirected.
+    """
+    step = checkpointed(graph.adjacency().where("u <> v").distinct())
+    level = checkpointed(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))
+    levels = [level]
     seen = level.select("s", "id")
     while True:
-        depth += 1
         nxt = levels[-1].join(step, levels[-1].id == step.u).groupBy("s", F.col("v").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        nxt = checkpointed(nxt.join(seen, ["s", "id"], "left_anti").select("s", "id", F.lit(depth).alias("hops"), "sigma"))
+        nxt = checkpointed(nxt.join(seen, ["s", "id"], "left_anti").select("s", "id", "sigma"))
         if nxt.isEmpty():
             break
         levels.append(nxt)
         seen = checkpointed(seen.union(nxt.select("s", "id")))
     delta = levels[-1].withColumn("delta", F.lit(0.0))
-    done = [delta]
+    total = delta
     for here in reversed(levels[:-1]):
         given = delta.select("s", F.col("id").alias("v"), ((1 + F.col("delta")) / F.col("sigma")).alias("share")).join(step, "v")
         given = given.join(here.select("s", F.col("id").alias("u"), "sigma"), ["s", "u"]).groupBy("s", F.col("u").alias("id")).agg(F.sum(F.col("sigma") * F.col("share")).alias("delta"))
-        delta = checkpointed(here.join(given, ["s", "id"], "left").select("s", "id", "hops", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        done.append(delta)
-    total = done[0]
-    for d in done[1:]:
-        total = total.unionByName(d)
-    return total.where("id <> s").groupBy("id").agg(F.sum("delta").alias("betweenness"))
+        delta = checkpointed(here.join(given, ["s", "id"], "left").select("s", "id", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")))
+        total = total.unionByName(delta)
+    out = total.where("id <> s").groupBy("id").agg(F.sum("delta").alias("betweenness"))
+    if not normalised:
+        return out
+    n = graph.ids().count()
+    most = (n - 1) * (n - 2) / (1 if graph.directed else 2)
+    return out.withColumn("betweenness", F.col("betweenness") / F.lit(float(max(1, most))))

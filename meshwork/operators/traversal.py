@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph, checkpointed
+from meshwork.graph import Graph, checkpointed, sized
 
 
 def levels(graph: Graph, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -28,20 +28,32 @@ def ego_network(graph: Graph, seeds: DataFrame, radius: int) -> Graph:
     return graph.induced(levels(graph, seeds, radius).select("id").distinct())
 
 
+def min_labels(edges: DataFrame) -> DataFrame:
+    """node and label, the smallest node it reaches, of every node of an edge list (a, b) that has an edge to another.
+
+    Larger and smaller neighbours are linked to the smallest one in turn until all
+    edges are stars, in a logarithmic number of rounds. A node's smallest neighbour
+    goes to its edges where all of them are few enough, so that no hub gathers.
+    """
+    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before, n = None, e.count()
+    while True:
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(sized(least, 2 * n, 48), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        linked = large.join(sized(low, 2 * n, 48), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x"))
+        e = checkpointed(linked.select(F.col("x.u").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        before, n = now, now[0]
+
+
 def components(graph: Graph) -> DataFrame:
     """id and component, the smallest id reachable along edges in either direction."""
-    step = checkpointed(graph.neighbours())
-    label = checkpointed(graph.ids().select("id", F.col("id").alias("component")))
-    while True:
-        least = step.join(label, step.v == label.id).groupBy("u").agg(F.min("component").alias("m"))
-        moved = label.join(least, label.id == least.u, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
-        # Pointer jumping: take over the label of the own label, which halves the rounds left.
-        over = moved.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        jumped = checkpointed(moved.join(over, "component").select("id", F.least("component", "next").alias("component"), "old"))
-        done = jumped.where("component <> old").isEmpty()
-        label = jumped.select("id", "component")
-        if done:
-            return label
+    labels = min_labels(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.ids().join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
 def strong_components(graph: Graph) -> DataFrame:
@@ -82,19 +94,46 @@ def _reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def distances(graph: Graph, seeds: DataFrame, weight: str) -> DataFrame:
-    """seed, id and the smallest sum of non-negative weights: rounds of relaxation until none improves."""
+    """seed, id, the smallest sum of non-negative weights, and the parent it comes from: relaxation until none improves.
+
+    Of equal sums the smallest parent is taken; a seed has none.
+    """
     if not graph.edges.where(F.col(weight) < 0).isEmpty():
         raise ValueError("weights must not be negative")
-    step = checkpointed(graph.adjacency(weight).groupBy("u", "v").agg(F.min(weight).cast("double").alias("w")))
-    best = frontier = checkpointed(seeds.select(F.col("id").alias("seed"), "id", F.lit(0.0).alias("distance")))
+    step = checkpointed(graph.adjacency(weight).where("u <> v").groupBy("u", "v").agg(F.min(weight).cast("double").alias("w")))
+    nobody = F.lit(None).cast(seeds.schema["id"].dataType)
+    best = frontier = checkpointed(seeds.select(F.col("id").alias("seed"), "id", F.lit(0.0).alias("distance"), nobody.alias("parent")))
     while not frontier.isEmpty():
-        tried = frontier.join(step, frontier.id == step.u).groupBy("seed", F.col("v").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("d"))
-        both = checkpointed(best.join(tried, ["seed", "id"], "full").select("seed", "id", F.least("distance", "d").alias("distance"), (F.coalesce(F.col("d") < F.col("distance"), F.col("distance").isNull())).alias("better")))
-        best = both.select("seed", "id", "distance")
-        frontier = both.where("better").select("seed", "id", "distance")
+        tried = frontier.join(step, frontier.id == step.u).groupBy("seed", F.col("v").alias("id")).agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("d"), F.col("u").alias("p"))).alias("t"))
+        better = F.col("distance").isNull() | (F.col("t.d") < F.col("distance"))
+        both = best.join(tried, ["seed", "id"], "full").withColumn("better", F.coalesce(better, F.lit(False)))
+        both = checkpointed(both.select("seed", "id", F.when(F.col("better"), F.col("t.d")).otherwise(F.col("distance")).alias("distance"), F.when(F.col("better"), F.col("t.p")).otherwise(F.col("parent")).alias("parent"), "better"))
+        best = both.drop("better")
+        frontier = both.where("better").drop("better")
     return best
 
 
+def walked_back(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """src, dst and nodes of the path that parents (seed, id, parent) give for each pair; pairs out of reach are absent."""
+    parents = checkpointed(parents.select(F.col("seed").alias("src"), F.col("id").alias("at"), "parent"))
+    open_paths = pairs.select("src", "dst", F.array("dst").alias("nodes"), F.col("dst").alias("at"))
+    done = None
+    while True:
+        moved = checkpointed(open_paths.join(parents, ["src", "at"]))
+        ended = moved.where("parent IS NULL").select("src", "dst", "nodes")
+        done = ended if done is None else done.union(ended)
+        open_paths = moved.where("parent IS NOT NULL").select("src", "dst", F.concat(F.array("parent"), "nodes").alias("nodes"), F.col("parent").alias("at"))
+        if open_paths.isEmpty():
+            return done
+
+
+def shortest_weighted(graph: Graph, pairs: DataFrame, weight: str) -> DataFrame:
+    """src, dst, nodes and distance of a lightest path of each pair, the ties going to smaller parents."""
+    found = checkpointed(distances(graph, pairs.select(F.col("src").alias("id")).distinct(), weight))
+    total = found.select(F.col("seed").alias("src"), F.col("id").alias("dst"), "distance")
+    return walked_back(found, pairs).join(total, ["src", "dst"])
+
+
 def topological_levels(graph: Graph) -> DataFrame:
     """id and the longest number of edges that lead to it; vertices on or behind a cycle have none."""
     edges = checkpointed(graph.edges.select("src", "dst").distinct())
@@ -122,41 +161,50 @@ def two_colouring(graph: Graph) -> DataFrame:
 
 
 def core_numbers(graph: Graph) -> DataFrame:
-    """id and core number: each vertex takes the h-index of its neighbours' numbers until none changes."""
+    """id and core number: each vertex takes the h-index of its neighbours' numbers until none changes.
+
+    Neighbours are counted by their number first, so that a hub holds as many rows as there are numbers.
+    """
     n = checkpointed(graph.neighbours())
     core = checkpointed(n.groupBy(F.col("u").alias("id")).agg(F.count("*").cast("int").alias("core")))
+    above = Window.partitionBy("u").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        around = n.join(core, n.v == core.id).groupBy("u").agg(F.sort_array(F.collect_list("core"), asc=False).alias("c"))
-        h = F.size(F.filter("c", lambda x, i: x > i))
-        nxt = checkpointed(around.join(core, around.u == core.id).select("id", h.alias("new"), "core"))
+        around = n.join(core.select(F.col("id").alias("v"), F.col("core").alias("c")), "v").groupBy("u", "c").agg(F.count("*").alias("k"))
+        h = around.withColumn("least", F.least("c", F.sum("k").over(above))).groupBy("u").agg(F.max("least").cast("int").alias("new"))
+        nxt = checkpointed(core.join(h, core.id == h.u).select("id", "new", "core"))
         done = nxt.where("new <> core").isEmpty()
         core = nxt.select("id", F.col("new").alias("core"))
         if done:
             return core
 
 
-def page_rank(graph: Graph, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """id and rank after fixed rounds; what vertices without out-edges hold is dealt to all."""
+def page_rank(graph: Graph, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """id and rank: rounds until no rank changes by the tolerance; what vertices without out-edges hold is dealt to all."""
     ids = checkpointed(graph.ids())
     n = ids.count()
-    step = graph.adjacency()
-    out = step.groupBy("u").agg(F.count("*").alias("k"))
-    step = checkpointed(step.join(out, "u"))
-    rank = checkpointed(ids.select("id", F.lit(1.0 / max(1, n)).alias("rank")))
+    step = checkpointed(graph.adjacency())
+    out = checkpointed(ids.join(step.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k")), "id", "left"))
+    rank = out.select("id", "k", F.lit(1.0 / max(1, n)).alias("rank"))
+    lost = out.where("k IS NULL").count() / max(1, n)
     for _ in range(rounds):
-        given = step.join(rank, step.u == rank.id).groupBy(F.col("v").alias("id")).agg(F.sum(F.col("rank") / F.col("k")).alias("s"))
-        lost = rank.join(out.select(F.col("u").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        fresh = ids.join(given, "id", "left").join(F.broadcast(lost))  # one row is broadcast
-        rank = checkpointed(fresh.select("id", (F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
-    return rank
+        given = step.join(rank.select(F.col("id").alias("u"), (F.col("rank") / F.col("k")).alias("share")), "u").groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("s"))
+        fresh = F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("s", F.lit(0.0)) + lost / max(1, n))
+        rank = checkpointed(rank.join(given, "id", "left").select("id", "k", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("change")))
+        change, lost = rank.agg(F.max("change"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        if change is None or change < tolerance:
+            break
+    return rank.select("id", "rank")
 
 
-def label_propagation(graph: Graph, rounds: int = 5) -> DataFrame:
-    """id and label after synchronous rounds; the most frequent label around wins, the smallest of ties."""
+def label_propagation(graph: Graph, rounds: int = 10) -> DataFrame:
+    """id and label after synchronous rounds, until none changes; the most frequent label around wins, the smallest of ties."""
     n = checkpointed(graph.neighbours())
     label = checkpointed(graph.ids().select("id", F.col("id").alias("label")))
     for _ in range(rounds):
-        votes = n.join(label, n.v == label.id).groupBy("u", "label").agg(F.count("*").alias("c"))
-        best = votes.groupBy("u").agg(F.max(F.struct("c", (-F.col("label")).alias("low"))).alias("b"))
-        label = checkpointed(label.join(best, label.id == best.u, "left").select("id", F.coalesce(-F.col("b.low"), "label").alias("label")))
+        votes = n.join(label, n.v == label.id).groupBy("u", F.col("label").alias("next")).agg(F.count("*").alias("c"))
+        best = votes.groupBy("u").agg(F.min(F.struct((-F.col("c")).alias("less"), "next")).alias("b"))
+        nxt = checkpointed(label.join(best, label.id == best.u, "left").select("id", F.coalesce("b.next", "label").alias("label"), F.coalesce(F.col("b.next") != F.col("label"), F.lit(False)).alias("moved")))
+        label = nxt.select("id", "label")
+        if nxt.where("moved").isEmpty():
+            break
     return label

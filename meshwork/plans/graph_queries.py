@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
-from meshwork.operators import communities, expansion, information, motifs, paths, traversal
-from meshwork.plans import analyze, generate
+from meshwork.operators import blocks, communities, expansion, information, motifs, paths, traversal, truth
+from meshwork.plans import analyze, classes, generate
 from meshwork.sources import derived
 
 QUERIES: dict = {}
@@ -44,11 +44,16 @@ def query(sql: str | None):
 
 
 def _strong(spark: SparkSession, sf: str) -> Graph:
-    return Graph(derived.strong(spark, sf))
+    """The edges are computed once: what follows reads them several times."""
+    return Graph(derived.strong(spark, sf)).stored()
 
 
-def _seed(g: Graph) -> DataFrame:
-    return g.edges.agg(F.min("src").alias("id"))
+def _seeds(g: Graph) -> DataFrame:
+    """The three smallest vertices."""
+    return g.ids().orderBy("id").limit(3)
+
+
+SEEDS = "s AS (SELECT u AS id FROM deg ORDER BY u LIMIT 3)"
 
 
 def _nations(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,12 +110,12 @@ def filtered_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return Graph(derived.cosupp(spark, sf), vertices).filtered(F.col("s_acctbal") > 0, F.col("w") >= 25).edges
 
 
-@query(f"""WITH {STRONG}, s AS (SELECT min(src) AS id FROM strong),
+@query(f"""WITH {STRONG}, {SEEDS},
 ball AS (SELECT id FROM s UNION SELECT v FROM adj JOIN s ON u = id)
 SELECT src, dst, w FROM strong WHERE src IN (SELECT id FROM ball) AND dst IN (SELECT id FROM ball)""")
 def ego_network(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    return traversal.ego_network(g, _seed(g), 1).edges
+    return traversal.ego_network(g, _seeds(g), 1).edges
 
 
 @query(f"WITH {STRONG} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM strong x JOIN strong y ON x.dst = y.src JOIN strong z ON z.src = x.src AND z.dst = y.dst")
@@ -136,7 +141,15 @@ def triangle_support(spark: SparkSession, sf: str) -> DataFrame:
     return motifs.support(_strong(spark, sf))
 
 
-@query(None)
+def _truss_sql(rounds: int = 16) -> str:
+    parts = [f"WITH {STRONG}, t0 AS (SELECT src, dst FROM strong)"]
+    for k in range(rounds):
+        both = f"SELECT src AS u, dst AS v FROM t{k} UNION ALL SELECT dst, src FROM t{k}"
+        parts.append(f"b{k} AS MATERIALIZED ({both}), t{k + 1} AS MATERIALIZED (SELECT DISTINCT t.src, t.dst FROM t{k} t JOIN b{k} a ON a.u = t.src JOIN b{k} b ON b.u = t.dst AND b.v = a.v)")
+    return ", ".join(parts) + f" SELECT src, dst FROM t{rounds}"
+
+
+@query(_truss_sql())
 def k_truss(spark: SparkSession, sf: str) -> DataFrame:
     return motifs.k_truss(_strong(spark, sf), 3)
 
@@ -167,56 +180,137 @@ def type_rarity(spark: SparkSession, sf: str) -> DataFrame:
     return information.rarity(e, F.col("nation"))
 
 
-def _two_ends(g: Graph) -> DataFrame:
-    return g.edges.agg(F.min("src").alias("src"), F.max("dst").alias("dst"))
+def _pairs(g: Graph) -> DataFrame:
+    """The smallest vertex with each of the three largest."""
+    low = g.ids().agg(F.min("id").alias("src"))
+    return g.ids().orderBy(F.desc("id")).limit(3).select(F.col("id").alias("dst")).join(F.broadcast(low)).select("src", "dst")  # one row is broadcast
 
 
-_PATHS = f"""{STRONG}, e AS (SELECT min(src) AS s, max(dst) AS t FROM strong),
-walk AS (
+_PATHS = f"""{STRONG}, e AS (SELECT (SELECT min(u) FROM deg) AS s, u AS t FROM deg ORDER BY u DESC LIMIT 3),
+walk AS MATERIALIZED (
   SELECT s, t, [s, a.v] AS nodes FROM e JOIN adj a ON a.u = s WHERE a.v = t
   UNION ALL SELECT s, t, [s, a.v, b.v] FROM e JOIN adj a ON a.u = s JOIN adj b ON b.u = a.v WHERE b.v = t AND a.v <> t
   UNION ALL SELECT s, t, [s, a.v, b.v, c.v] FROM e JOIN adj a ON a.u = s JOIN adj b ON b.u = a.v AND b.v <> s JOIN adj c ON c.u = b.v WHERE c.v = t AND a.v <> t AND b.v <> t
 )"""
+_STEPS = "step AS (SELECT s, t, nodes, nodes[i] AS x, nodes[i + 1] AS y, least(nodes[i], nodes[i + 1]) AS a, greatest(nodes[i], nodes[i + 1]) AS b FROM (SELECT s, t, nodes, unnest(range(1, len(nodes))) AS i FROM walk))"
+_BEST = "SELECT s AS src, t AS dst, array_to_string(nodes, '-') AS path, (row_number() OVER (PARTITION BY s, t ORDER BY round(score, 9) DESC, len(nodes), nodes))::INT AS position, round(score, 9) AS score FROM score QUALIFY position <= 5"
+
+
+def _found(g: Graph) -> DataFrame:
+    return paths.simple_paths(g, _pairs(g), 3)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    best = paths.top_paths(scored, 5, F.round("score", 9))
+    return best.select("src", "dst", F.array_join("nodes", "-").alias("path"), "position", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_PATHS} SELECT s AS src, t AS dst, array_to_string(nodes, '-') AS path, (len(nodes) - 1)::INT AS hops FROM walk")
 def simple_paths(spark: SparkSession, sf: str) -> DataFrame:
-    g = _strong(spark, sf)
-    found = paths.simple_paths(g, _two_ends(g), 3)
-    return found.select("src", "dst", F.array_join("nodes", "-").alias("path"), "hops")
+    return _found(_strong(spark, sf)).select("src", "dst", F.array_join("nodes", "-").alias("path"), "hops")
 
 
-@query(f"""WITH {_PATHS}, {COMMON}, mi AS (SELECT src, dst, common / (ds + dt - common) + 1e-10 AS mi FROM c),
-step AS (SELECT nodes, least(nodes[i], nodes[i + 1]) AS a, greatest(nodes[i], nodes[i + 1]) AS b FROM (SELECT nodes, unnest(range(1, len(nodes))) AS i FROM walk)),
-score AS (SELECT nodes, exp(avg(ln(mi + 1e-10)) - 0.1 * count(*)) AS score FROM step JOIN mi ON mi.src = a AND mi.dst = b GROUP BY nodes)
-SELECT array_to_string(nodes, '-') AS path, (row_number() OVER (ORDER BY round(score, 9) DESC, len(nodes), nodes))::INT AS position, round(score, 9) AS score FROM score QUALIFY position <= 5""")
+@query(f"""WITH {_PATHS}, {COMMON}, mi AS (SELECT src, dst, common / (ds + dt - common) + 1e-10 AS mi FROM c), {_STEPS},
+score AS (SELECT s, t, nodes, exp(avg(ln(mi + 1e-10)) - 0.1 * count(*)) AS score FROM step JOIN mi ON mi.src = a AND mi.dst = b GROUP BY ALL) {_BEST}""")
 def ranked_paths(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    found = paths.simple_paths(g, _two_ends(g), 3)
     mi = information.structural(g).select("src", "dst", F.col("jaccard").alias("mi"))
-    best = paths.top_paths(paths.scored(found, mi, 0.1), 5, F.round("score", 9))
-    return best.select(F.array_join("nodes", "-").alias("path"), "position", F.round("score", 9).alias("score"))
+    return _best(paths.scored(_found(g), mi, 0.1))
+
+
+@query(f"""WITH {_PATHS}, {COMMON}, mi AS (SELECT src, dst, common / (ds + dt - common) + 1e-10 AS mi FROM c), {_STEPS},
+score AS (SELECT s, t, nodes, avg(mi) AS score FROM step JOIN mi ON mi.src = a AND mi.dst = b GROUP BY ALL) {_BEST}""")
+def jaccard_mean_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return _best(paths.by_edges(_found(g), information.structural(g).select("src", "dst", F.col("jaccard").alias("value"))))
+
+
+@query(f"WITH {_PATHS}, {_STEPS}, score AS (SELECT s, t, nodes, avg(w) AS score FROM step JOIN strong ON src = a AND dst = b GROUP BY ALL) {_BEST}")
+def weight_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return _best(paths.by_edges(_found(g), g.edges.select("src", "dst", F.col("w").alias("value"))))
+
+
+@query(f"WITH {_PATHS}, score AS (SELECT s, t, nodes, sum(d) AS score FROM (SELECT s, t, nodes, unnest(nodes) AS u FROM walk) JOIN deg USING (u) GROUP BY ALL) {_BEST}")
+def degree_sum_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return _best(paths.by_vertices(_found(g), g.degrees().select("id", F.col("degree").alias("score"))))
+
+
+@query(f"WITH {_PATHS}, score AS (SELECT s, t, nodes, avg(d) AS score FROM (SELECT s, t, nodes, unnest(nodes) AS u FROM walk) JOIN deg USING (u) GROUP BY ALL) {_BEST}")
+def degree_mean_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return _best(paths.by_vertices(_found(g), g.degrees().select("id", F.col("degree").alias("score")), "mean"))
+
+
+@query(f"WITH {_PATHS}, score AS (SELECT s, t, nodes, 1.0::DOUBLE / len(nodes) AS score FROM walk) {_BEST}")
+def length_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return _best(paths.by_length(_found(_strong(spark, sf))))
+
+
+@query(f"WITH {_PATHS}, score AS (SELECT s, t, nodes, ('0x' || left(md5('42:' || array_to_string(nodes, '-')), 13))::BIGINT / 4503599627370496.0::DOUBLE AS score FROM walk) {_BEST}")
+def random_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return _best(paths.at_random(_found(_strong(spark, sf))))
+
+
+@query(f"WITH {_PATHS}, short AS (SELECT *, min(len(nodes)) OVER (PARTITION BY s, t) AS least FROM walk) SELECT s AS src, t AS dst, array_to_string(nodes, '-') AS path, (len(nodes) - 1)::INT AS hops FROM short WHERE len(nodes) = least")
+def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return paths.shortest_paths(g, _pairs(g)).select("src", "dst", F.array_join("nodes", "-").alias("path"), "hops")
+
+
+@query(f"WITH {_PATHS} SELECT s AS src, t AS dst, count(*) AS paths, avg(len(nodes)) AS mean_length, stddev_pop(len(nodes)) AS deviation, min(len(nodes))::INT AS least, max(len(nodes))::INT AS greatest, len(list_distinct(flatten(list(nodes))))::BIGINT AS vertices, len(list_distinct(flatten(list(edges))))::BIGINT AS edges FROM (SELECT *, list_transform(range(1, len(nodes)), lambda i: least(nodes[i], nodes[i + 1]) || '-' || greatest(nodes[i], nodes[i + 1])) AS edges FROM walk) GROUP BY ALL")
+def path_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.path_measures(_found(_strong(spark, sf)))
+
+
+@query(f"WITH {_PATHS}, c AS (SELECT s, t, len(nodes) AS k, count(*) AS c FROM walk GROUP BY ALL), g AS (SELECT s, t, sum(c) AS total, count(*) AS kinds FROM c GROUP BY ALL) SELECT s AS src, t AS dst, CASE WHEN max(kinds) > 1 THEN round(-sum(c / total * log2(c / total)) / log2(max(kinds)), 9) ELSE 0 END AS diversity FROM c JOIN g USING (s, t) GROUP BY ALL")
+def path_length_diversity(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.length_entropy(_found(_strong(spark, sf))).select("src", "dst", F.round("diversity", 9).alias("diversity"))
+
+
+@query(f"""WITH {STRONG}, k AS (SELECT s_suppkey AS id, s_nationkey % 3 AS kind FROM supplier)
+SELECT a.u || '-' || a.v || '-' || b.v AS path FROM adj a JOIN adj b ON b.u = a.v AND b.v <> a.u JOIN k x ON x.id = a.u AND x.kind = 0 JOIN k y ON y.id = a.v AND y.kind = 1 JOIN k z ON z.id = b.v AND z.kind = 2""")
+def typed_paths(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = derived.suppliers(spark, sf).select("id", (F.col("nation") % 3).alias("type"))
+    return truth.typed_paths(_strong(spark, sf), kinds, ["0", "1", "2"]).select(F.array_join("nodes", "-").alias("path"))
+
+
+@query(None)
+def sampled_paths(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return truth.sampled_paths(g, _pairs(g)).select("src", "dst", "walk", F.array_join("nodes", "-").alias("path"), "hops")
 
 
 @query(f"WITH {_PATHS} SELECT id, count(*) AS paths FROM (SELECT unnest(nodes) AS id FROM walk) GROUP BY id")
 def path_salience(spark: SparkSession, sf: str) -> DataFrame:
-    g = _strong(spark, sf)
-    return paths.salience(paths.simple_paths(g, _two_ends(g), 3))
+    return paths.salience(_found(_strong(spark, sf)))
 
 
 @query(f"""WITH {_PATHS} SELECT x.s AS src, x.t AS dst, avg(1 - len(list_intersect(x.nodes, y.nodes)) / len(list_distinct(list_concat(x.nodes, y.nodes)))) AS distance
-FROM walk x JOIN walk y ON x.nodes < y.nodes GROUP BY ALL""")
+FROM walk x JOIN walk y ON x.s = y.s AND x.t = y.t AND x.nodes < y.nodes GROUP BY ALL""")
 def path_diversity(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.mean_jaccard_distance(_found(_strong(spark, sf)))
+
+
+@query(f"""WITH {_PATHS}, w AS (SELECT *, list_transform(range(1, len(nodes)), lambda i: least(nodes[i], nodes[i + 1]) || '-' || greatest(nodes[i], nodes[i + 1])) AS es FROM walk)
+SELECT x.s AS src, x.t AS dst, avg(1 - len(list_intersect(x.es, y.es)) / len(list_distinct(list_concat(x.es, y.es)))) AS distance FROM w x JOIN w y ON x.s = y.s AND x.t = y.t AND x.nodes < y.nodes GROUP BY ALL""")
+def path_edge_diversity(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.mean_edge_jaccard_distance(_found(_strong(spark, sf)))
+
+
+@query(f"WITH {_PATHS}, {_STEPS} SELECT DISTINCT a AS src, b AS dst FROM step")
+def between_graph(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    return paths.mean_jaccard_distance(paths.simple_paths(g, _two_ends(g), 3))
+    return paths.between(g, _found(g)).edges
 
 
-@query(f"""WITH RECURSIVE {STRONG}, s AS (SELECT min(src) AS id FROM strong),
-walk(id, hops) AS (SELECT id, 0 FROM s UNION SELECT v, hops + 1 FROM walk JOIN adj ON u = walk.id WHERE hops < 12)
-SELECT (SELECT id FROM s) AS seed, id, min(hops)::INT AS hops FROM walk GROUP BY id""")
+@query(f"""WITH RECURSIVE {STRONG}, {SEEDS},
+walk(seed, id, hops) AS (SELECT id, id, 0 FROM s UNION SELECT seed, v, hops + 1 FROM walk JOIN adj ON u = walk.id WHERE hops < 12)
+SELECT seed, id, min(hops)::INT AS hops FROM walk GROUP BY ALL""")
 def bfs_levels(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    return traversal.levels(g, _seed(g))
+    return traversal.levels(g, _seeds(g))
 
 
 @query(f"""WITH RECURSIVE {STRONG}, r(id, root) AS (SELECT u, u FROM deg UNION SELECT v, root FROM r JOIN adj ON u = r.id)
@@ -235,14 +329,27 @@ def strong_components(spark: SparkSession, sf: str) -> DataFrame:
     return traversal.strong_components(Graph(big.select("src", "dst"), None, True))
 
 
-@query(f"""WITH RECURSIVE {STRONG}, s AS (SELECT min(src) AS id FROM strong),
-walk(id, d, hops) USING KEY (id) AS (SELECT id, 0.0::DOUBLE, 0 FROM s
-  UNION SELECT v, min(walk.d + 1.0 / w), min(walk.hops) + 1 FROM walk JOIN adj ON u = walk.id LEFT JOIN recurring.walk r ON r.id = v WHERE r.d IS NULL OR walk.d + 1.0 / w < r.d GROUP BY v)
-SELECT (SELECT id FROM s) AS seed, id, round(d, 9) AS distance FROM walk""")
+_DIST = """walk(seed, id, d) USING KEY (seed, id) AS (SELECT id, id, 0.0::DOUBLE FROM s
+  UNION SELECT walk.seed, v, min(walk.d + 1.0::DOUBLE / w) FROM walk JOIN adj ON u = walk.id LEFT JOIN recurring.walk r ON r.id = v AND r.seed = walk.seed WHERE r.d IS NULL OR walk.d + 1.0::DOUBLE / w < r.d GROUP BY walk.seed, v)"""
+
+
+@query(f"WITH RECURSIVE {STRONG}, {SEEDS}, {_DIST} SELECT seed, id, round(d, 9) AS distance FROM walk")
 def weighted_distances(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
     weighed = Graph(g.edges.withColumn("length", F.lit(1.0) / F.col("w")))
-    return traversal.distances(weighed, _seed(g), "length").select("seed", "id", F.round("distance", 9).alias("distance"))
+    return traversal.distances(weighed, _seeds(g), "length").select("seed", "id", F.round("distance", 9).alias("distance"))
+
+
+@query(f"""WITH RECURSIVE {STRONG}, s AS (SELECT min(u) AS id FROM deg), e AS (SELECT u AS t FROM deg ORDER BY u DESC LIMIT 3), {_DIST}
+SELECT seed AS src, id AS dst, round(d, 9) AS distance, round(d, 9) AS walked FROM walk JOIN e ON id = t""")
+def lightest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The distance, and what the edges of the path found weigh together."""
+    g = _strong(spark, sf)
+    weighed = Graph(g.edges.select("src", "dst", (F.lit(1.0) / F.col("w")).alias("length")))
+    found = paths.path_edges(traversal.shortest_weighted(weighed, _pairs(g), "length").withColumn("hops", F.size("nodes") - 1).withColumnRenamed("distance", "total").withColumn("nodes", F.col("nodes")))
+    sums = found.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")}).join(weighed.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "length"), ["a", "b"]).groupBy("src", "dst").agg(F.sum("length").alias("walked"))
+    far = traversal.distances(weighed, g.ids().agg(F.min("id").alias("id")), "length").select(F.col("seed").alias("src"), F.col("id").alias("dst"), "distance")
+    return sums.join(far, ["src", "dst"]).select("src", "dst", F.round("distance", 9).alias("distance"), F.round("walked", 9).alias("walked"))
 
 
 @query(f"""WITH RECURSIVE {STRONG}, r(id, level) AS (SELECT u, 0 FROM deg UNION SELECT dst, level + 1 FROM r JOIN strong ON src = r.id)
@@ -251,33 +358,66 @@ def topological_levels(spark: SparkSession, sf: str) -> DataFrame:
     return traversal.topological_levels(Graph(derived.strong(spark, sf).select("src", "dst"), None, True))
 
 
-@query(None)
+def _core_sql(rounds: int = 24) -> str:
+    parts = [f"WITH {STRONG}, c0 AS (SELECT u, d AS c FROM deg)"]
+    for k in range(rounds):
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT u, max(least(c, above)) AS c FROM (SELECT a.u, c, count(*) OVER (PARTITION BY a.u ORDER BY c DESC) AS above FROM adj a JOIN c{k} ON c{k}.u = a.v) GROUP BY u)")
+    return ", ".join(parts) + f" SELECT u AS id, c::INT AS core FROM c{rounds}"
+
+
+@query(_core_sql())
 def core_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return traversal.core_numbers(_strong(spark, sf))
 
 
-def _pagerank_sql(rounds: int = 10) -> str:
-    parts = [f"WITH {STRONG}, n AS (SELECT count(*) AS n FROM deg), r0 AS (SELECT u AS id, 1.0::DOUBLE / n AS r FROM deg, n)"]
+def _rank_ctes(rounds: int = 30) -> str:
+    """Rounds of PageRank, and `pr`, the first of which no rank differs from the one before by 1e-6."""
+    parts = [f"{STRONG}, n AS (SELECT count(*) AS n FROM deg), r0 AS (SELECT u AS id, 1.0::DOUBLE / n AS r FROM deg, n)"]
     for k in range(rounds):
-        parts.append(f"r{k + 1} AS (SELECT a.v AS id, 0.15::DOUBLE / max(n) + 0.85 * sum(r / d) AS r FROM adj a JOIN r{k} p ON p.id = a.u JOIN deg ON deg.u = a.u, n GROUP BY a.v)")
-    return ", ".join(parts) + f" SELECT id, round(r, 9) AS rank FROM r{rounds}"
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT a.v AS id, 0.15::DOUBLE / max(n) + 0.85::DOUBLE * sum(r / d) AS r FROM adj a JOIN r{k} p ON p.id = a.u JOIN deg ON deg.u = a.u, n GROUP BY a.v)")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM r{k}" for k in range(1, rounds + 1))
+    gaps = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(x.r - y.r)) AS gap FROM r{k} x JOIN r{k - 1} y USING (id)" for k in range(1, rounds + 1))
+    return ", ".join(parts) + f", pr AS MATERIALIZED (SELECT id, r FROM ({every}) WHERE k = (SELECT min(k) FROM ({gaps}) WHERE gap < 1e-6))"
 
 
-@query(_pagerank_sql())
+@query(f"WITH {_rank_ctes()} SELECT id, round(r, 9) AS rank FROM pr")
 def page_rank(spark: SparkSession, sf: str) -> DataFrame:
     return traversal.page_rank(_strong(spark, sf)).select("id", F.round("rank", 9).alias("rank"))
 
 
-def _labels_sql(rounds: int = 3) -> str:
+_PATHS_ON = _PATHS.replace(f"{STRONG}, ", "", 1)
+
+
+@query(f"WITH {_rank_ctes()}, {_PATHS_ON}, score AS (SELECT s, t, nodes, sum(r) AS score FROM (SELECT s, t, nodes, unnest(nodes) AS id FROM walk) JOIN pr USING (id) GROUP BY ALL) {_BEST}")
+def page_rank_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return _best(paths.by_vertices(_found(g), traversal.page_rank(g).select("id", F.col("rank").alias("score"))))
+
+
+@query(f"""WITH {_rank_ctes()}, m AS (SELECT max(d) AS md, (SELECT max(r) FROM pr) AS mr FROM deg)
+SELECT u AS id, d / md AS by_degree, round(r / mr, 9) AS by_rank, round(0.5::DOUBLE * d / md + 0.5::DOUBLE * r / mr, 9) AS combined FROM deg JOIN pr ON id = u, m""")
+def vertex_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return truth.importance(_strong(spark, sf)).select("id", "by_degree", F.round("by_rank", 9).alias("by_rank"), F.round("combined", 9).alias("combined"))
+
+
+@query(f"""WITH {_rank_ctes()}, {_PATHS_ON}, m AS (SELECT max(d) AS md, (SELECT max(r) FROM pr) AS mr FROM deg),
+imp AS (SELECT id, unnest(['by_degree', 'by_rank', 'combined']) AS method, unnest([d / md, r / mr, 0.5::DOUBLE * d / md + 0.5::DOUBLE * r / mr]) AS x FROM deg JOIN pr ON id = u, m)
+SELECT method, s AS src, t AS dst, array_to_string(nodes, '-') AS path, round(avg(x), 9) AS score FROM (SELECT s, t, nodes, unnest(nodes) AS id FROM walk) JOIN imp USING (id) GROUP BY ALL""")
+def path_truths(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return truth.all_truths(_found(g), g).select("method", "src", "dst", F.array_join("nodes", "-").alias("path"), F.round("score", 9).alias("score"))
+
+
+def _labels_sql(rounds: int = 10) -> str:
     parts = [f"WITH {STRONG}, l0 AS (SELECT u AS id, u AS label FROM deg)"]
     for k in range(rounds):
-        parts.append(f"c{k} AS (SELECT a.u AS id, l.label, count(*) AS c FROM adj a JOIN l{k} l ON l.id = a.v GROUP BY ALL), l{k + 1} AS (SELECT id, first(label ORDER BY c DESC, label) AS label FROM c{k} GROUP BY id)")
+        parts.append(f"c{k} AS (SELECT a.u AS id, l.label, count(*) AS c FROM adj a JOIN l{k} l ON l.id = a.v GROUP BY ALL), l{k + 1} AS MATERIALIZED (SELECT id, first(label ORDER BY c DESC, label) AS label FROM c{k} GROUP BY id)")
     return ", ".join(parts) + f" SELECT id, label FROM l{rounds}"
 
 
 @query(_labels_sql())
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return traversal.label_propagation(_strong(spark, sf), 3)
+    return traversal.label_propagation(_strong(spark, sf))
 
 
 @query(None)
@@ -318,79 +458,142 @@ def inferred_properties(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.properties(_strong(spark, sf))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {STRONG}, r(id, root, side) AS (SELECT u, u, 0 FROM deg UNION SELECT v, root, 1 - side FROM r JOIN adj ON u = r.id),
+comp AS (SELECT id, min(root) AS component FROM r GROUP BY id), g AS (SELECT (SELECT count(*) FROM deg) AS n, (SELECT count(*) FROM strong) AS m, (SELECT count(DISTINCT component) FROM comp) AS c),
+t AS (SELECT count(*) AS t FROM strong x JOIN strong y ON x.dst = y.src JOIN strong z ON z.src = x.src AND z.dst = y.dst)
+SELECT n AS vertices, m AS edges, c AS components, c <= 1 AS connected, m = n - c AS forest, m = n - c AND c = 1 AS tree, NOT EXISTS (SELECT 1 FROM r WHERE id = root AND side = 1) AS bipartite, t AS triangles FROM g, t""")
 def inferred_structure(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.structure(_strong(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('bipartite', 'true', 'true', true), ('components', '1', '1', true), ('regular', 'true', 'false', false), ('triangles', '0', '0', true), ('tree', 'false', 'false', true)) t(property, expected, actual, valid)")
-def validated_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.validate(generate.grid(spark, 6, 7), {"bipartite": True, "components": 1, "regular": True, "triangles": 0, "tree": False})
+@query(f"""WITH {STRONG}, {MEMBER}, m AS (SELECT count(*)::DOUBLE AS m FROM strong), k AS (SELECT community, sum(d) AS k FROM deg JOIN member ON id = u GROUP BY community),
+i AS (SELECT a.community, count(*) AS inside FROM strong JOIN member a ON a.id = src JOIN member b ON b.id = dst WHERE a.community = b.community GROUP BY 1)
+SELECT community, coalesce(inside, 0) / m - coalesce(k, 0)::DOUBLE * coalesce(k, 0) / (4 * m * m) AS modularity FROM (SELECT DISTINCT community FROM member) LEFT JOIN k USING (community) LEFT JOIN i USING (community), m""")
+def community_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return communities.community_modularity(_strong(spark, sf), _nations(spark, sf))
 
 
-@query("SELECT i AS src, i + 1 AS dst FROM range(0, 12 * 9) t(i) WHERE i % 9 < 8 UNION ALL SELECT i, i + 9 FROM range(0, 11 * 9) t(i)")
-def generated_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.grid(spark, 12, 9).edges
+@query(f"""WITH {STRONG}, {MEMBER}, e AS (SELECT a.community AS ca, b.community AS cb FROM strong JOIN member a ON a.id = src JOIN member b ON b.id = dst), m AS (SELECT count(*)::DOUBLE AS m FROM strong),
+x AS (SELECT community, count(*) FILTER (WHERE within) AS inside, count(*) FILTER (WHERE NOT within) AS cut FROM (SELECT unnest(list_distinct([ca, cb])) AS community, ca = cb AS within FROM e) GROUP BY 1),
+y AS (SELECT community, count(*) AS size FROM member GROUP BY 1),
+z AS (SELECT size, coalesce(inside, 0) AS inside, coalesce(cut, 0) AS cut, 2 * coalesce(inside, 0) + coalesce(cut, 0) AS volume, 2 * m AS total, m FROM y LEFT JOIN x USING (community), m),
+q AS (SELECT *, CASE WHEN size > 1 THEN 2.0::DOUBLE * inside / (size * (size - 1)) ELSE 0 END AS density, CASE WHEN least(volume, total - volume) > 0 THEN least(1.0::DOUBLE, cut / least(volume, total - volume)) ELSE 0 END AS conductance FROM z)
+SELECT count(*) AS communities, round(avg(conductance), 9) AS conductance, round(sum(conductance * size) / sum(size), 9) AS weighted_conductance, round(avg(density), 9) AS density,
+round(sum(inside) / max(m) - sum(volume * volume) / (4 * max(m) * max(m)), 9) AS modularity, round((SELECT avg((ca = cb)::INT) FROM e), 9) AS coverage FROM q""")
+def community_summary(spark: SparkSession, sf: str) -> DataFrame:
+    row = communities.summary(_strong(spark, sf), _nations(spark, sf))
+    return row.select("communities", *(F.round(c, 9).alias(c) for c in row.columns if c != "communities"))
 
 
-@query("SELECT i AS src, j AS dst FROM range(0, 40) a(i), range(0, 40) b(j) WHERE i < j")
-def generated_complete(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.complete(spark, 40).edges
+@query("SELECT l_linenumber AS links, sum(l_quantity) AS n, round(((10 + 2.0 * l_linenumber) / 200 - ((60 + 8) / 200.0) ** 2) - (10 / 200.0 - (60 / 200.0) ** 2 - (8 / 200.0) ** 2), 9) AS gain FROM lineitem GROUP BY l_linenumber".replace("2.0 * l_linenumber", "l_linenumber"))
+def move_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """The gain of joining a community of total degree 60 and inner weight 10 for a vertex of degree 8, by its links."""
+    k = derived.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("links")).agg(F.sum("l_quantity").alias("n"))
+    return k.withColumn("gain", F.round(communities.move_gain(F.col("links"), F.lit(8.0), F.lit(60.0), F.lit(10.0), F.lit(100.0)), 9))
 
 
-@query("SELECT i AS src, i + (1 << k) AS dst FROM range(0, 64) a(i), range(0, 6) b(k) WHERE i & (1 << k) = 0")
-def generated_hypercube(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.hypercube(spark, 6).edges
+@query("""WITH e AS (SELECT vec_id AS src, vec_id + 1 AS dst FROM embeddings), x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT src, dst, round(coalesce(abs(corr(a.v, b.v)), 0) + 1e-10, 6) AS mi FROM e LEFT JOIN x a ON a.vec_id = src LEFT JOIN x b ON b.vec_id = dst AND b.i = a.i GROUP BY src, dst""")
+def attribute_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    v = derived.table(spark, sf, "embeddings")
+    out = information.attribute_similarity(v.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values")))
+    return out.select("src", "dst", F.round("mi", 6).alias("mi"))
 
 
-@query("SELECT (i - 1) // 3 AS src, i AS dst FROM range(1, 121) t(i)")
-def generated_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.balanced_tree(spark, 3, 121).edges
+@query(f"""WITH {TRADE} SELECT src, dst, exp(-0.001::DOUBLE * greatest(0, 500 - w)) * CASE WHEN w % 2 = 1 THEN 0.5 ELSE 1 END * least(1, w / 100.0::DOUBLE) * CASE WHEN src % 5 = dst % 5 THEN 1.5 ELSE 1 END AS mi FROM trade""")
+def edge_attribute_modifiers(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.col("w")
+    mi = information.decayed(F.lit(1.0), w, F.lit(500))
+    mi = information.modified(mi, F.when(w % 2 == 1, -1).otherwise(1), w / 100.0, F.col("src") % 5 == F.col("dst") % 5)
+    return derived.trade(spark, sf).select("src", "dst", mi.alias("mi"))
 
 
-@query("SELECT DISTINCT least(i, (i + s) % 50) AS src, greatest(i, (i + s) % 50) AS dst FROM range(0, 50) t(i), (VALUES (1), (5), (7)) u(s)")
-def generated_circulant(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.circulant(spark, 50, [1, 5, 7]).edges
+@query(f"""WITH {STRONG}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM strong x JOIN strong y ON x.dst = y.src JOIN strong z ON z.src = x.src AND z.dst = y.dst),
+n AS (SELECT id, count(*) AS k FROM (SELECT unnest([a, b, c]) AS id FROM t) GROUP BY id), cc AS (SELECT u, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(k, 0) / (d * (d - 1)) ELSE 0 END AS c FROM deg LEFT JOIN n ON n.id = u)
+SELECT src, dst, 1 - greatest(x.c, y.c) + 1e-10 AS penalty FROM strong JOIN cc x ON x.u = src JOIN cc y ON y.u = dst""")
+def clustering_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    return information.clustering_penalty(_strong(spark, sf))
 
 
-@query(None)
-def generated_random(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.random_graph(spark, 300, 0.05).edges
+@query(f"""WITH {STRONG}, o AS (SELECT a.u AS c, a.v AS x, b.v AS y FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v ANTI JOIN strong s ON s.src = a.v AND s.dst = b.v),
+claw AS (SELECT count(*) AS n FROM o p JOIN o q ON p.c = q.c AND p.x = q.x AND p.y < q.y JOIN o r ON r.c = p.c AND r.x = p.y AND r.y = q.y),
+diamond AS (SELECT count(*) AS n FROM strong e JOIN adj a ON a.u = e.src JOIN adj b ON b.u = e.dst AND b.v = a.v JOIN adj c ON c.u = e.src JOIN adj d ON d.u = e.dst AND d.v = c.v WHERE a.v < c.v AND NOT EXISTS (SELECT 1 FROM strong s WHERE s.src = a.v AND s.dst = c.v))
+SELECT 'P3' AS pattern, (SELECT count(*) FROM o) AS copies UNION ALL SELECT 'claw', n FROM claw UNION ALL SELECT 'diamond', n FROM diamond""")
+def pattern_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return classes.pattern_counts(_strong(spark, sf), ["P3", "claw", "diamond"])
 
 
 @query(None)
-def generated_preferential(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.preferential(spark, 2000, 3).edges
+def vertex_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.biconnected(_strong(spark, sf)).select("src", "dst", "block")
 
 
-def _two_seeds(g: Graph) -> DataFrame:
-    ends = _two_ends(g)
-    return ends.select(F.lit(0).alias("query"), F.explode(F.array("src", "dst")).alias("seed"))
+@query("SELECT * FROM (VALUES ('bipartite', 'true', 'true', true, ''), ('components', '1', '1', true, ''), ('regular', 'true', 'false', false, 'regular is false, declared as true'), ('triangles', '0', '0', true, ''), ('tree', 'false', 'false', true, '')) t(property, expected, actual, valid, message)")
+def validated_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.validate(generate.grid(spark, 6, 7), {"bipartite": True, "components": 1, "regular": True, "triangles": 0, "tree": False})
 
 
-@query(None)
-def degree_prioritised_expansion(spark: SparkSession, sf: str) -> DataFrame:
+def _levels_sql(rounds: int = 8) -> str:
+    """dist: hops and number of shortest paths between all pairs, level by level."""
+    parts = ["l0 AS (SELECT u AS s, u AS id, 1.0::DOUBLE AS sigma FROM deg)", "seen0 AS (SELECT s, id FROM l0)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"l{k} AS MATERIALIZED (SELECT s, v AS id, sum(sigma) AS sigma FROM l{k - 1} JOIN adj ON u = l{k - 1}.id ANTI JOIN seen{k - 1} o ON o.s = l{k - 1}.s AND o.id = adj.v GROUP BY ALL), seen{k} AS MATERIALIZED (SELECT * FROM seen{k - 1} UNION ALL SELECT s, id FROM l{k})")
+    return ", ".join(parts) + ", dist AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT s, id, {k} AS hops, sigma FROM l{k}" for k in range(rounds + 1)) + ")"
+
+
+_BETWEEN = f"{_levels_sql()}, bt AS (SELECT x.id, sum(x.sigma * y.sigma / z.sigma) AS b FROM dist z JOIN dist x ON x.s = z.s JOIN dist y ON y.s = x.id AND y.id = z.id WHERE x.hops + y.hops = z.hops AND x.id <> z.s AND x.id <> z.id GROUP BY x.id)"
+
+
+@query(f"WITH {STRONG}, {_BETWEEN} SELECT u AS id, round(coalesce(b, 0), 6) AS betweenness FROM deg LEFT JOIN bt ON id = u")
+def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    return expansion.expand(g, _two_seeds(g), "degree", 8)
+    return expansion.betweenness(g, g.ids()).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query(None)
-def breadth_first_meetings(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {_PATHS}, {_BETWEEN}, score AS (SELECT s, t, nodes, sum(coalesce(b, 0)) AS score FROM (SELECT s, t, nodes, unnest(nodes) AS id FROM walk) LEFT JOIN bt USING (id) GROUP BY ALL) {_BEST.replace('9)', '6)')}")
+def betweenness_ranking(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    return expansion.meetings(expansion.expand(g, _two_seeds(g), "breadth_first", 8))
+    best = paths.top_paths(paths.by_vertices(_found(g), expansion.betweenness(g, g.ids()).withColumnRenamed("betweenness", "score")), 5, F.round("score", 6))
+    return best.select("src", "dst", F.array_join("nodes", "-").alias("path"), "position", F.round("score", 6).alias("score"))
 
 
-@query(None)
-def betweenness(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {STRONG}, {_levels_sql()} SELECT max(e)::INT AS diameter, min(e)::INT AS radius, (SELECT round(avg(hops), 9) FROM dist WHERE s <> id) AS mean_distance FROM (SELECT s, max(hops) AS e FROM dist GROUP BY s)")
+def graph_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return classes.distances_row(_strong(spark, sf)).select("diameter", "radius", F.round("mean_distance", 9).alias("mean_distance"))
+
+
+def _two_seeds(g: Graph) -> DataFrame:
+    """Three queries of two seeds each."""
+    return _pairs(g).select(F.col("dst").alias("query"), F.explode(F.array("src", "dst")).alias("seed"))
+
+
+def _expansion(order: str):
+    """The vertices that each seed comes to own, whatever the order, when nothing is left to expand: all it reaches."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        g = _strong(spark, sf)
+        scores = g.degrees().select("id", (F.col("degree") / 100.0).alias("score")) if order == "salience" else None
+        owned = expansion.expand(g, _two_seeds(g), order, scores=scores)
+        return owned.groupBy("query", "seed").agg(F.count("*").alias("owned"), F.count("parent").alias("reached"), F.sum(F.xxhash64("id") % 1000).alias("mark")).drop("mark")
+
+    run.__name__ = f"expansion_{order}"
+    return run
+
+
+for _order in expansion.ORDERS:
+    query(f"WITH RECURSIVE {STRONG}, e AS (SELECT (SELECT min(u) FROM deg) AS s, u AS t FROM deg ORDER BY u DESC LIMIT 3), q AS (SELECT t AS query, unnest([s, t]) AS seed FROM e), r(query, seed, id) AS (SELECT query, seed, seed FROM q UNION SELECT query, seed, v FROM r JOIN adj ON u = r.id) SELECT query, seed, count(*) AS owned, count(*) - 1 AS reached FROM r GROUP BY ALL")(_expansion(_order))
+
+
+@query(f"""WITH RECURSIVE {STRONG}, e AS (SELECT (SELECT min(u) FROM deg) AS s, u AS t FROM deg ORDER BY u DESC LIMIT 3), q AS (SELECT t AS query, unnest([s, t]) AS seed FROM e), r(query, seed, id) AS (SELECT query, seed, seed FROM q UNION SELECT query, seed, v FROM r JOIN adj ON u = r.id)
+SELECT a.query, a.id, array_to_string([least(a.seed, b.seed), greatest(a.seed, b.seed)], '-') AS seeds FROM r a JOIN r b ON a.query = b.query AND a.id = b.id AND a.seed < b.seed""")
+def expansion_meetings(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
-    return expansion.betweenness(g, g.ids())
+    return expansion.meetings(expansion.expand(g, _two_seeds(g), "degree")).select("query", "id", F.array_join("seeds", "-").alias("seeds"))
 
 
-@query(f"WITH {_PATHS} SELECT array_to_string(nodes, '-') AS path, (row_number() OVER (ORDER BY total DESC, nodes))::INT AS position, total::BIGINT AS total FROM (SELECT nodes, sum(d) AS total FROM (SELECT nodes, unnest(nodes) AS u FROM walk) JOIN deg USING (u) GROUP BY nodes) QUALIFY position <= 5")
-def degree_sum_ranking(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {_PATHS} SELECT t AS query, s AS src, t AS dst, min(len(nodes))::INT - 1 AS hops FROM walk GROUP BY ALL")
+def bidirectional_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Hops of the shortest way that two breadth-first searches find when they meet."""
     g = _strong(spark, sf)
-    found = paths.simple_paths(g, _two_ends(g), 3)
-    d = g.degrees().select("id", "degree")
-    total = found.select("src", "dst", "nodes", "hops", F.explode("nodes").alias("id")).join(d, "id").groupBy("src", "dst", "nodes", "hops").agg(F.sum("degree").alias("score"))
-    best = total.withColumn("position", F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc("score"), "nodes"))).where("position <= 5")
-    return best.select(F.array_join("nodes", "-").alias("path"), "position", F.col("score").alias("total"))
+    owned = expansion.expand(g, _two_seeds(g), "breadth_first", stop="common")
+    return expansion.meeting_paths(owned).groupBy("query", "src", "dst").agg((F.min(F.size("nodes")) - 1).alias("hops"))

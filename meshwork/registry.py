@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from meshwork.plans import graph_queries, statistics_queries
+from meshwork.plans import generator_queries, graph_queries, source_queries, statistics_queries
 
-QUERIES: dict = {**graph_queries.QUERIES, **statistics_queries.QUERIES}
-SQL: dict[str, str] = {**graph_queries.SQL, **statistics_queries.SQL}
+_MODULES = (graph_queries, statistics_queries, generator_queries, source_queries)
+QUERIES: dict = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
