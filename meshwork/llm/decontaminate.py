@@ -71,11 +71,13 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, item_id, matches and doc_from of pairs whose best window agrees enough."""
     n = pairs.count()
-    texts = docs.join(sized(pairs.select("doc_id").distinct(), n, 24), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("words"))
+    texts = docs.join(sized(pairs.select("doc_id").distinct(), n, 24), "doc_id", "left_semi").select("doc_id", "text")
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item"))
-    # The documents come last: only the part that the item is laid over goes on, no token array is copied to a diagonal.
-    joined = pairs.join(items, "item_id").join(texts, "doc_id")
-    laid = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda k: F.coalesce(F.get("words", F.col("diagonal") + k) == F.get("item", k), F.lit(False)).cast("int"))
+    # Where the pairs with their items are many, whole texts travel to them once each, as they are: they are split after the join.
+    joined = texts.join(sized(pairs.join(items, "item_id"), n, 1024), "doc_id")
+    places = F.sequence(F.lit(0), F.size("item") - 1)
+    one = F.array(tokens(F.col("text")))  # an array around the words, so that they are split once and not for each place
+    laid = F.get(F.transform(one, lambda words: F.transform(places, lambda k: F.coalesce(F.get(words, F.col("diagonal") + k) == F.get("item", k), F.lit(False)).cast("int"))), F.lit(0))
     flags = joined.select("doc_id", "item_id", "diagonal", laid.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("w"))
     starts = F.sequence(F.lit(0), F.size("same") - F.col("w"))
     total = lambda s: F.aggregate(F.slice("same", s + 1, F.col("w")), F.lit(0), lambda a, x: a + x)
