@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph, checkpointed
+from meshwork.graph import Graph, checkpointed, sized
 from meshwork.operators.traversal import components
 
 
@@ -71,13 +71,13 @@ def summary(graph: Graph, membership: DataFrame) -> DataFrame:
     return q.join(F.broadcast(modularity(graph, membership))).join(F.broadcast(coverage(graph, membership)))  # one row each
 
 
-def _modularity_of(step: DataFrame, degree: DataFrame, member: DataFrame, m: float) -> float:
-    """Q of a division of a level; step has every edge both ways, a loop once."""
-    k = member.join(degree, "id").groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
-    a, b = (member.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")) for c in "uv")
-    inside = step.join(a, "u").join(b, "v").where("cu = cv").agg(F.coalesce(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))), F.lit(0.0)).alias("inside"))
+def _modularity_of(around: DataFrame, state: DataFrame, n: int, m: float, loops: float) -> float:
+    """Q of a division of a level; around has every edge both ways, loops the weight of the others."""
+    k = state.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
+    a, b = (state.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")) for c in "uv")
+    inside = around.join(sized(a, n, 48), "u").join(sized(b, n, 48), "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inside"))
     row = k.join(F.broadcast(inside)).first()  # one row each
-    return row.inside / (2 * m) - row.k2 / (4 * m * m)
+    return (row.inside + 2 * loops) / (2 * m) - row.k2 / (4 * m * m)
 
 
 def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float, rounds: int, within: DataFrame | None = None, threshold: float = 1e-6) -> tuple[DataFrame, bool]:
@@ -92,31 +92,35 @@ def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float
     moved_any, best_q = False, None
     turn = lambda c, r: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
     around = step.where("u <> v")
+    loops = step.where("u = v").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    state = checkpointed(member.join(degree, "id").select("id", "community", "k"))
+    n = state.count()
     if within is not None:
         a, b = within.select(F.col("id").alias("u"), F.col("part").alias("pu")), within.select(F.col("id").alias("v"), F.col("part").alias("pv"))
-        around = checkpointed(around.join(a, "u").join(b, "v").where("pu = pv").select("u", "v", "w"))
+        around = checkpointed(around.join(sized(a, n, 48), "u").join(sized(b, n, 48), "v").where("pu = pv").select("u", "v", "w"))
     for r in range(2 * rounds):  # two halves are one sweep over all vertices
-        total = member.join(degree, "id").groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
-        links = around.join(member.withColumnRenamed("id", "v"), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
-        own = member.select(F.col("id").alias("u"), F.col("community").alias("own")).join(degree.withColumnRenamed("id", "u"), "u")
-        tried = links.join(own, "u").join(total, "community")
+        total = state.groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+        links = around.join(sized(state.select(F.col("id").alias("v"), "community"), n, 48), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
+        own = state.select(F.col("id").alias("u"), F.col("community").alias("own"), "k")
+        tried = links.join(sized(own, n, 64), "u").join(sized(total, n, 48), "community")
         mine = F.col("community") == F.col("own")
         # Gain up to a constant of the vertex: links less expected links, its own community without itself.
         value = F.round(F.col("inside") - F.col("k") * (F.col("tot") - F.when(mine, F.col("k")).otherwise(0.0)) / (2 * m), 9)
         tried = tried.withColumn("value", value)
         if within is not None:
             alone = total.where("size = 1").select(F.col("community").alias("own"))
-            tried = tried.join(alone, "own", "left_semi").where(mine | ~turn(F.col("community"), r))
+            tried = tried.join(sized(alone, n, 32), "own", "left_semi").where(mine | ~turn(F.col("community"), r))
         best = tried.groupBy("u").agg(F.min(F.struct((-F.col("value")).alias("worse"), "community")).alias("b"), F.max(F.when(mine, F.col("value"))).alias("stay"), F.first("own").alias("own"))
         moves = best.where(turn(F.col("u"), r) & (-F.col("b.worse") > F.coalesce("stay", F.lit(0.0))) & (F.col("b.community") != F.col("own"))).select(F.col("u").alias("id"), F.col("b.community").alias("to"))
-        nxt = checkpointed(member.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
-        moves_made, member = nxt.agg(F.sum(F.col("moved").cast("int"))).first()[0], nxt.select("id", "community")
+        nxt = checkpointed(state.join(sized(moves, n, 48), "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", F.col("to").isNotNull().alias("moved")))
+        moves_made, state = nxt.agg(F.sum(F.col("moved").cast("int"))).first()[0], nxt.select("id", "community", "k")
         moved_any |= bool(moves_made)
         if r % 2:  # a sweep is over: vertices that move at once may undo each other, so it is the whole that has to gain
-            q = _modularity_of(step, degree, member, m)
+            q = _modularity_of(around if within is None else step.where("u <> v"), state, n, m, loops)
             if best_q is not None and q < best_q + threshold:
                 break
             best_q = q
+    member = state.select("id", "community")
     return member, moved_any
 
 

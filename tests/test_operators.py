@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
-from meshwork.operators import communities, expansion, motifs, paths, traversal
+from meshwork.operators import blocks, communities, expansion, motifs, paths, traversal, truth
 from meshwork.plans import analyze, generate, graph_queries
 from meshwork.sources import formats
 from meshwork.streaming.edges import degree_stream
@@ -149,14 +149,124 @@ def test_stream_of_edges(spark, tmp_path, graph):
     assert {r.id: r.degree for r in spark.table("degrees").collect()} == {k: len(v) for k, v in around().items()}
 
 
-def test_expansion_takes_low_degrees_first(spark):
-    star = [(0, k) for k in range(1, 8)] + [(1, 20), (20, 21), (21, 7)]
-    g = Graph(spark.createDataFrame(star, "src long, dst long"))
-    seeds = spark.createDataFrame([(0, 1), (0, 21)], "query long, seed long")
-    owned = expansion.expand(g, seeds, "degree", 3)
-    assert {(r.seed, r.id) for r in owned.collect()} >= {(1, 1), (1, 20), (1, 0), (21, 21)}
-    full = expansion.expand(g, seeds, "breadth_first", 40)
-    assert {r.id for r in expansion.meetings(full).collect()} == {0, 1, 2, 3, 4, 5, 6, 7, 20, 21}
+def plain_expansion(edges, seeds, band):
+    """Each query's frontier vertices of the lowest band expand together, until nothing is left."""
+    n = defaultdict(set)
+    for a, b in edges:
+        n[a].add(b)
+        n[b].add(a)
+    owned = {}
+    for q, s in seeds:
+        owned[q, s, s] = (None, 0, 0)
+    done, r = set(), 0
+    while left := set(owned) - done:
+        r += 1
+        low = {q: min(band(len(n[v]), owned[q, s, v][1]) for x, s, v in left if x == q) for q, _, _ in left}
+        now = {(q, s, v) for q, s, v in left if band(len(n[v]), owned[q, s, v][1]) == low[q]}
+        fresh = defaultdict(list)
+        for q, s, v in now:
+            for w in n[v]:
+                if (q, s, w) not in owned:
+                    fresh[q, s, w].append((owned[q, s, v][1] + 1, v))
+        for k, found in fresh.items():
+            depth, parent = min(found)
+            owned[k] = (parent, depth, r)
+        done |= now
+    return {(*k, *v) for k, v in owned.items()}
+
+
+STAR = [(0, k) for k in range(1, 8)] + [(1, 20), (20, 21), (21, 7), (30, 31)]
+
+
+@pytest.mark.parametrize("order", ["degree", "breadth_first"])
+def test_expansion_runs_to_exhaustion(spark, order):
+    g = Graph(spark.createDataFrame(STAR, "src long, dst long"))
+    seeds = [(0, 1), (0, 21), (1, 30)]
+    owned = expansion.expand(g, spark.createDataFrame(seeds, "query long, seed long"), order)
+    rule = (lambda d, depth: (d + 1).bit_length() - 1) if order == "degree" else (lambda d, depth: depth)
+    assert {tuple(r) for r in owned.collect()} == plain_expansion(STAR, seeds, rule)
+    assert {r.id for r in expansion.meetings(owned).collect()} == {0, 1, 2, 3, 4, 5, 6, 7, 20, 21}
+
+
+def test_expansion_stops_and_what_is_read_of_it(spark):
+    g = Graph(spark.createDataFrame(STAR, "src long, dst long"))
+    seeds = spark.createDataFrame([(0, 2), (0, 20)], "query long, seed long")
+    owned = expansion.expand(g, seeds, "breadth_first", stop="common").cache()
+    assert max(r["round"] for r in owned.collect()) == 2  # 2-0-1-20: they meet after two steps each
+    ways = expansion.meeting_paths(owned).collect()
+    assert [2, 0, 1, 20] in [r.nodes for r in ways] and all(len(set(r.nodes)) == len(r.nodes) for r in ways)
+    assert [(r.a, r.b) for r in expansion.overlaps(owned).collect()] == [(2, 20)] == [(r.a, r.b) for r in expansion.sphere_overlaps(owned).collect()]
+    assert expansion.stopped(owned, seeds, "pairwise", 12).count() == expansion.stopped(owned, seeds, "connected", 12).count() == 1
+
+
+def test_string_ids(spark):
+    named = Graph(spark.createDataFrame([(f"v{a:02}", f"v{b:02}") for a, b in EDGES], "src string, dst string"))
+    label = {r.id: r.component for r in traversal.components(named).collect()}
+    assert label["v22"] == "v20" and all(label[f"v{a:02}"] == label[f"v{b:02}"] for a, b in EDGES)
+    assert {r.label for r in traversal.label_propagation(named, 2).collect()} <= set(label)
+
+
+def test_blocks(graph):
+    n = around()
+
+    def parts(gone=None):
+        left, count = {v for v in n if v != gone}, 0
+        while left:
+            front = [left.pop()]
+            count += 1
+            while front:
+                for v in n[front.pop()] & left:
+                    left.discard(v)
+                    front.append(v)
+        return count
+
+    found = blocks.biconnected(graph).cache()
+    assert {(r.src, r.dst) for r in found.collect()} == set(EDGES)
+    cut = {v for v in n if parts(v) > parts()}
+    assert {r.id for r in blocks.articulation_points(found).collect()} == cut
+    rest = lambda e: Counter(x for p in EDGES if p != e for x in p)
+
+    def splits(e):
+        seen, front = {e[0]}, [e[0]]
+        while front:
+            u = front.pop()
+            for v in n[u]:
+                if {u, v} != set(e) and v not in seen:
+                    seen.add(v)
+                    front.append(v)
+        return e[1] not in seen
+
+    assert rest(EDGES[0]) and {(r.src, r.dst) for r in blocks.bridges(found).collect()} == {e for e in EDGES if splits(e)}
+
+
+def test_walks_and_planted_paths(spark, graph):
+    n = around()
+    pair = spark.createDataFrame([(0, 9)], "src long, dst long")
+    for r in truth.sampled_paths(graph, pair, 6, 14).collect():
+        assert r.nodes[0] == 0 and r.nodes[-1] == 9 and len(set(r.nodes)) == len(r.nodes) and all(b in n[a] for a, b in itertools.pairwise(r.nodes))
+    wide, made = truth.planted(graph, pair, 2, 3, 0.5, 0.9)
+    assert sorted(r.nodes for r in made.collect()) == [[0, 23 + 2 * k, 24 + 2 * k, 9] for k in range(3)]
+    assert wide.edges.count() == len(EDGES) + 9
+    from collections import deque
+
+    dist, queue = {0: 0}, deque([0])
+    while queue:
+        u = queue.popleft()
+        for v in n[u]:
+            if v not in dist:
+                dist[v] = dist[u] + 1
+                queue.append(v)
+    if 9 in dist:
+        short = paths.shortest_paths(graph, pair).collect()
+        assert {r.hops for r in short} == {dist[9]} and all(b in n[a] for r in short for a, b in itertools.pairwise(r.nodes))
+
+
+def test_modularity_grows_and_divisions_are_connected(spark, graph):
+    found = communities.leiden(graph).cache()
+    alone = graph.ids().select("id", F.col("id").alias("community"))
+    q = communities.modularity(graph, found).first().modularity
+    assert q > communities.modularity(graph, alone).first().modularity and q > 0.2
+    assert communities.split_disconnected(graph, found).select("community").distinct().count() == found.select("community").distinct().count()
 
 
 def test_betweenness_of_a_path(spark):
