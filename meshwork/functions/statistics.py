@@ -124,7 +124,7 @@ def bootstrap(samples: DataFrame, replicates: int = 1000, confidence: float = 0.
     r = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")
     drawn = samples.select("id", "method", "value", r).withColumn("w", poisson_weight(draw(seed, F.col("id"), F.col("r"))))
     means = drawn.groupBy("method", "r").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
-    tail = (1 - confidence) / 2
+    tail = round((1 - confidence) / 2, 10)
     at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY m)")
     ends = means.groupBy("method").agg(at(tail).alias("low"), at(1 - tail).alias("high"))
     return samples.groupBy("method").agg(F.avg("value").alias("mean")).join(ends, "method")
@@ -137,7 +137,7 @@ def bootstrap_difference(samples: DataFrame, a: str, b: str, replicates: int = 1
     drawn = two.select("id", "method", "value", r).withColumn("w", poisson_weight(draw(seed, F.col("id"), F.col("r"))))
     mean = lambda m: F.sum(F.when(F.col("method") == m, F.col("w") * F.col("value"))) / F.sum(F.when(F.col("method") == m, F.col("w")))
     gaps = drawn.groupBy("r").agg((mean(a) - mean(b)).alias("d"))
-    tail = (1 - confidence) / 2
+    tail = round((1 - confidence) / 2, 10)
     at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY d)")
     up = F.avg((F.col("d") > 0).cast("double"))
     row = gaps.agg(at(tail).alias("low"), at(1 - tail).alias("high"), (2 * F.least(up, 1 - up)).alias("p"))

@@ -266,7 +266,7 @@ def hub_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_PATHS}, {COMMON}, mi AS (SELECT src, dst, common / (ds + dt - common) + 1e-10 AS mi FROM c), {_STEPS},
 score AS (SELECT s, t, nodes, exp(avg(ln(mi + 1e-10))) AS score FROM step JOIN mi ON mi.src = a AND mi.dst = b GROUP BY ALL),
 best AS (SELECT s, t, nodes FROM score QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY score DESC, len(nodes), nodes) <= 10), short AS (SELECT *, len(nodes) <= 3 AS found FROM walk)
-SELECT count(*) FILTER (WHERE found) AS hit, count(*) FILTER (WHERE found) / count(*) AS coverage, count(*) FILTER (WHERE found) / (SELECT count(*) FROM short WHERE found) AS precision FROM best JOIN short USING (s, t, nodes)""")
+SELECT count(*) FILTER (WHERE found) AS hit, count(*) FILTER (WHERE found) / count(*) AS coverage, coalesce(count(*) FILTER (WHERE found) / nullif((SELECT count(*) FROM short WHERE found), 0), 0) AS precision FROM best JOIN short USING (s, t, nodes)""")
 def salience_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """How many of each pair's ten best paths of up to three edges are among the paths of up to two."""
     g = _strong(spark, sf)
