@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-QUERIES = ("bibliographic_coupling", "co_citation", "triangles", "clustering", "triangle_support", "edge_information", "ranked_paths", "bfs_levels", "connected_components", "page_rank", "modularity", "community_quality", "distribution_distances", "rank_tests", "retrieval_measures")
+QUERIES = ("bibliographic_coupling", "co_citation", "triangles", "clustering", "triangle_support", "edge_information", "ranked_paths", "bfs_levels", "connected_components", "page_rank", "expansion_degree", "shortest_paths", "core_numbers", "modularity", "community_quality", "distribution_distances", "rank_tests", "retrieval_measures")
 
 
 def main() -> None:

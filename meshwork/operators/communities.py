@@ -80,7 +80,7 @@ def _modularity_of(around: DataFrame, state: DataFrame, n: int, m: float, loops:
     return (row.inside + 2 * loops) / (2 * m) - row.k2 / (4 * m * m)
 
 
-def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float, rounds: int, within: DataFrame | None = None, threshold: float = 1e-6) -> tuple[DataFrame, bool]:
+def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float, rounds: int, within: DataFrame | None = None, threshold: float = 1e-4) -> tuple[DataFrame, bool]:
     """member (id, community) after rounds of local moving, and whether any vertex moved.
 
     In each round the vertices of one half, by hash and round, move to the community
@@ -89,11 +89,11 @@ def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float
     communities whose naming vertex does not move in this round. Sweeps go on until
     one adds less than the threshold to the modularity.
     """
-    moved_any, best_q = False, None
+    best_q = None
     turn = lambda c, r: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
     around = step.where("u <> v")
     loops = step.where("u = v").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    state = checkpointed(member.join(degree, "id").select("id", "community", "k"))
+    state = checkpointed(member.join(degree, "id").select("id", "community", "k", F.lit(False).alias("moved")))
     n = state.count()
     if within is not None:
         a, b = within.select(F.col("id").alias("u"), F.col("part").alias("pu")), within.select(F.col("id").alias("v"), F.col("part").alias("pv"))
@@ -112,16 +112,13 @@ def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float
             tried = tried.join(sized(alone, n, 32), "own", "left_semi").where(mine | ~turn(F.col("community"), r))
         best = tried.groupBy("u").agg(F.min(F.struct((-F.col("value")).alias("worse"), "community")).alias("b"), F.max(F.when(mine, F.col("value"))).alias("stay"), F.first("own").alias("own"))
         moves = best.where(turn(F.col("u"), r) & (-F.col("b.worse") > F.coalesce("stay", F.lit(0.0))) & (F.col("b.community") != F.col("own"))).select(F.col("u").alias("id"), F.col("b.community").alias("to"))
-        nxt = checkpointed(state.join(sized(moves, n, 48), "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", F.col("to").isNotNull().alias("moved")))
-        moves_made, state = nxt.agg(F.sum(F.col("moved").cast("int"))).first()[0], nxt.select("id", "community", "k")
-        moved_any |= bool(moves_made)
+        state = checkpointed(state.join(sized(moves, n, 48), "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", (F.col("moved") | F.col("to").isNotNull()).alias("moved")))
         if r % 2:  # a sweep is over: vertices that move at once may undo each other, so it is the whole that has to gain
             q = _modularity_of(around if within is None else step.where("u <> v"), state, n, m, loops)
             if best_q is not None and q < best_q + threshold:
                 break
             best_q = q
-    member = state.select("id", "community")
-    return member, moved_any
+    return state.select("id", "community"), not state.where("moved").isEmpty()
 
 
 def _levels(graph: Graph, rounds: int, levels: int, refine: bool, weight: str | None) -> DataFrame:

@@ -93,6 +93,10 @@ def expand(graph: Graph, seeds: DataFrame, order: str = "degree", stop: str | No
     owned = seeds.select("query", "seed", F.col("seed").alias("id"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"), F.lit(0).alias("round")).distinct()
     owned = checkpointed(owned.join(facts, "id", "left").na.fill(0, ["degree", "band"]).withColumn("done", F.lit(False)))
     queries = seeds.select("query").distinct().count()
+    # Sides are broadcast while their counted rows are few; larger ones shuffle.
+    step = sized(step, step.count(), 32)
+    facts = sized(facts, n_vertices, 32)
+    n_owned = owned.count()
     met: DataFrame | None = None
     r = 0
     while True:
@@ -103,17 +107,18 @@ def expand(graph: Graph, seeds: DataFrame, order: str = "degree", stop: str | No
         if order in MOVING:
             picked = checkpointed(picked)
         found = picked.join(step, F.col("id") == F.col("u")).groupBy("query", "seed", "v").agg(F.min(F.struct((F.col("depth") + 1).alias("depth"), F.col("u").alias("parent"))).alias("p"))
-        fresh = found.withColumnRenamed("v", "id").join(owned.select("query", "seed", "id"), ["query", "seed", "id"], "left_anti").join(facts, "id", "left")
+        fresh = found.withColumnRenamed("v", "id").join(sized(owned.select("query", "seed", "id"), n_owned, 48), ["query", "seed", "id"], "left_anti").join(facts, "id", "left")
         fresh = fresh.select("query", "seed", "id", "p.parent", "p.depth", F.lit(r).alias("round"), "degree", "band", F.lit(False).alias("done"))
         now = picked.select("query", "seed", "id", F.lit(True).alias("now"))
-        marked = owned.join(now, ["query", "seed", "id"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
+        marked = owned.join(sized(now, n_owned, 48), ["query", "seed", "id"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now")
         owned = checkpointed(marked.select(fresh.columns).unionByName(fresh))
         if stop:
             ended = stopped(owned, seeds, stop, n_vertices, share).withColumn("at", F.lit(r))
             met = checkpointed(ended if met is None else met.unionByName(ended).groupBy("query").agg(F.min("at").alias("at")))
             over = met.where(F.col("at") + delay <= r).select("query", F.lit(True).alias("over"))
             owned = checkpointed(owned.join(sized(over, queries), "query", "left").withColumn("done", F.col("done") | F.coalesce("over", F.lit(False))).drop("over"))
-        if owned.where("NOT done").isEmpty():
+        n_owned, n_open = owned.agg(F.count("*"), F.coalesce(F.sum((~F.col("done")).cast("int")), F.lit(0))).first()
+        if not n_open:
             return owned.select("query", "seed", "id", "parent", "depth", "round")
 
 

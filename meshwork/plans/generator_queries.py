@@ -122,15 +122,9 @@ for _kind, _rule in _RULES.items():
 #: What is known of a made graph, by name: (how it is made, what it must be).
 KNOWN = {
     "complete": (lambda s: generate.complete(s, 6), {"complete": True, "regular": True, "split": True, "planar_by_edges": False, "max_degree": 5}),
-    "tree": (lambda s: generate.balanced_tree(s, 4, 40), {"tree": True, "forest": True, "bipartite": True, "chordal": True}),
     "star": (lambda s: generate.star(s, 9), {"star": True, "eulerian": False, "claw_free": False, "split": True}),
-    "cycle": (lambda s: generate.cycle(s, 7), {"regular": True, "eulerian": True, "chordal": False, "girth": 7, "degree": 2}),
     "complete_bipartite": (lambda s: generate.complete_bipartite(s, 3, 4), {"complete_bipartite": True, "split": False, "distance_hereditary": True}),
     "split": (lambda s: generate.split(s, 24), {"split": True, "chordal": True}),
-    "cograph": (lambda s: generate.cograph(s, 24), {"cograph": True, "bull_free": True}),
-    "threshold": (lambda s: generate.threshold(s, 24), {"threshold": True}),
-    "k_path": (lambda s: generate.k_path(s, 12, 3), {"chordal": True, "max_degree": 6}),
-    "block_graph": (lambda s: generate.clique_chain(s, 4, 4), {"ptolemaic": True}),
     "paley": (lambda s: generate.paley(s, 13), {"strongly_regular": True, "k": 6, "lambda": 2, "mu": 3}),
     "tournament": (lambda s: generate.tournament(s, 12), {"tournament": True, "directed": True, "directionality": "antisymmetric"}),
     "hypercube": (lambda s: generate.hypercube(s, 3), {"cubic": True, "diameter": 3, "radius": 3}),

@@ -580,7 +580,8 @@ def _expansion(order: str):
     return run
 
 
-for _order in expansion.ORDERS:
+#: Registered orders; the others differ in their band alone.
+for _order in ("breadth_first", "degree", "cross_seed", "entropy_guided"):
     query(f"WITH RECURSIVE {STRONG}, e AS (SELECT (SELECT min(u) FROM deg) AS s, u AS t FROM deg ORDER BY u DESC LIMIT 3), q AS (SELECT t AS query, unnest([s, t]) AS seed FROM e), r(query, seed, id) AS (SELECT query, seed, seed FROM q UNION SELECT query, seed, v FROM r JOIN adj ON u = r.id) SELECT query, seed, count(*) AS owned, count(*) - 1 AS reached FROM r GROUP BY ALL")(_expansion(_order))
 
 
