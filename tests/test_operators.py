@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
 from meshwork.operators import blocks, communities, expansion, motifs, paths, traversal, truth
-from meshwork.plans import analyze, generate, graph_queries
+from meshwork.plans import analyze, classes, generate, graph_queries
 from meshwork.sources import formats
 from meshwork.streaming.edges import degree_stream
 
@@ -295,3 +295,12 @@ def test_betweenness_query_has_all_sources(spark, graph, monkeypatch):
                 want[u] += 1 / len(found)
     got = {r.id: r.betweenness for r in graph_queries.betweenness(spark, "").collect()}
     assert {k: v for k, v in want.items() if v} == pytest.approx({k: v for k, v in got.items() if v})
+
+
+def test_nearest_class_and_its_report(spark):
+    known = spark.createDataFrame([("a", 0.0, 1.0), ("a", 2.0, 1.0), ("b", 10.0, 1.0), ("b", 12.0, 1.0)], "label string, x double, y double")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 11.0, 1.0), (3, 5.0, 1.0)], "item long, x double, y double")
+    got = {r.item: (r.predicted, round(r.confidence, 6)) for r in classes.nearest_class(points, known, ["x", "y"]).collect()}
+    assert got == {1: ("a", 1.0), 2: ("b", 1.0), 3: ("a", 0.6)}
+    told = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "predicted string, actual string")
+    assert {(r.label, r.precision, r.recall, r.support) for r in classes.classifier_report(told).collect()} == {("a", 0.5, 1.0, 1), ("b", 1.0, 0.5, 2)}
