@@ -158,6 +158,7 @@ def components(docs: DataFrame, percent: int = 90, shingle: int = 3) -> DataFram
     groups = stored(nodes.groupBy("grp").agg(F.min("node").alias("g"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "groups")
     shared = nodes.select("grp", F.col("node").alias("b")).join(sized(groups.where("members > 1").select("grp", F.col("g").alias("a")), row_bytes=32), "grp").select("a", "b")
     candidates = min_labels(group_pairs(groups, percent).union(shared))
+    candidates = candidates.union(candidates.select("label", "label").distinct())
     members = nodes.select("node", "least", "n").join(sized(candidates, row_bytes=16), "node")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES))
     wanted = stored(members.join(sized(members.groupBy("label").agg(chunks.alias("chunks")), row_bytes=16), "label").select("node", "least", "label", "chunks"), "candidates")
