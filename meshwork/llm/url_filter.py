@@ -60,7 +60,8 @@ def canonical_path(path: Column) -> Column:
     parts = F.aggregate(F.split(plain, "/", -1), F.array().cast("array<string>"), step)
     folder = F.when(F.regexp_like(plain, F.lit(r"(^|/)\.{0,2}$")) & (F.size(parts) > 0), "/").otherwise("")
     resolved = F.when(plain == "", "").otherwise(F.concat(F.lit("/"), F.array_join(parts, "/"), folder))
-    return F.when(F.regexp_like(plain, F.lit(r"^(/[^/.][^/]*)*/?$")), plain).otherwise(resolved)
+    # Possessive, as Java's engine keeps a frame for each segment that it may go back on.
+    return F.when(F.regexp_like(plain, F.lit(r"^(?:/[^/.][^/]*+)*+/?$")), plain).otherwise(resolved)
 
 
 def rule_entries(spark, rules=RULES) -> DataFrame:
