@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +100,22 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row even where a lambda inside reads it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def set_aside(docs: DataFrame, used: tuple[str, ...], results: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """docs as its used columns and one struct of all others, whose names can then clash with nothing, and the columns that docs had.
+
+    Columns called like one of the results are left out.
+    """
+    names = [c for c in docs.columns if c.lower() not in results]
+    others = [c for c in names if c.lower() not in used]
+    packed = docs.select(*used, *([F.struct(*(docs[c] for c in others)).alias("set_aside")] if others else []))
+    return packed, [F.col("set_aside").getField(c).alias(c) if c in others else F.col(c.lower()).alias(c) for c in names]
+
+
 def sized(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
     """Mark df for broadcast only when its counted rows prove it small; otherwise leave the join to shuffle."""
     n = df.count() if rows is None else rows
