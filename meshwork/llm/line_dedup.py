@@ -15,9 +15,10 @@ ties. Equal runs select equal fingerprints, so whatever repeats is sure to share
 Lines are equal when identical without leading and trailing white space. Defined
 results: blank lines stay and do not break a run; null and empty texts have one
 blank line; rows that repeat a doc_id count as one document, of which only a later
-position repeats an earlier one; a null doc_id comes after all others; a run that
-does not count stays; an empty table gives no rows; `rewrite` keeps other columns,
-and a column that is named as one of its results gives way to it.
+position repeats an earlier one; doc_id is a whole number, and a null one comes after
+all others; a run that does not count stays; an empty table gives no rows; `rewrite`
+keeps other columns, whatever they are called, but a column that is named as one of
+its results gives way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import BROADCAST_BYTES, shared_dir, sized, stored
+from meshwork.llm.common import BROADCAST_BYTES, once, set_aside, shared_dir, sized, stored
 
 RUN, RUN_CHARS = 3, 30
 NOBODY = (1 << 63) - 1
@@ -122,9 +123,9 @@ def with_runs(docs: DataFrame, grouped: DataFrame, how: str) -> DataFrame:
 def run_texts(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """runs with the text of their lines."""
     held = with_runs(docs.select("doc_id", "text"), stored(by_document(runs, "fp", "o", "g"), "line-runs"), "inner")
-    each = held.select("_doc", "_body", full_lines(F.col("text")).alias("_ls"), "_runs")
-    cut = F.transform("_runs", lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), w["fp"].alias("fp"), w["o"].alias("o"), w["g"].alias("g"), F.array_join(F.slice("_ls", w["s"] + 1, w["n"]), "\n").alias("line_text")))
-    return each.select(F.col("_doc").alias("doc"), F.col("_body").alias("body"), F.explode(cut).alias("w")).select("doc", "body", "w.*")
+    cut = lambda ls, w: F.struct(w["s"].alias("s"), w["n"].alias("n"), w["fp"].alias("fp"), w["o"].alias("o"), w["g"].alias("g"), F.array_join(F.slice(ls, w["s"] + 1, w["n"]), "\n").alias("line_text"))
+    each = once(full_lines(F.col("text")), lambda ls: F.transform("_runs", lambda w: cut(ls, w)))
+    return held.select(F.col("_doc").alias("doc"), F.col("_body").alias("body"), F.explode(each).alias("w")).select("doc", "body", "w.*")
 
 
 def repeated(docs: DataFrame, run: int = RUN, chars: int = RUN_CHARS, line_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -146,15 +147,18 @@ def rewrite(docs: DataFrame, run: int = RUN, chars: int = RUN_CHARS) -> DataFram
     """docs with n_lines, n_removed, n_runs and kept_text beside its columns."""
     shared_dir(docs.sparkSession)
     gone = stored(by_document(repeated(docs.select("doc_id", "text"), run, chars)), "line-repeats")
-    joined = with_runs(docs, gone, "left").withColumn("_lines", lines(F.col("text")))
-    filled = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: bare(F.get("_lines", i)) != "")
+    packed, columns = set_aside(docs, ("doc_id", "text"), RESULTS)
+    joined = with_runs(packed, gone, "left").withColumn("_lines", lines(F.col("text")))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("_runs", lambda w: F.sequence(w["s"], w["s"] + w["n"] - 1)))))
     none = F.array().cast("array<int>")
-    joined = joined.withColumn("_places", F.coalesce(places, none)).withColumn("_filled", F.when(F.col("_runs").isNotNull(), filled))
-    joined = joined.withColumn("_gone", F.coalesce(F.transform("_places", lambda p: F.get("_filled", p)), none))
+    filled = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: bare(F.get("_lines", i)) != "")
+    joined = joined.withColumn("_places", F.coalesce(places, none))
+    gone = once(filled, lambda f: F.transform("_places", lambda p: F.get(f, p)))
+    joined = joined.withColumn("_gone", F.when(F.col("_runs").isNotNull(), gone).otherwise(none))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     # A deleted line that does not follow another one opens a maximal run.
     runs = F.size(F.filter("_places", lambda x, i: (i == 0) | (x > F.get("_places", i - 1) + 1)))
     text = F.when(F.size("_gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
     out = (F.size("_lines"), F.size("_gone"), runs, text)
-    return joined.select(*(c for c in docs.columns if c.lower() not in RESULTS), *(x.alias(name) for x, name in zip(out, RESULTS, strict=True)))
+    kept_apart = [c for c in packed.columns if c == "set_aside"]
+    return joined.select("doc_id", "text", *kept_apart, *(x.alias(name) for x, name in zip(out, RESULTS, strict=True))).select(*columns, *RESULTS)

@@ -17,9 +17,10 @@
 3. The covered intervals of each document are merged, and the rest is kept.
 
 Defined results: a null text is empty; texts shorter than SPAN bytes lose nothing;
-rows that repeat a doc_id remove nothing of each other, as no id is smaller; a null
-doc_id comes after all others; an empty table gives no rows; other columns are kept
-by `remove` and not read.
+rows that repeat a doc_id remove nothing of each other, as no id is smaller; doc_id
+is a whole number, and a null one comes after all others; an empty table gives no
+rows; other columns are not read, and `remove` keeps them whatever they are called,
+but a column that is named as one of its results gives way to it.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import shared_dir, stored
+from meshwork.llm.common import set_aside, shared_dir, stored
 
 SPAN, GRAM = 50, 20
 BACK = SPAN - GRAM  # an anchor lies so many bytes behind the start of a string that selects it at most
@@ -47,6 +48,7 @@ HELD = 300_000
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 1 << 21, 4096, 1 << 24
 HOT_CONTEXTS = 20_000
 NOBODY = (1 << 63) - 1
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLES = np.random.default_rng(20).integers(0, 1 << 64, (2, 257), dtype=np.uint64)
@@ -533,7 +535,8 @@ def remove(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes) beside its columns."""
     shared_dir(docs.sparkSession)
     found = stored(covered(docs.select("doc_id", "text")), "covered").withColumnsRenamed({"doc": "_doc", "body": "_body", "spots": "_spots", "spans": "_spans"})
-    joined = keyed(docs).join(found, ["_doc", "_body"], "left")
+    packed, columns = set_aside(docs, ("doc_id", "text"), RESULTS)
+    joined = keyed(packed).join(found, ["_doc", "_body"], "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(text: pd.Series, spots: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -541,6 +544,6 @@ def remove(docs: DataFrame) -> DataFrame:
         for t, a, b in zip(text, spots, spans, strict=True):
             kept, gone, runs = kept_bytes(t, list(a), [(x["start"], x["stop"]) for x in b]) if a is not None else (t, 0, 0)
             rows.append((len(t), gone, runs, bytes(kept)))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+        return pd.DataFrame(rows, columns=list(RESULTS))
 
-    return joined.withColumn("_out", cut("_bytes", "_spots", "_spans")).select(*docs.columns, "_out.*")
+    return joined.withColumn("_out", cut("_bytes", "_spots", "_spans")).select(*columns, "_out.*")
