@@ -230,10 +230,10 @@ def retrieval(rankings: DataFrame, k: int = 10) -> DataFrame:
 
 
 def spearman(ranks: DataFrame) -> DataFrame:
-    """One row for ranks(a, b): 1 - 6 sum(d^2) / (n^3 - n)."""
+    """One row for ranks(a, b): 1 - 6 sum(d^2) / (n^3 - n), and 0 of fewer than two."""
     d = (F.col("a") - F.col("b")).cast("double")
     n = F.count("*").cast("double")
-    return ranks.agg(F.when(n < 2, 1.0).otherwise(1 - 6 * F.sum(d * d) / (n * n * n - n)).alias("spearman"))
+    return ranks.agg(F.when(n < 2, 0.0).otherwise(1 - 6 * F.sum(d * d) / (n * n * n - n)).alias("spearman"))
 
 
 def mean_retrieval(rankings: DataFrame, k: int = 10) -> DataFrame:

@@ -7,19 +7,51 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names; a folder of our own only where a local session has none."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of our own only where a local session has none."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshwork-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage: write df as a table in the shared folder and read it back.
+
+    The table's size is that of its files. A checkpointed plan keeps the size that
+    was estimated for it, the product of what each join multiplied, which doubles its
+    digits with every round of a loop.
+    """
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, tuple]:
+    """checkpointed df, and aggregates over its rows that are taken while it is written, which saves a job for them."""
+    seen = Observation()
+    return checkpointed(df.observe(seen, *(a.alias(f"a{k}") for k, a in enumerate(aggregates)))), tuple(seen.get[f"a{k}"] for k in range(len(aggregates)))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, as it may lie in any store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Delete tables that `checkpointed` wrote and that no later step reads."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            if "/meshwork-step-" in path:
+                remove(df.sparkSession, path)
 
 
 #: Most rows and bytes that a join side may have and still be broadcast.
@@ -34,14 +66,11 @@ def sized(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFr
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one; removed when the driver ends."""
-    checkpointed(spark.range(0))
-    path = f"{spark.sparkContext.getCheckpointDir()}/meshwork-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meshwork-{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # the session is already gone: nothing is left to delete with
             return
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph, checkpointed, sized
+from meshwork.graph import Graph, checkpointed, measured, sized
 from meshwork.operators.traversal import components
 
 
@@ -46,6 +46,21 @@ def move_gain(links: Column, degree: Column, total: Column, inside: Column, m: C
     return joined - apart
 
 
+def neighbour_gains(graph: Graph, membership: DataFrame, weight: str | None = None) -> DataFrame:
+    """id, community and gain: what Q gains when a vertex joins a community around it that is not its own."""
+    e = weighed(graph, weight)
+    m = e.agg(F.sum("w").alias("m"))
+    step = Graph(e).adjacency("w")
+    degree = step.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"))
+    named = membership.select("id", "community")
+    total = degree.join(named, "id").groupBy("community").agg(F.sum("k").alias("tot"))
+    inside = _with_ends(e, named).where("ca = cb").groupBy(F.col("ca").alias("community")).agg((2 * F.sum("w")).alias("inside"))
+    links = step.join(named.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("links"))
+    own = named.withColumnRenamed("community", "own")
+    tried = links.join(own, "id").where("community <> own").join(degree, "id").join(total, "community").join(inside, "community", "left").na.fill(0.0, ["inside"])
+    return tried.join(F.broadcast(m)).select("id", "community", move_gain(F.col("links"), F.col("k"), F.col("tot"), F.col("inside"), F.col("m")).alias("gain"))  # one row is broadcast
+
+
 def quality(graph: Graph, membership: DataFrame) -> DataFrame:
     """community, size, inside, cut, volume, density and conductance."""
     total = graph.edges.agg((2 * F.count("*")).alias("total"))
@@ -71,80 +86,81 @@ def summary(graph: Graph, membership: DataFrame) -> DataFrame:
     return q.join(F.broadcast(modularity(graph, membership))).join(F.broadcast(coverage(graph, membership)))  # one row each
 
 
-def _modularity_of(around: DataFrame, state: DataFrame, n: int, m: float, loops: float) -> float:
-    """Q of a division of a level; around has every edge both ways, loops the weight of the others."""
-    k = state.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
-    a, b = (state.select(F.col("id").alias(c), F.col("community").alias(f"c{c}")) for c in "uv")
-    inside = around.join(sized(a, n, 48), "u").join(sized(b, n, 48), "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inside"))
-    row = k.join(F.broadcast(inside)).first()  # one row each
-    return (row.inside + 2 * loops) / (2 * m) - row.k2 / (4 * m * m)
+def _turn(vertex: Column, r: int) -> Column:
+    """Whether a vertex belongs to the half that moves in round r."""
+    return F.pmod(F.xxhash64(vertex, F.lit(r)), F.lit(2)) == 0
 
 
-def _local_moves(step: DataFrame, degree: DataFrame, member: DataFrame, m: float, rounds: int, within: DataFrame | None = None, threshold: float = 1e-4) -> tuple[DataFrame, bool]:
+def _local_moves(step: DataFrame, degree: DataFrame, n: int, member: DataFrame, m: float, rounds: int, within: DataFrame | None = None, threshold: float = 1e-4) -> tuple[DataFrame, bool]:
     """member (id, community) after rounds of local moving, and whether any vertex moved.
 
     In each round the vertices of one half, by hash and round, move to the community
     around them with the largest gain; ties go to the smallest. With within (id, part),
     moves stay inside a part, only vertices that are alone move, and they join
-    communities whose naming vertex does not move in this round. Sweeps go on until
-    one adds less than the threshold to the modularity.
+    communities whose naming vertex does not move in this round. Two rounds are a
+    sweep. Vertices that move at once may undo each other, so it is the whole that has
+    to gain: sweeps go on until one adds less than the threshold to the modularity,
+    and the best division met stays. A round is one job, which also sums up the
+    modularity of the division that it starts from.
     """
-    best_q = None
-    turn = lambda c, r: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
     around = step.where("u <> v")
-    loops = step.where("u = v").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    state = checkpointed(member.join(degree, "id").select("id", "community", "k", F.lit(False).alias("moved")))
-    n = state.count()
+    state = checkpointed(member.join(degree, "id").select("id", "community", "k"))
     if within is not None:
         a, b = within.select(F.col("id").alias("u"), F.col("part").alias("pu")), within.select(F.col("id").alias("v"), F.col("part").alias("pv"))
         around = checkpointed(around.join(sized(a, n, 48), "u").join(sized(b, n, 48), "v").where("pu = pv").select("u", "v", "w"))
-    for r in range(2 * rounds):  # two halves are one sweep over all vertices
+    best, best_q, any_moved, moved_before = state, None, False, 1
+    for r in range(2 * rounds + 1):
         total = state.groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
         links = around.join(sized(state.select(F.col("id").alias("v"), "community"), n, 48), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
-        own = state.select(F.col("id").alias("u"), F.col("community").alias("own"), "k")
-        tried = links.join(sized(own, n, 64), "u").join(sized(total, n, 48), "community")
+        own = state.join(sized(total, n, 48), "community").select(F.col("id").alias("u"), F.col("community").alias("own"), "k", F.col("tot").alias("own_tot"), F.col("size").alias("own_size"))
+        tried = links.join(sized(own, n, 64), "u").join(sized(total.select("community", "tot"), n, 48), "community")
         mine = F.col("community") == F.col("own")
         # Gain up to a constant of the vertex: links less expected links, its own community without itself.
         value = F.round(F.col("inside") - F.col("k") * (F.col("tot") - F.when(mine, F.col("k")).otherwise(0.0)) / (2 * m), 9)
-        tried = tried.withColumn("value", value)
+        open_to = _turn(F.col("u"), r)
         if within is not None:
-            alone = total.where("size = 1").select(F.col("community").alias("own"))
-            tried = tried.join(sized(alone, n, 32), "own", "left_semi").where(mine | ~turn(F.col("community"), r))
-        best = tried.groupBy("u").agg(F.min(F.struct((-F.col("value")).alias("worse"), "community")).alias("b"), F.max(F.when(mine, F.col("value"))).alias("stay"), F.first("own").alias("own"))
-        moves = best.where(turn(F.col("u"), r) & (-F.col("b.worse") > F.coalesce("stay", F.lit(0.0))) & (F.col("b.community") != F.col("own"))).select(F.col("u").alias("id"), F.col("b.community").alias("to"))
-        state = checkpointed(state.join(sized(moves, n, 48), "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", (F.col("moved") | F.col("to").isNotNull()).alias("moved")))
-        if r % 2:  # a sweep is over: vertices that move at once may undo each other, so it is the whole that has to gain
-            q = _modularity_of(around if within is None else step.where("u <> v"), state, n, m, loops)
+            open_to &= (F.col("own_size") == 1) & (mine | ~_turn(F.col("community"), r))
+        choice = F.min(F.when(open_to, F.struct((-value).alias("worse"), "community")))
+        top = tried.groupBy("u").agg(choice.alias("b"), F.max(F.when(mine, value)).alias("stay"), F.max(F.when(mine, F.col("inside"))).alias("inside"))
+        better = (-F.col("b.worse") > F.coalesce("stay", F.lit(0.0))) & (F.col("b.community") != F.col("own"))
+        moved = F.coalesce(better, F.lit(False))
+        nxt = own.join(sized(top, n, 64), "u", "left").select(F.col("u").alias("id"), F.when(moved, F.col("b.community")).otherwise(F.col("own")).alias("community"), "k", F.coalesce("inside", F.lit(0.0)).alias("inside"), "own_tot", moved.alias("moved"))
+        last, (state, (inside, squares, changed)) = state, measured(nxt, F.sum("inside"), F.sum(F.col("k") * F.col("own_tot")), F.sum(F.col("moved").cast("int")))
+        if r % 2 == 0:  # what entered this round is the outcome of a sweep
+            q = (inside or 0.0) / (2 * m) - (squares or 0.0) / (4 * m * m) if m else 0.0
             if best_q is not None and q < best_q + threshold:
-                break
-            best_q = q
-    return state.select("id", "community"), not state.where("moved").isEmpty()
+                return (last if q > best_q else best).select("id", "community"), any_moved
+            best, best_q = last, q
+        elif not changed and not moved_before:
+            return state.select("id", "community"), any_moved
+        any_moved, moved_before = any_moved or bool(changed), changed
+    return best.select("id", "community"), any_moved
 
 
 def _levels(graph: Graph, rounds: int, levels: int, refine: bool, weight: str | None) -> DataFrame:
-    edges = checkpointed(weighed(graph, weight))
-    m = float(edges.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
+    edges, (m,) = measured(weighed(graph, weight), F.coalesce(F.sum("w"), F.lit(0.0)))
     ids = checkpointed(graph.ids())
     whole = ids.select("id", F.col("id").alias("node"))
     step = checkpointed(Graph(edges).adjacency("w").groupBy("u", "v").agg(F.sum("w").alias("w")))
     found, member = ids.select("id", F.col("id").alias("community")), None
     for _ in range(levels):
-        degree = checkpointed(step.groupBy(F.col("u").alias("id")).agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")))
-        member, moved = _local_moves(step, degree, degree.select("id", F.col("id").alias("community")) if member is None else member, m, rounds)
+        degree, (n,) = measured(step.groupBy(F.col("u").alias("id")).agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")), F.count("*"))
+        alone = degree.select("id", F.col("id").alias("community"))
+        member, moved = _local_moves(step, degree, n, alone if member is None else member, m, rounds)
         top = member.select(F.col("id").alias("node"), "community")
-        found = checkpointed(whole.join(top, "node", "left").select("id", F.coalesce("community", "node").alias("community")))
+        found = checkpointed(whole.join(sized(top, n, 48), "node", "left").select("id", F.coalesce("community", "node").alias("community")))
         if not moved:
             break
         parts = member
         if refine:
-            parts, _ = _local_moves(step, degree, degree.select("id", F.col("id").alias("community")), m, rounds, member.withColumnRenamed("community", "part"))
+            parts, _ = _local_moves(step, degree, n, alone, m, rounds, member.withColumnRenamed("community", "part"))
         part = parts.select(F.col("id").alias("node"), F.col("community").alias("next"))
-        whole = checkpointed(whole.join(part, "node", "left").select("id", F.coalesce("next", "node").alias("node")))
+        whole = checkpointed(whole.join(sized(part, n, 48), "node", "left").select("id", F.coalesce("next", "node").alias("node")))
         a, b = parts.select(F.col("id").alias("u"), F.col("community").alias("a")), parts.select(F.col("id").alias("v"), F.col("community").alias("b"))
         inner = F.when((F.col("a") == F.col("b")) & (F.col("u") != F.col("v")), F.col("w") / 2).otherwise(F.col("w"))
-        step = checkpointed(step.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"), inner.alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+        step = checkpointed(step.join(sized(a, n, 48), "u").join(sized(b, n, 48), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), inner.alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
         # The next level starts from the communities, each named by one of its parts.
-        joined = parts.join(member.withColumnRenamed("community", "top"), "id").select(F.col("community").alias("id"), "top").distinct()
+        joined = parts.join(sized(member.withColumnRenamed("community", "top"), n, 48), "id").select(F.col("community").alias("id"), "top").distinct()
         name = joined.groupBy("top").agg(F.min("id").alias("community"))
         member = checkpointed(joined.join(name, "top").select("id", "community")) if refine else None
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph, checkpointed, sized
+from meshwork.graph import Graph, checkpointed, dropped, measured, sized
 
 
 def levels(graph: Graph, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -35,19 +35,19 @@ def min_labels(edges: DataFrame) -> DataFrame:
     edges are stars, in a logarithmic number of rounds. A node's smallest neighbour
     goes to its edges where all of them are few enough, so that no hub gathers.
     """
-    e = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before, n = None, e.count()
+    tally = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    e, now = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), *tally)
     while True:
+        before, n = now, now[0]
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(sized(least, 2 * n, 48), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(sized(low, 2 * n, 48), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("x"))
-        e = checkpointed(linked.select(F.col("x.u").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        last, (e, now) = e, measured(linked.select(F.col("x.u").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), *tally)
+        dropped(last)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before, n = now, now[0]
 
 
 def components(graph: Graph) -> DataFrame:

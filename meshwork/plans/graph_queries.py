@@ -485,13 +485,6 @@ def community_summary(spark: SparkSession, sf: str) -> DataFrame:
     return row.select("communities", *(F.round(c, 9).alias(c) for c in row.columns if c != "communities"))
 
 
-@query("SELECT l_linenumber AS links, sum(l_quantity) AS n, round(((10 + 2.0 * l_linenumber) / 200 - ((60 + 8) / 200.0) ** 2) - (10 / 200.0 - (60 / 200.0) ** 2 - (8 / 200.0) ** 2), 9) AS gain FROM lineitem GROUP BY l_linenumber".replace("2.0 * l_linenumber", "l_linenumber"))
-def move_gains(spark: SparkSession, sf: str) -> DataFrame:
-    """The gain of joining a community of total degree 60 and inner weight 10 for a vertex of degree 8, by its links."""
-    k = derived.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("links")).agg(F.sum("l_quantity").alias("n"))
-    return k.withColumn("gain", F.round(communities.move_gain(F.col("links"), F.lit(8.0), F.lit(60.0), F.lit(10.0), F.lit(100.0)), 9))
-
-
 @query("""WITH e AS (SELECT vec_id AS src, vec_id + 1 AS dst FROM embeddings), x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)
 SELECT src, dst, round(coalesce(abs(corr(a.v, b.v)), 0) + 1e-10, 6) AS mi FROM e LEFT JOIN x a ON a.vec_id = src LEFT JOIN x b ON b.vec_id = dst AND b.i = a.i GROUP BY src, dst""")
 def attribute_similarity(spark: SparkSession, sf: str) -> DataFrame:

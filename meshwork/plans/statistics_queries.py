@@ -211,7 +211,7 @@ p AS (SELECT d AS bin, count(*) / (SELECT count(*) FROM td) AS p FROM td GROUP B
 b AS (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q, (coalesce(p, 0) + coalesce(q, 0)) / 2 AS m FROM p FULL JOIN q ON p.bin = q.bin),
 k AS (SELECT round(greatest(0, sum((p + 1e-10) * ln((p + 1e-10) / (q + 1e-10)))), 9) AS kl, round(0.5 * sum((p + 1e-10) * ln((p + 1e-10) / (m + 1e-10))) + 0.5 * sum((q + 1e-10) * ln((q + 1e-10) / (m + 1e-10))), 9) AS js FROM b),
 ra AS (SELECT id, row_number() OVER (ORDER BY d DESC, id) AS a FROM sd), rb AS (SELECT id, row_number() OVER (ORDER BY d DESC, id) AS b FROM td),
-c AS (SELECT round(1 - 6 * sum((a - b) * (a - b)) / (count(*)::DOUBLE * count(*) * count(*) - count(*)), 9) AS r FROM ra JOIN rb USING (id)),
+c AS (SELECT CASE WHEN count(*) > 1 THEN round(1 - 6 * sum((a - b) * (a - b)) / (count(*)::DOUBLE * count(*) * count(*) - count(*)), 9) ELSE 0 END AS r FROM ra JOIN rb USING (id)),
 h AS (SELECT count(DISTINCT s_nationkey) / (SELECT count(DISTINCT s_nationkey) FROM supplier) AS h FROM supplier JOIN sam ON id = s_suppkey)
 SELECT b AS both, os AS only_sample, ot AS only_truth, b / (b + ot) AS coverage, b / (b + os) AS precision, round(2 * (b / (b + ot)) * (b / (b + os)) / (b / (b + ot) + b / (b + os)), 9) AS f1, kl AS degree_kl, js AS degree_js, r AS degree_rank_correlation, h AS community_coverage FROM n, k, c, h""")
 def representativeness(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +250,7 @@ def compared_hub_avoidance(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.compared_hub_avoidance(statistics.hub_avoidance(_runs(spark, sf), 11, 5), 0, 1)
 
 
-@query(f"WITH {STRONG} SELECT count(*) FILTER (WHERE u % 2 = 0) / count(*) AS topic_coverage FROM deg WHERE d >= 10")
+@query(f"WITH {STRONG} SELECT CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE u % 2 = 0) / count(*) ELSE 0 END AS topic_coverage FROM deg WHERE d >= 10")
 def topic_coverage(spark: SparkSession, sf: str) -> DataFrame:
     g = Graph(derived.strong(spark, sf)).stored()
     return statistics.hub_sample_coverage(_sample(g), g.degrees())
