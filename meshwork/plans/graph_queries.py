@@ -560,29 +560,111 @@ def _two_seeds(g: Graph) -> DataFrame:
     return _pairs(g).select(F.col("dst").alias("query"), F.explode(F.array("src", "dst")).alias("seed"))
 
 
-def _expansion(order: str):
-    """The vertices that each seed comes to own, whatever the order, when nothing is left to expand: all it reaches."""
+_PAIR_SEEDS = "e AS (SELECT (SELECT min(u) FROM deg) AS s, u AS t FROM deg ORDER BY u DESC LIMIT 3), q AS (SELECT t AS query, unnest([s, t]) AS seed FROM e)"
+
+
+def _digits(x: str) -> str:
+    """SQL of the whole part of log2(x + 1)."""
+    return f"(length(bin(floor(greatest({x}, 0))::BIGINT + 1)) - 1)"
+
+
+#: Bands of the orders, over the open rows o with what _band_parts adds.
+_BANDS = {
+    "breadth_first": "depth", "degree": _digits("degree"), "high_degree": f"-{_digits('degree')}", "frontier_balanced": "size", "random": "('0x' || left(md5(id::VARCHAR), 7))::INT % 8",
+    "degree_surprise": f"-{_digits('round(spread, 9)')}", "entropy_guided": _digits("round(10 * ln(degree + 1) / (entropy + 0.001::DOUBLE), 9)"), "salience": f"-{_digits('round(1000 * (degree / 100.0::DOUBLE), 9)')}",
+    "cross_seed": _digits("(degree + 1) * (1 + owners)"), "path_preserving": _digits("degree / (1 + potential)"),
+}
+
+
+def _expansion_ctes(order: str, rounds: int = 45, stop: str = "false") -> str:
+    """`owned` after rounds in which each query expands all its open vertices of the lowest band; stop: over owned rows x of a query."""
+    parts = [f"""{STRONG}, {_PAIR_SEEDS}, kinds AS (SELECT u, w % 3 AS kind, count(*) AS c FROM adj GROUP BY ALL),
+ent AS (SELECT u, -sum(c / d * log2(c / d)) AS entropy FROM kinds JOIN deg USING (u) GROUP BY u), sp AS (SELECT a.u, avg(x.d) AS mean, stddev_pop(x.d) AS sd FROM adj a JOIN deg x ON x.u = a.v GROUP BY a.u),
+facts AS MATERIALIZED (SELECT u AS id, d AS degree, CASE WHEN sd > 0 THEN abs(d - mean) / sd ELSE abs(d - mean) END AS spread, entropy FROM deg JOIN sp USING (u) JOIN ent USING (u)),
+o0 AS MATERIALIZED (SELECT query, seed, seed AS id, NULL::BIGINT AS parent, 0 AS depth, 0 AS round, false AS done FROM q)"""]
+    extra, join = "", ""
+    if order == "frontier_balanced":
+        extra, join = ", count(*) OVER (PARTITION BY query, seed) AS size", ""
+    for k in range(rounds):
+        o = f"o{k}"
+        if order == "cross_seed":
+            extra, join = ", owners", f"JOIN (SELECT query, id, count(DISTINCT seed) AS owners FROM {o} GROUP BY ALL) USING (query, id)"
+        elif order == "path_preserving":
+            extra, join = ", coalesce(potential, 0) AS potential", f"LEFT JOIN (SELECT w.query, w.seed, w.id, count(DISTINCT a.v) AS potential FROM {o} w JOIN adj a ON a.u = w.id JOIN {o} x ON x.query = w.query AND x.id = a.v AND x.seed <> w.seed WHERE NOT w.done GROUP BY ALL) USING (query, seed, id)"
+        parts.append(f"b{k} AS MATERIALIZED (SELECT query, seed, id, depth, {_BANDS[order]} AS band FROM (SELECT w.*, degree, spread, entropy{extra} FROM (SELECT * FROM {o} WHERE NOT done) w JOIN facts USING (id) {join}))")
+        parts.append(f"p{k} AS MATERIALIZED (SELECT * FROM b{k} WHERE band = (SELECT min(band) FROM b{k} y WHERE y.query = b{k}.query))")
+        parts.append(f"f{k} AS (SELECT query, seed, v AS id, min({{'depth': depth + 1, 'parent': u}}) AS p FROM p{k} JOIN adj ON u = p{k}.id ANTI JOIN {o} z ON z.query = p{k}.query AND z.seed = p{k}.seed AND z.id = adj.v GROUP BY ALL)")
+        parts.append(f"n{k} AS MATERIALIZED (SELECT {o}.*, p{k}.band IS NOT NULL AS now FROM {o} LEFT JOIN p{k} USING (query, seed, id))")
+        parts.append(f"g{k} AS (SELECT query, seed, id, parent, o.depth, round, done OR now AS done FROM n{k} o UNION ALL SELECT query, seed, id, p.parent, p.depth, {k + 1}, false FROM f{k})")
+        parts.append(f"o{k + 1} AS MATERIALIZED (SELECT query, seed, id, parent, depth, round, done OR query IN (SELECT query FROM g{k} x GROUP BY query HAVING {stop}) AS done FROM g{k})")
+    return ", ".join(parts) + f", owned AS (SELECT query, seed, id, parent, depth, round FROM o{rounds})"
+
+
+def _grown(spark: SparkSession, sf: str, order: str, stop: str | None = None) -> DataFrame:
+    g = _strong(spark, sf)
+    g = Graph(g.edges.withColumn("type", F.col("w") % 3))
+    scores = g.degrees().select("id", (F.col("degree") / 100.0).alias("score")) if order == "salience" else None
+    return expansion.expand(g, _two_seeds(g), order, stop, scores=scores)
+
+
+def _expansion(order: str, stop: str | None = None):
+    """Every vertex that a seed comes to own, with its parent, depth and round."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        g = _strong(spark, sf)
-        scores = g.degrees().select("id", (F.col("degree") / 100.0).alias("score")) if order == "salience" else None
-        owned = expansion.expand(g, _two_seeds(g), order, scores=scores)
-        return owned.groupBy("query", "seed").agg(F.count("*").alias("owned"), F.count("parent").alias("reached"), F.sum(F.xxhash64("id") % 1000).alias("mark")).drop("mark")
+        return _grown(spark, sf, order, stop)
 
     run.__name__ = f"expansion_{order}"
     return run
 
 
-#: Registered orders; the others differ in their band alone.
-for _order in ("breadth_first", "degree", "cross_seed", "entropy_guided"):
-    query(f"WITH RECURSIVE {STRONG}, e AS (SELECT (SELECT min(u) FROM deg) AS s, u AS t FROM deg ORDER BY u DESC LIMIT 3), q AS (SELECT t AS query, unnest([s, t]) AS seed FROM e), r(query, seed, id) AS (SELECT query, seed, seed FROM q UNION SELECT query, seed, v FROM r JOIN adj ON u = r.id) SELECT query, seed, count(*) AS owned, count(*) - 1 AS reached FROM r GROUP BY ALL")(_expansion(_order))
+for _order in expansion.ORDERS:
+    query(f"WITH {_expansion_ctes(_order)} SELECT * FROM owned" if _order in _BANDS else None)(_expansion(_order))
+
+
+@query(f"WITH {_expansion_ctes('entropy_guided', 30, 'count(*) > count(DISTINCT id)')} SELECT * FROM owned")
+def heterogeneity_aware(spark: SparkSession, sf: str) -> DataFrame:
+    """The entropy-guided order until shared vertices connect the seeds."""
+    return _grown(spark, sf, "entropy_guided", "connected")
+
 
+@query(f"WITH {_expansion_ctes('degree', 30, 'count(DISTINCT id) >= 0.8 * (SELECT count(*) FROM deg)')} SELECT * FROM owned")
+def expansion_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return _grown(spark, sf, "degree", "coverage")
 
-@query(f"""WITH RECURSIVE {STRONG}, e AS (SELECT (SELECT min(u) FROM deg) AS s, u AS t FROM deg ORDER BY u DESC LIMIT 3), q AS (SELECT t AS query, unnest([s, t]) AS seed FROM e), r(query, seed, id) AS (SELECT query, seed, seed FROM q UNION SELECT query, seed, v FROM r JOIN adj ON u = r.id)
-SELECT a.query, a.id, array_to_string([least(a.seed, b.seed), greatest(a.seed, b.seed)], '-') AS seeds FROM r a JOIN r b ON a.query = b.query AND a.id = b.id AND a.seed < b.seed""")
+
+@query(f"WITH {_expansion_ctes('high_degree', 30, 'count(*) > count(DISTINCT id)')} SELECT * FROM owned")
+def expansion_pairwise(spark: SparkSession, sf: str) -> DataFrame:
+    return _grown(spark, sf, "high_degree", "pairwise")
+
+
+@query(f"WITH {_expansion_ctes('degree', 30, 'count(*) > count(DISTINCT id)')} SELECT a.query, a.id, array_to_string([least(a.seed, b.seed), greatest(a.seed, b.seed)], '-') AS seeds FROM owned a JOIN owned b ON a.query = b.query AND a.id = b.id AND a.seed < b.seed")
 def expansion_meetings(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the two seeds of a query meet first."""
+    return expansion.meetings(_grown(spark, sf, "degree", "common")).select("query", "id", F.array_join("seeds", "-").alias("seeds"))
+
+
+_MET = f"WITH {_expansion_ctes('degree', 30, 'count(DISTINCT id) >= 0.5 * (SELECT count(*) FROM deg)')}"
+
+
+def _half(spark: SparkSession, sf: str) -> DataFrame:
+    """Owned rows when the seeds of a query own half of all vertices."""
     g = _strong(spark, sf)
-    return expansion.meetings(expansion.expand(g, _two_seeds(g), "degree")).select("query", "id", F.array_join("seeds", "-").alias("seeds"))
+    return expansion.expand(g, _two_seeds(g), "degree", "coverage", share=0.5)
+
+
+@query(f"{_MET} SELECT a.query, a.seed AS a, b.seed AS b, count(*) AS shared FROM owned a JOIN owned b ON a.query = b.query AND a.id = b.id AND a.seed < b.seed GROUP BY ALL")
+def seed_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return expansion.overlaps(_half(spark, sf))
+
+
+@query(f"{_MET}, r AS (SELECT query, seed, max(depth) AS radius FROM owned GROUP BY ALL), z AS (SELECT * FROM owned JOIN r USING (query, seed)) SELECT a.query, a.seed AS a, b.seed AS b, count(*) AS shared FROM z a JOIN z b ON a.query = b.query AND a.id = b.id AND a.seed < b.seed WHERE (a.depth <= b.radius OR b.depth <= a.radius) AND a.depth <= 2 AND b.depth <= 2 GROUP BY ALL")
+def sphere_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return expansion.sphere_overlaps(_half(spark, sf), 2)
+
+
+@query(f"{_MET}, k AS (SELECT query, seed, count(*) AS k FROM owned GROUP BY ALL), s AS (SELECT a.query, a.seed AS a, b.seed AS b, count(*) AS shared FROM owned a JOIN owned b ON a.query = b.query AND a.id = b.id AND a.seed < b.seed GROUP BY ALL) SELECT s.query, a, b, shared / (x.k + y.k - shared) AS similarity FROM s JOIN k x ON x.query = s.query AND x.seed = a JOIN k y ON y.query = s.query AND y.seed = b WHERE shared / (x.k + y.k - shared) >= 0.1")
+def threshold_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return expansion.threshold_overlaps(_half(spark, sf), 0.1)
 
 
 @query(f"WITH {_PATHS} SELECT t AS query, s AS src, t AS dst, min(len(nodes))::INT - 1 AS hops FROM walk GROUP BY ALL")
