@@ -113,6 +113,13 @@ def _spanning(pairs: DataFrame, top: float, sizes: DataFrame, n: int) -> tuple[D
         sizes = checkpointed(sizes.join(sized(to.select(F.col("b").alias("c")), n, 16), "c", "left_anti"))
 
 
+def spanning_forest(graph: Graph) -> DataFrame:
+    """src < dst of a spanning forest: of all, the one whose edges come first by their ends."""
+    pairs, top = _pairs(graph, None)
+    merges, _, _ = _spanning(pairs, top, graph.ids().select(F.col("id").alias("c")), graph.ids().count())
+    return (merges if merges is not None else pairs.limit(0)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def clusters_at(graph: Graph, merges: DataFrame, height: float) -> DataFrame:
     """id and cluster (its smallest vertex) when the tree is cut at a height: what merges up to it connect."""
     labels = min_labels(merges.where(F.col("height") <= height).select("a", "b"))

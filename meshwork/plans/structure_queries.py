@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.operators import communities, flow, hierarchy, spectral
-from meshwork.plans.graph_queries import STRONG, _strong
+from meshwork.graph import Graph
+from meshwork.operators import certificates, communities, flow, hierarchy, spectral
+from meshwork.plans.graph_queries import STRONG, TRADE, _strong
+from meshwork.sources import derived
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,3 +112,94 @@ def move_gains(spark: SparkSession, sf: str) -> DataFrame:
     g = _strong(spark, sf)
     nations = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("community"))
     return communities.neighbour_gains(g, nations).select("id", "community", F.round("gain", 9).alias("gain"))
+
+
+_BIG = f"{TRADE}, big AS (SELECT src, dst FROM trade WHERE src <> dst AND w > (SELECT quantile_disc(w, 0.9) FROM trade))"
+
+
+def _big_trade(spark: SparkSession, sf: str) -> Graph:
+    """The heaviest tenth of the trade between nations, directed."""
+    t = derived.trade(spark, sf)
+    cut = t.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY w)").alias("cut"))
+    return Graph(t.join(F.broadcast(cut), F.col("w") > F.col("cut")).where("src <> dst").select("src", "dst"), None, True).stored()  # one row is broadcast
+
+
+def _peel_sql(rounds: int = 25) -> str:
+    parts = ["v0 AS (SELECT src AS id FROM big UNION SELECT dst FROM big)"]
+    for k in range(rounds):
+        parts.append(f"v{k + 1} AS MATERIALIZED (SELECT id FROM v{k} WHERE id IN (SELECT dst FROM big WHERE src IN (SELECT id FROM v{k})))")
+    return ", ".join(parts)
+
+
+@query(f"""WITH RECURSIVE {_BIG}, {_peel_sql()}, f AS MATERIALIZED (SELECT dst AS id, min(src) AS back FROM big WHERE src IN (SELECT id FROM v25) AND dst IN (SELECT id FROM v25) GROUP BY dst),
+walk(start, id, k) AS (SELECT id, id, 0 FROM f UNION ALL SELECT start, back, k + 1 FROM walk JOIN f USING (id) WHERE k < 50),
+ring AS (SELECT DISTINCT id FROM walk WHERE k = 50), c AS (SELECT start AS id, min(w.id) AS cycle FROM walk w WHERE start IN (SELECT id FROM ring) GROUP BY start)
+SELECT cycle, min(k)::INT AS position, c.id FROM c JOIN walk w ON w.start = c.id AND w.id = cycle GROUP BY ALL""")
+def cycle_witnesses(spark: SparkSession, sf: str) -> DataFrame:
+    return certificates.cycles(_big_trade(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {STRONG}, r(id, root) AS (SELECT u, u FROM deg UNION SELECT v, root FROM r JOIN adj ON u = r.id)
+SELECT (SELECT count(*) FROM deg) - count(DISTINCT root) AS edges, count(DISTINCT root) AS trees FROM (SELECT id, min(root) AS root FROM r GROUP BY id)""")
+def spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    n = g.ids().agg(F.count("*").alias("n"))
+    return hierarchy.spanning_forest(g).agg(F.count("*").alias("edges")).join(F.broadcast(n)).select("edges", (F.col("n") - F.col("edges")).alias("trees"))  # one row each
+
+
+@query(None)
+def edge_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    return certificates.sparse_certificate(_strong(spark, sf), 3)
+
+
+def _colours_sql(rounds: int = 8) -> str:
+    parts = [f"WITH {STRONG}, c0 AS (SELECT u AS id, -1::BIGINT AS colour FROM deg)"]
+    for k in range(rounds):
+        parts.append(f"s{k} AS (SELECT a.u AS id, list_sort(list(c.colour)) AS seen FROM adj a JOIN c{k} c ON c.id = a.v GROUP BY a.u)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY colour, seen) AS colour FROM c{k} JOIN s{k} USING (id))")
+    return ", ".join(parts) + f" SELECT id, colour FROM c{rounds}"
+
+
+@query(_colours_sql())
+def colour_refinement(spark: SparkSession, sf: str) -> DataFrame:
+    return certificates.colour_classes(_strong(spark, sf))
+
+
+_FORCES = f"""{STRONG}, p AS (SELECT a.u, a.v, b.v AS w FROM adj a JOIN adj b ON a.u = b.u AND a.v <> b.v ANTI JOIN adj c ON c.u = a.v AND c.v = b.v),
+x AS MATERIALIZED (SELECT {{'src': u, 'dst': v}} AS a, {{'src': u, 'dst': w}} AS b FROM p UNION ALL SELECT {{'src': v, 'dst': u}}, {{'src': w, 'dst': u}} FROM p),
+r(arc, root) USING KEY (arc) AS (SELECT {{'src': u, 'dst': v}}, {{'src': u, 'dst': v}} FROM adj UNION SELECT x.b, min(r.root) FROM r JOIN x ON x.a = r.arc LEFT JOIN recurring.r o ON o.arc = x.b WHERE r.root < o.root GROUP BY x.b)"""
+
+
+@query(f"WITH RECURSIVE {_FORCES} SELECT a.arc.src AS src, a.arc.dst AS dst FROM r a JOIN r b ON b.arc.src = a.arc.dst AND b.arc.dst = a.arc.src WHERE a.root = b.root AND a.arc.src < a.arc.dst")
+def orientation_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges that no transitive orientation can direct."""
+    return certificates.orientation_conflicts(certificates.forced_arcs(_strong(spark, sf)))
+
+
+@query(f"WITH RECURSIVE {_FORCES} SELECT count(DISTINCT root) AS classes, count(*) AS arcs FROM r")
+def implication_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return certificates.forced_arcs(_strong(spark, sf)).agg(F.countDistinct("class").alias("classes"), F.count("*").alias("arcs"))
+
+
+@query(f"""WITH RECURSIVE {STRONG}, far AS MATERIALIZED (SELECT x.u AS x, y.u AS id FROM deg x JOIN deg y ON x.u <> y.u ANTI JOIN adj a ON a.u = x.u AND a.v = y.u),
+e AS MATERIALIZED (SELECT f.x, a.u, a.v FROM far f JOIN adj a ON a.u = f.id JOIN far g ON g.x = f.x AND g.id = a.v),
+c(x, id, component) USING KEY (x, id) AS (SELECT x, id, id FROM far UNION SELECT c.x, e.v, min(c.component) FROM c JOIN e ON e.x = c.x AND e.u = c.id LEFT JOIN recurring.c o ON o.x = c.x AND o.id = e.v WHERE c.component < o.component GROUP BY c.x, e.v)
+SELECT ab.x AS a, ab.id AS b, ac.id AS c FROM c ab JOIN c ac ON ac.x = ab.x AND ab.x < ab.id AND ab.id < ac.id AND ac.component = ab.component JOIN c ba ON ba.x = ab.id AND ba.id = ab.x JOIN c bc ON bc.x = ab.id AND bc.id = ac.id AND bc.component = ba.component
+JOIN c ca ON ca.x = ac.id AND ca.id = ab.x JOIN c cb ON cb.x = ac.id AND cb.id = ab.id AND cb.component = ca.component""")
+def asteroidal_triples(spark: SparkSession, sf: str) -> DataFrame:
+    return certificates.asteroidal_triples(_strong(spark, sf))
+
+
+def _elimination_sql(rounds: int = 30) -> str:
+    parts = [f"WITH {STRONG}, l0 AS (SELECT u AS id FROM deg), e0 AS (SELECT u, v FROM adj)"]
+    for k in range(rounds):
+        parts.append(f"d{k} AS MATERIALIZED (SELECT id, count(v) AS d FROM l{k} LEFT JOIN e{k} ON u = id GROUP BY id)")
+        parts.append(f"g{k} AS MATERIALIZED (SELECT x.id, {k + 1} AS round, x.d AS degree FROM d{k} x WHERE NOT EXISTS (SELECT 1 FROM e{k} e JOIN d{k} y ON y.id = e.v WHERE e.u = x.id AND (y.d, y.id) < (x.d, x.id)))")
+        parts.append(f"e{k + 1} AS MATERIALIZED (SELECT u, v FROM e{k} WHERE u NOT IN (SELECT id FROM g{k}) AND v NOT IN (SELECT id FROM g{k}) UNION SELECT a.v, b.v FROM e{k} a JOIN e{k} b ON a.u = b.u AND a.v <> b.v WHERE a.u IN (SELECT id FROM g{k}))")
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT id FROM l{k} WHERE id NOT IN (SELECT id FROM g{k}))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT id, round::INT AS round, degree FROM g{k}" for k in range(rounds))
+
+
+@query(_elimination_sql())
+def elimination_order(spark: SparkSession, sf: str) -> DataFrame:
+    return certificates.elimination(_strong(spark, sf))
