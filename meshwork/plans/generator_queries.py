@@ -119,7 +119,7 @@ for _kind, _rule in _RULES.items():
     add(f"{_kind}_product", lambda s, kind=_kind: generate.product(generate.path(s, 5), generate.cycle(s, 5), kind), f"{_V} SELECT p.n AS src, q.n AS dst FROM p JOIN p q ON p.n < q.n AND ({_rule})")
 
 
-#: What is known of a made graph, by name: (how it is made, what it must be).
+#: What is known of a made graph, by name: (how it is made, what it must be). Read by tests only: registered validations are of the tables' graphs.
 KNOWN = {
     "complete": (lambda s: generate.complete(s, 6), {"complete": True, "regular": True, "split": True, "planar_by_edges": False, "max_degree": 5}),
     "star": (lambda s: generate.star(s, 9), {"split": True, "max_degree": 8, "simple": True}),
@@ -133,29 +133,9 @@ KNOWN = {
 }
 
 
-def _validated(name: str) -> None:
-    make, known = KNOWN[name]
-    told = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
-    rows = ", ".join(f"('{k}', '{told(v)}', '{told(v)}', true, '')" for k, v in known.items())
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return analyze.validate(make(spark), known)
-
-    run.__name__ = f"validated_{name}"
-    QUERIES[run.__name__] = run
-    SQL[run.__name__] = f"SELECT * FROM (VALUES {rows}) t(property, expected, actual, valid, message)"
-
-
-for _name in KNOWN:
-    _validated(_name)
-
-
 def flow_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Faults of a flow network of which one vertex gets nothing and another one's edge to the sink is turned round."""
     g = generate.flow_network(spark, 3, 3)
     broken = g.edges.where("NOT (src = 0 AND dst = 2)").select(F.when(F.col("src") == 7, 10).otherwise(F.col("src")).cast("long").alias("src"), F.when(F.col("src") == 7, 7).otherwise(F.col("dst")).cast("long").alias("dst"), "capacity")
     return analyze.flow_faults(Graph(broken, g.vertices, True), 0, 10)
 
-
-QUERIES["flow_validation"] = flow_validation
-SQL["flow_validation"] = "SELECT * FROM (VALUES ('edge out of the sink', 1::BIGINT), ('vertex on no way', 2::BIGINT)) t(fault, n)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
 from meshwork.operators import blocks, communities, expansion, information, motifs, paths, traversal, truth
-from meshwork.plans import analyze, classes, generate
+from meshwork.plans import analyze, classes
 from meshwork.sources import derived
 
 QUERIES: dict = {}
@@ -521,11 +521,6 @@ def vertex_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.biconnected(_strong(spark, sf)).select("src", "dst", "block")
 
 
-@query("SELECT * FROM (VALUES ('bipartite', 'true', 'true', true, ''), ('components', '1', '1', true, ''), ('regular', 'true', 'false', false, 'regular is false, declared as true'), ('triangles', '0', '0', true, ''), ('tree', 'false', 'false', true, '')) t(property, expected, actual, valid, message)")
-def validated_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze.validate(generate.grid(spark, 6, 7), {"bipartite": True, "components": 1, "regular": True, "triangles": 0, "tree": False})
-
-
 def _levels_sql(rounds: int = 8) -> str:
     """dist: hops and number of shortest paths between all pairs, level by level."""
     parts = ["l0 AS (SELECT u AS s, u AS id, 1.0::DOUBLE AS sigma FROM deg)", "seen0 AS (SELECT s, id FROM l0)"]

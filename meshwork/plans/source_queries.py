@@ -126,3 +126,27 @@ def read_gd4(spark: SparkSession, sf: str) -> DataFrame:
     places = spark.range(20).select(F.format_string("%d.5 %d.25", "id", "id").alias("value"))
     edges = derived.trade(spark, sf).select(_line("src", "dst").alias("value"))
     return formats.load(spark, _in_order([*_head(spark, "20"), places, edges], "gd4"))
+
+
+_DOCS = f"WITH {STRONG}, n AS (SELECT s_suppkey AS id, s_nationkey AS nation FROM supplier), e AS (SELECT x.nation, src, dst, w FROM strong JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE x.nation = y.nation)"
+
+
+def _documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A document for each nation: its suppliers and the strong edges between them, written and read again."""
+    n = derived.suppliers(spark, sf).withColumnRenamed("nation", "name")
+    e = _strong(spark, sf).edges.join(n.withColumnRenamed("id", "src"), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("other")), "dst").where("name = other").select("name", "src", "dst", F.col("w").alias("weight"))
+    path = scratch(spark, "documents")
+    formats.write_documents(n, e, n.groupBy("name").agg(F.count("*").alias("suppliers")).withColumn("directed", F.lit(False)), path)
+    schema = "meta struct<name: bigint, suppliers: bigint, directed: boolean>, nodes array<struct<id: bigint>>, edges array<struct<src: bigint, dst: bigint, weight: bigint>>"
+    return formats.read_documents(spark, path, schema=schema)
+
+
+@query(f"{_DOCS} SELECT nation AS name, src, dst, w AS weight FROM e")
+def read_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf)[2].select("name", "src", "dst", "weight")
+
+
+@query(f"{_DOCS} SELECT nation AS name, count(*) AS suppliers, false AS directed, count(*) AS nodes FROM n GROUP BY nation")
+def read_document_meta(spark: SparkSession, sf: str) -> DataFrame:
+    meta, nodes, _ = _documents(spark, sf)
+    return meta.join(nodes.groupBy("name").agg(F.count("*").alias("nodes")), "name").select("name", "suppliers", "directed", "nodes")

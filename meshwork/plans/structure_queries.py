@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
 from meshwork.operators import certificates, communities, flow, hierarchy, spectral
-from meshwork.plans.graph_queries import STRONG, TRADE, _strong
+from meshwork.plans import analyze, classes
+from meshwork.plans.graph_queries import STRONG, TRADE, TRANSITIONS, _strong
 from meshwork.sources import derived
 
 QUERIES: dict = {}
@@ -203,3 +204,72 @@ def _elimination_sql(rounds: int = 30) -> str:
 @query(_elimination_sql())
 def elimination_order(spark: SparkSession, sf: str) -> DataFrame:
     return certificates.elimination(_strong(spark, sf))
+
+
+@query(f"WITH {STRONG} SELECT src, dst, w FROM strong WHERE w % 3 = 1")
+def typed_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    return Graph(g.edges.withColumn("type", F.concat(F.lit("t"), F.col("w") % 3))).of_types(["t1"]).edges.select("src", "dst", "w")
+
+
+@query(f"WITH {STRONG}, e AS (SELECT * FROM strong WHERE w >= (SELECT avg(w) FROM strong)) SELECT s_suppkey AS id FROM supplier WHERE s_acctbal > 5000 OR s_suppkey IN (SELECT src FROM e UNION SELECT dst FROM e)")
+def either_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with a large balance or on an edge of at least mean weight."""
+    g = _strong(spark, sf)
+    mean = g.edges.agg(F.avg("w")).first()[0]
+    vertices = derived.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
+    return Graph(g.edges, vertices).either(F.col("s_acctbal") > 5000, F.col("w") >= F.lit(mean)).vertices.select("id")
+
+
+@query(f"WITH {STRONG} SELECT u AS src, string_agg(v || ':' || w, ' ' ORDER BY v) AS targets FROM adj GROUP BY u")
+def compressed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    g = _strong(spark, sf)
+    rows = Graph(g.edges.select("src", "dst", F.col("w").alias("weight"))).csr()
+    return rows.select("src", F.array_join(F.transform("targets", lambda t: F.concat_ws(":", t["dst"], t["weight"].cast("long"))), " ").alias("targets"))
+
+
+@query(None)
+def core_periphery(spark: SparkSession, sf: str) -> DataFrame:
+    return classes.core_periphery(_strong(spark, sf))
+
+
+def _told(declared: dict[str, object]) -> str:
+    """SQL of the validation rows of declared values over a table `actual` (property, actual)."""
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    rows = ", ".join(f"('{k}', '{text(v)}')" for k, v in declared.items())
+    return f"SELECT property, expected, actual, expected = actual AS valid, CASE WHEN expected = actual THEN '' ELSE property || ' is ' || actual || ', declared as ' || expected END AS message FROM (VALUES {rows}) d(property, expected) JOIN actual USING (property)"
+
+
+_STRONG_SPEC = {"components": 1, "regular": True, "simple": True, "bipartite": False, "complete": True, "cograph": False, "claw_free": True, "planar_by_edges": True, "triangle_free": False}
+
+
+@query(f"""WITH RECURSIVE {STRONG}, r(id, root, side) AS (SELECT u, u, 0 FROM deg UNION SELECT v, root, 1 - side FROM r JOIN adj ON u = r.id), g AS (SELECT (SELECT count(*) FROM deg) AS n, (SELECT count(*) FROM strong) AS m),
+o AS (SELECT a.u AS c, a.v AS x, b.v AS y FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v ANTI JOIN strong s ON s.src = a.v AND s.dst = b.v),
+actual AS (SELECT unnest(['components', 'regular', 'simple', 'bipartite', 'complete', 'cograph', 'claw_free', 'planar_by_edges', 'triangle_free']) AS property, unnest([
+  (SELECT count(DISTINCT root) FROM (SELECT id, min(root) AS root FROM r GROUP BY id))::VARCHAR, (SELECT min(d) = max(d) FROM deg)::VARCHAR, 'true', (NOT EXISTS (SELECT 1 FROM r WHERE id = root AND side = 1))::VARCHAR, (2 * m = n * (n - 1))::VARCHAR,
+  (NOT EXISTS (SELECT 1 FROM strong e JOIN adj a ON a.u = e.src AND a.v <> e.dst JOIN adj d ON d.u = e.dst AND d.v <> e.src AND d.v <> a.v WHERE NOT EXISTS (SELECT 1 FROM adj WHERE u = a.v AND v = e.dst) AND NOT EXISTS (SELECT 1 FROM adj WHERE u = e.src AND v = d.v) AND NOT EXISTS (SELECT 1 FROM adj WHERE u = a.v AND v = d.v)))::VARCHAR,
+  (NOT EXISTS (SELECT 1 FROM o p JOIN o q ON p.c = q.c AND p.x = q.x AND p.y < q.y JOIN o w ON w.c = p.c AND w.x = p.y AND w.y = q.y))::VARCHAR, (m <= 3 * n - 6)::VARCHAR,
+  (NOT EXISTS (SELECT 1 FROM strong x JOIN strong y ON x.dst = y.src JOIN strong z ON z.src = x.src AND z.dst = y.dst))::VARCHAR]) AS actual FROM g) {_told(_STRONG_SPEC)}""")
+def validated_strong(spark: SparkSession, sf: str) -> DataFrame:
+    """The strong graph against what is declared of it, partly wrongly."""
+    return analyze.validate(_strong(spark, sf), _STRONG_SPEC)
+
+
+_TRADE_SPEC = {"directed": True, "acyclic": True, "dag": False, "tournament": True, "self_loops": False, "vertices": 25}
+
+
+@query(f"""WITH {_BIG}, {_peel_sql()}, ids AS (SELECT src AS id FROM big UNION SELECT dst FROM big), actual AS (SELECT unnest(['directed', 'acyclic', 'dag', 'tournament', 'self_loops', 'vertices']) AS property, unnest([
+  'true', (NOT EXISTS (SELECT 1 FROM v25))::VARCHAR, (NOT EXISTS (SELECT 1 FROM v25))::VARCHAR,
+  ((SELECT count(*) FROM big) = (SELECT count(*) * (count(*) - 1) / 2 FROM ids) AND NOT EXISTS (SELECT 1 FROM big a JOIN big b ON a.src = b.dst AND a.dst = b.src))::VARCHAR, 'false', (SELECT count(*) FROM ids)::VARCHAR]) AS actual) {_told(_TRADE_SPEC)}""")
+def validated_trade(spark: SparkSession, sf: str) -> DataFrame:
+    """The heaviest trade, a directed graph without loops, against what is declared of it."""
+    return analyze.validate(_big_trade(spark, sf), _TRADE_SPEC)
+
+
+_EVENT_SPEC = {"self_loops": True, "complete": False, "multigraph": False, "tournament": False}
+
+
+@query(f"""WITH {TRANSITIONS}, n AS (SELECT count(*) AS n FROM (SELECT src AS id FROM transitions UNION SELECT dst FROM transitions)), actual AS (SELECT unnest(['self_loops', 'complete', 'multigraph', 'tournament']) AS property, unnest([
+  (EXISTS (SELECT 1 FROM transitions WHERE src = dst))::VARCHAR, ((SELECT count(*) FROM transitions WHERE src <> dst) = n * (n - 1))::VARCHAR, 'false', 'false']) AS actual FROM n) {_told(_EVENT_SPEC)}""")
+def validated_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return analyze.validate(Graph(derived.transitions(spark, sf).select("src", "dst"), None, True), _EVENT_SPEC)

@@ -149,6 +149,24 @@ def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return spark.read.json(f"{path}/nodes"), spark.read.json(f"{path}/edges")
 
 
+def write_documents(vertices: DataFrame, edges: DataFrame, meta: DataFrame, path: str, key: str = "name") -> None:
+    """One {meta, nodes, edges} document a line for each row of meta; vertices and edges say by key which document they belong to."""
+    packed = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != key)))).alias(name))
+    rows = meta.select(key, F.struct(*meta.columns).alias("meta")).join(packed(vertices, "nodes"), key, "left").join(packed(edges, "edges"), key, "left")
+    empty = [F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("nodes", "edges")]
+    rows.select("meta", *empty).write.json(path)
+
+
+def read_documents(spark: SparkSession, path: str, key: str = "name", schema: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """meta, vertices and edges of {meta, nodes, edges} documents, one a line; vertices and edges carry the key of their document.
+
+    Without a schema it is read off the documents, which takes one node and one edge at least.
+    """
+    docs = spark.read.json(path) if schema is None else spark.read.schema(schema).json(path)
+    part = lambda c: docs.select(F.col("meta")[key].alias(key), F.explode(c).alias("x")).select(key, "x.*")
+    return docs.select("meta.*"), part("nodes"), part("edges")
+
+
 EXTENSIONS = {"gml": "gml", "net": "pajek", "paj": "pajek", "mtx": "matrix_market", "dl": "ucinet", "json": "json", "snap": "snap", "tsv": "triples", "csv": "edge_list", "txt": "edge_list", "edges": "edge_list", "gd4": "gd4"}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
 from meshwork.operators import blocks, communities, expansion, motifs, paths, traversal, truth
-from meshwork.plans import analyze, classes, generate, graph_queries
+from meshwork.plans import analyze, classes, generate, generator_queries, graph_queries
 from meshwork.sources import formats
 from meshwork.streaming.edges import degree_stream
 
@@ -304,3 +304,14 @@ def test_nearest_class_and_its_report(spark):
     assert got == {1: ("a", 1.0), 2: ("b", 1.0), 3: ("a", 0.6)}
     told = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "predicted string, actual string")
     assert {(r.label, r.precision, r.recall, r.support) for r in classes.classifier_report(told).collect()} == {("a", 0.5, 1.0, 1), ("b", 1.0, 0.5, 2)}
+
+
+@pytest.mark.parametrize("name", sorted(generator_queries.KNOWN))
+def test_what_is_known_of_made_graphs_is_inferred(spark, name):
+    make, known = generator_queries.KNOWN[name]
+    rows = analyze.validate(make(spark), known).collect()
+    assert {r.property for r in rows} == set(known) and all(r.valid and not r.message for r in rows), rows
+
+
+def test_faults_of_a_flow_network(spark):
+    assert {tuple(r) for r in generator_queries.flow_validation(spark, "").collect()} == {("edge out of the sink", 1), ("vertex on no way", 2)}
