@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
-from meshwork.operators import certificates, communities, flow, hierarchy, spectral
+from meshwork.operators import certificates, communities, flow, hierarchy, layout, spectral
 from meshwork.plans import analyze, classes
 from meshwork.plans.graph_queries import STRONG, TRADE, TRANSITIONS, _strong
 from meshwork.sources import derived
@@ -273,3 +273,15 @@ _EVENT_SPEC = {"self_loops": True, "complete": False, "multigraph": False, "tour
   (EXISTS (SELECT 1 FROM transitions WHERE src = dst))::VARCHAR, ((SELECT count(*) FROM transitions WHERE src <> dst) = n * (n - 1))::VARCHAR, 'false', 'false']) AS actual FROM n) {_told(_EVENT_SPEC)}""")
 def validated_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return analyze.validate(Graph(derived.transitions(spark, sf).select("src", "dst"), None, True), _EVENT_SPEC)
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_regionkey::BIGINT AS src, 100 + n_nationkey::BIGINT AS dst FROM nation UNION ALL SELECT 100 + s_nationkey, 1000 + s_suppkey FROM supplier),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), t(id, path) AS (SELECT id, [id] FROM v WHERE id NOT IN (SELECT dst FROM e) UNION ALL SELECT dst, list_append(path, dst) FROM t JOIN e ON src = t.id),
+leaf AS (SELECT * FROM t WHERE id NOT IN (SELECT src FROM e)),
+c AS (SELECT t.id, len(t.path) - 1 AS depth, count(*) FILTER (WHERE list_contains(l.path, t.id)) AS leaves, count(*) FILTER (WHERE l.path < t.path AND NOT list_contains(l.path, t.id)) AS first FROM t, leaf l GROUP BY t.id, t.path)
+SELECT id, depth::INT AS depth, leaves, first + (leaves - 1) / 2 AS x, depth::DOUBLE AS y FROM c""")
+def forest_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions over their nations over their suppliers."""
+    nations = derived.table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
+    suppliers = derived.table(spark, sf, "supplier").select((F.col("s_nationkey") + 100).cast("long").alias("src"), (F.col("s_suppkey") + 1000).cast("long").alias("dst"))
+    return layout.forest_layout(Graph(nations.union(suppliers), None, True))

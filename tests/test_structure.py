@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph
-from meshwork.operators import certificates, communities, expansion, flow, hierarchy, spectral
+from meshwork.operators import certificates, communities, expansion, flow, hierarchy, layout, spectral
 
 RNG = random.Random(4)
 CLIQUES = [(a + 10 * k, b + 10 * k, RNG.randint(1, 99)) for k in range(3) for a, b in itertools.combinations(range(10), 2) if RNG.random() < 0.7] + [(0, 10, 50), (11, 20, 60), (21, 1, 70)]
@@ -265,3 +265,11 @@ def test_adaptive_order_stops_when_its_paths_settle(spark):
     rows = [("a", k, [k, 0, 1], 0.4) for k in range(6)] + [("b", k, [k, 0, 1], 0.4 + k / 20) for k in range(12)] + [("c", k, [9 * k, 9 * k + 1, 9 * k + 2], 0.5 - k / 100) for k in range(12)]
     paths = spark.createDataFrame(rows, "query string, round int, nodes array<int>, salience double")
     assert [r["query"] for r in expansion.settled_queries(paths).collect()] == ["c"]  # a has too few, b still gains
+
+
+def test_layout_of_a_forest(spark):
+    g = Graph(spark.createDataFrame([(0, 1), (0, 2), (1, 3), (1, 4), (5, 6)], "src long, dst long"), spark.range(8), True)
+    got = {r.id: (r.depth, r.leaves, r.x) for r in layout.forest_layout(g).collect()}
+    assert got == {0: (0, 3, 1.0), 1: (1, 2, 0.5), 2: (1, 1, 2.0), 3: (2, 1, 0.0), 4: (2, 1, 1.0), 5: (0, 1, 3.0), 6: (1, 1, 3.0), 7: (0, 1, 4.0)}
+    with pytest.raises(ValueError, match="one parent"):
+        layout.forest_layout(Graph(spark.createDataFrame([(0, 2), (1, 2)], "src long, dst long"), None, True))
