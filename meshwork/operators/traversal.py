@@ -16,10 +16,10 @@ def levels(graph: Graph, seeds: DataFrame, max_depth: int | None = None) -> Data
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = frontier.join(step, frontier.id == step.u).select("seed", F.col("v").alias("id")).distinct()
-        frontier = checkpointed(reached.join(seen, ["seed", "id"], "left_anti").withColumn("hops", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier, (n,) = measured(reached.join(seen, ["seed", "id"], "left_anti").withColumn("hops", F.lit(depth)), F.count("*"))
+        if not n:
             break
-        seen = checkpointed(seen.union(frontier))
+        seen = seen.union(frontier) if depth % 5 else checkpointed(seen.union(frontier))
     return seen
 
 
@@ -78,8 +78,8 @@ def _spread(ids: DataFrame, edges: DataFrame) -> DataFrame:
     label = checkpointed(ids.select("id", F.col("id").alias("c")))
     while True:
         least = edges.join(label, edges.src == label.id).groupBy("dst").agg(F.min("c").alias("m"))
-        nxt = checkpointed(label.join(least, label.id == least.dst, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
-        if nxt.where("c <> old").isEmpty():
+        nxt, (changed,) = measured(label.join(least, label.id == least.dst, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")), F.sum((F.col("c") != F.col("old")).cast("int")))
+        if not changed:
             return nxt.select("id", "c")
         label = nxt.select("id", "c")
 
@@ -171,10 +171,9 @@ def core_numbers(graph: Graph) -> DataFrame:
     while True:
         around = n.join(core.select(F.col("id").alias("v"), F.col("core").alias("c")), "v").groupBy("u", "c").agg(F.count("*").alias("k"))
         h = around.withColumn("least", F.least("c", F.sum("k").over(above))).groupBy("u").agg(F.max("least").cast("int").alias("new"))
-        nxt = checkpointed(core.join(h, core.id == h.u).select("id", "new", "core"))
-        done = nxt.where("new <> core").isEmpty()
+        nxt, (changed,) = measured(core.join(h, core.id == h.u).select("id", "new", "core"), F.sum((F.col("new") != F.col("core")).cast("int")))
         core = nxt.select("id", F.col("new").alias("core"))
-        if done:
+        if not changed:
             return core
 
 
@@ -189,8 +188,8 @@ def page_rank(graph: Graph, rounds: int = 100, damping: float = 0.85, tolerance:
     for _ in range(rounds):
         given = step.join(rank.select(F.col("id").alias("u"), (F.col("rank") / F.col("k")).alias("share")), "u").groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("s"))
         fresh = F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("s", F.lit(0.0)) + lost / max(1, n))
-        rank = checkpointed(rank.join(given, "id", "left").select("id", "k", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("change")))
-        change, lost = rank.agg(F.max("change"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0))).first()
+        nxt = rank.join(given, "id", "left").select("id", "k", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("change"))
+        rank, (change, lost) = measured(nxt, F.max("change"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0)))
         if change is None or change < tolerance:
             break
     return rank.select("id", "rank")
@@ -203,8 +202,9 @@ def label_propagation(graph: Graph, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         votes = n.join(label, n.v == label.id).groupBy("u", F.col("label").alias("next")).agg(F.count("*").alias("c"))
         best = votes.groupBy("u").agg(F.min(F.struct((-F.col("c")).alias("less"), "next")).alias("b"))
-        nxt = checkpointed(label.join(best, label.id == best.u, "left").select("id", F.coalesce("b.next", "label").alias("label"), F.coalesce(F.col("b.next") != F.col("label"), F.lit(False)).alias("moved")))
+        nxt = label.join(best, label.id == best.u, "left").select("id", F.coalesce("b.next", "label").alias("label"), F.coalesce(F.col("b.next") != F.col("label"), F.lit(False)).alias("moved"))
+        nxt, (moved,) = measured(nxt, F.sum(F.col("moved").cast("int")))
         label = nxt.select("id", "label")
-        if nxt.where("moved").isEmpty():
+        if not moved:
             break
     return label
