@@ -28,6 +28,17 @@ def ego_network(graph: Graph, seeds: DataFrame, radius: int) -> Graph:
     return graph.induced(levels(graph, seeds, radius).select("id").distinct())
 
 
+def reachable(graph: Graph, seeds: DataFrame, backward: bool = False, max_depth: int | None = None) -> Graph:
+    """The vertices that arcs lead to from any seed, within max_depth of them, and the edges between them.
+
+    Arcs are followed from src to dst, or back, also where the graph is undirected.
+    Seeds (id) that the graph lacks are passed over.
+    """
+    here = seeds.select("id").distinct().join(graph.ids(), "id", "left_semi")
+    u, v = ("dst", "src") if backward else ("src", "dst")
+    return graph.induced(_reach(here, graph.edges.select(F.col(u).alias("u"), F.col(v).alias("v")).distinct(), max_depth))
+
+
 def min_labels(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node it reaches, of every node of an edge list (a, b) that has an edge to another.
 
@@ -84,10 +95,12 @@ def _spread(ids: DataFrame, edges: DataFrame) -> DataFrame:
         label = nxt.select("id", "c")
 
 
-def _reach(seeds: DataFrame, steps: DataFrame) -> DataFrame:
+def _reach(seeds: DataFrame, steps: DataFrame, max_depth: int | None = None) -> DataFrame:
     steps = checkpointed(steps)
     seen = frontier = checkpointed(seeds)
-    while not frontier.isEmpty():
+    depth = 0
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        depth += 1
         frontier = checkpointed(frontier.join(steps, frontier.id == steps.u).select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti"))
         seen = checkpointed(seen.union(frontier))
     return seen
