@@ -7,7 +7,8 @@ every gap takes the longest document not longer than it that no smaller gap has
 taken (its predecessor sweep; the same pairs as documents claiming the successor
 gap), many claims on one run are resolved by rank within the run, the gaps shrink,
 and the next round begins. Only run lengths reach the driver; ranking documents
-inside their runs and placing every document by its rank are Spark jobs.
+inside their runs, in as many parts as a run is long, and placing every document
+by its rank are Spark jobs.
 
 Defined results: a null or empty text is the end id alone, one piece of one
 token; ties go by rank; repeated rows are packed as often as they occur; an empty
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import shared_dir, stored
+from meshwork.llm.common import shared_dir, sized, stored
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 #: Chunks, and words of chunks, whose ids a Python worker remembers.
 REMEMBERED = 100_000
-#: Parts in which a run of equal lengths is ranked.
-SALTS = 32
+#: Pieces of one length that a task ranks, on average; a longer run is dealt to as many parts as it needs.
+RANKED = 20_000
 
 
 def _class(kind: str) -> str:
@@ -197,15 +198,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(placed), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, ranked: int = RANKED) -> DataFrame:
     """The pieces of docs with sequence_id and offset."""
-    shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    shared_dir(spark)
     cut = stored(pieces(docs, vocabulary, capacity, end_id, with_ids), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "runs")  # at most capacity x SALTS rows
-    runs = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    before = counts.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "first")
+    runs = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     place = plan(runs, capacity)
+    long_runs = {length: -(-n // ranked) for length, n in runs.items() if n > ranked}
+    parts = spark.createDataFrame(sorted(long_runs.items()), "length long, parts long")
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("parts"))
+    salted = cut.join(F.broadcast(parts), "length", "left").withColumn("salt", F.coalesce(dealt, F.lit(0))).drop("parts")  # at most capacity rows are broadcast
+    counts = stored(cut.join(F.broadcast(parts), "length").groupBy("length", dealt.alias("salt")).agg(F.count("*").alias("n")), "runs")
+    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("first"))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Placements are sorted by length and first rank: one search finds the row that holds a document.
@@ -216,9 +221,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             yield x.assign(sequence_id=hit[:, 3] + rank - hit[:, 1], offset=hit[:, 4])
 
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("rank", rank.cast("long")).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
+    in_part = salted.withColumn("rank", rank.cast("long")).join(sized(before, sum(long_runs.values())), ["length", "salt"], "left")
+    in_run = in_part.withColumn("rank", F.col("rank") + F.coalesce("first", F.lit(0)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.select(*cut.columns, "rank").mapInPandas(assign, schema)
+    return in_run.select(*cut.columns, "rank").mapInPandas(assign, schema)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -238,3 +239,19 @@ def test_confirmed_licences(spark):
 
 def test_parts_grow_with_the_corpus():
     assert suffix_dedup.parts_for(10**9) == suffix_dedup.LEAST_PARTS and suffix_dedup.parts_for(3 * 10**10) > suffix_dedup.LEAST_PARTS
+
+
+@pytest.mark.parametrize("ranked", [3, 20_000])
+def test_packing_ranks_long_runs_in_parts(spark, ranked):
+    texts = ["same words here"] * 40 + [None, ""] * 6 + ["word " * 900] * 7 + ["word " * 3000] * 4 + [f"one of {k}" for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, "same words here"), (None, None)], "doc_id long, text string")
+    rows = packing.pack(docs, packing.vocabulary_path(), ranked=ranked).collect()
+    assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter([*range(len(texts)), 5, None])
+    packed = defaultdict(list)
+    for r in rows:
+        packed[r.sequence_id].append((r.offset, r.length))
+    for places in packed.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= packing.CAPACITY
+    assert sorted(packed) == list(range(len(packed)))
