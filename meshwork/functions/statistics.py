@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,25 +109,66 @@ def wilcoxon(samples: DataFrame) -> DataFrame:
     return r.select(F.coalesce(w, F.lit(0.0)).alias("w"), F.coalesce(2 * (1 - normal_cdf(F.abs(z))), F.lit(1.0)).alias("p"))
 
 
-def poisson_weight(u: Column) -> Column:
-    """A Poisson(1) number from a uniform one: how often a resample takes a row."""
-    weight, below, term = F.lit(0), 0.0, math.exp(-1)
+#: Draws that one task makes.
+TASK_DRAWS = 4_000_000
+
+
+def poisson_steps() -> list[float]:
+    """A uniform number from the k-th of these on, counted from one, is a Poisson(1) number of k at least; ten is the largest."""
+    steps, below, term = [], 0.0, math.exp(-1)
     for k in range(1, 11):
         below += term
-        weight = F.when(u >= below, k).otherwise(weight)
+        steps.append(below)
         term /= k
+    return steps
+
+
+def poisson_weight(u: Column) -> Column:
+    """A Poisson(1) number from a uniform one: how often a resample takes a row."""
+    weight = F.lit(0)
+    for k, below in enumerate(poisson_steps(), 1):
+        weight = F.when(u >= below, k).otherwise(weight)
     return weight
 
 
-def bootstrap(samples: DataFrame, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """method, mean, and the percentile interval of the mean over resamples; samples: id, method, value.
+def resampled(samples: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """method, r, and the sums of weights and of weighted values in each resample; samples: id, method, value.
 
     Each row draws its weight in each resample from the seed, its id and the resample's
-    number, so resamples are sums that tasks add up for themselves.
+    number: the first 52 bits of their MD5, as `draw` takes them. A batch adds up what it
+    draws, so no row leaves its task once for each resample.
     """
-    r = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")
-    drawn = samples.select("id", "method", "value", r).withColumn("w", poisson_weight(draw(seed, F.col("id"), F.col("r"))))
-    means = drawn.groupBy("method", "r").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
+    steps = np.array(poisson_steps())
+    tails = [f":{r}".encode() for r in range(1, replicates + 1)]
+    method = samples.schema["method"].dataType.simpleString()
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            taken = np.empty((len(batch), replicates))
+            for k, head in enumerate(batch["head"]):
+                start = hashlib.md5(head.encode(), usedforsecurity=False)
+                parts = []
+                for tail in tails:
+                    one = start.copy()
+                    one.update(tail)
+                    parts.append(one.digest()[:8])
+                u = (np.frombuffer(b"".join(parts), ">u8") >> np.uint64(12)).astype(float) / (1 << 52)
+                taken[k] = np.searchsorted(steps, u, side="right")
+            value, known = batch["value"].to_numpy(float, na_value=np.nan), batch["known"].to_numpy(bool)
+            for name, at in batch.groupby("method", sort=False).indices.items():
+                w, has = taken[at], known[at]
+                yield pd.DataFrame({"method": [name] * replicates, "r": range(1, replicates + 1), "w": w.sum(axis=0).astype(np.int64), "wv": value[at][has] @ w[has], "n": has.sum()})
+
+    head = F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))
+    rows = samples.where("method IS NOT NULL").select("method", head.alias("head"), F.col("value").cast("double").alias("value"), F.col("value").isNotNull().alias("known"))
+    parts = max(1, -(-samples.count() * replicates // TASK_DRAWS))
+    drawn = rows.repartition(parts).mapInPandas(sums, f"method {method}, r int, w long, wv double, n long")
+    return drawn.groupBy("method", "r").agg(F.sum("w").alias("w"), F.when(F.sum("n") > 0, F.sum("wv")).alias("wv"))
+
+
+def bootstrap(samples: DataFrame, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """method, mean, and the percentile interval of the mean over resamples; samples: id, method, value."""
+    means = resampled(samples, replicates, seed).select("method", F.try_divide("wv", "w").alias("m"))
     tail = round((1 - confidence) / 2, 10)
     at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY m)")
     ends = means.groupBy("method").agg(at(tail).alias("low"), at(1 - tail).alias("high"))
@@ -132,11 +177,9 @@ def bootstrap(samples: DataFrame, replicates: int = 1000, confidence: float = 0.
 
 def bootstrap_difference(samples: DataFrame, a: str, b: str, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: difference of two methods' means, its percentile interval, and the two-sided share of resamples beyond zero."""
-    r = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")
     two = samples.where(F.col("method").isin(a, b))
-    drawn = two.select("id", "method", "value", r).withColumn("w", poisson_weight(draw(seed, F.col("id"), F.col("r"))))
-    mean = lambda m: F.sum(F.when(F.col("method") == m, F.col("w") * F.col("value"))) / F.sum(F.when(F.col("method") == m, F.col("w")))
-    gaps = drawn.groupBy("r").agg((mean(a) - mean(b)).alias("d"))
+    mean = lambda m: F.try_divide(F.sum(F.when(F.col("method") == m, F.col("wv"))), F.sum(F.when(F.col("method") == m, F.col("w"))))
+    gaps = resampled(two, replicates, seed).groupBy("r").agg((mean(a) - mean(b)).alias("d"))
     tail = round((1 - confidence) / 2, 10)
     at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY d)")
     up = F.avg((F.col("d") > 0).cast("double"))
@@ -245,14 +288,29 @@ def mean_retrieval(rankings: DataFrame, k: int = 10) -> DataFrame:
 def kendall(scores: DataFrame) -> DataFrame:
     """ranking, tau a and tau b of scores(ranking, item, a, b): pairs of one ranking that agree less those that do not.
 
-    Pairs are formed inside a ranking, which is a list for reading; fewer than two
-    items have tau a 1 and tau b 0.
+    Rows of one ranking with the same a and b are interchangeable, so kinds of rows are
+    paired, each pair as often as its kinds come; what that counts of rows with
+    themselves, or with others of their item, is taken off. Fewer than two items have
+    tau a 1 and tau b 0.
     """
-    x = scores.select("ranking", F.col("item").alias("i"), F.col("a").alias("a1"), F.col("b").alias("b1"))
-    y = scores.select("ranking", F.col("item").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    da, db = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    pairs = x.join(y, "ranking").where("i < j").select("ranking", (da * db).alias("s"), ((da == 0) & (db != 0)).cast("int").alias("ta"), ((db == 0) & (da != 0)).cast("int").alias("tb"))
-    c = pairs.groupBy("ranking").agg(F.sum("s").alias("s"), F.sum(F.abs("s")).alias("n"), F.sum("ta").alias("ta"), F.sum("tb").alias("tb"), F.count("*").alias("pairs"))
+    named = scores.where("ranking IS NOT NULL AND item IS NOT NULL")
+    sign = lambda c: F.signum(F.col(f"x.{c}") - F.col(f"y.{c}"))
+    da, db, times = sign("a"), sign("b"), F.col("x.c") * F.col("y.c")
+    terms = {"s": da * db, "n": F.abs(da * db), "ta": ((da == 0) & (db != 0)).cast("int"), "tb": ((db == 0) & (da != 0)).cast("int"), "pairs": F.lit(1)}
+
+    def met(kinds: DataFrame, *keys: str) -> DataFrame:
+        """Sums over ordered pairs of rows that share the keys: twice the sums over pairs, as all terms are symmetric, and rows with themselves."""
+        both = kinds.alias("x").join(kinds.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
+        return both.groupBy(F.col("x.ranking").alias("ranking")).agg(*(F.sum(t * times).alias(k) for k, t in terms.items()))
+
+    kinds = checkpointed(named.groupBy("ranking", "a", "b").agg(F.count("*").alias("c")))
+    again = named.groupBy("ranking", "item").agg(F.count("*").alias("k")).where("k > 1").select("ranking", "item")
+    repeated = named.join(again, ["ranking", "item"]).groupBy("ranking", "item", "a", "b").agg(F.count("*").alias("c"))
+    same = met(checkpointed(repeated), "ranking", "item").select("ranking", *(F.col(k).alias(f"{k}_same") for k in terms))
+    # Rows of items that come once meet only themselves, which adds to `pairs` alone.
+    single = named.join(again, ["ranking", "item"], "left_anti").groupBy("ranking").agg(F.count("*").alias("single"))
+    c = met(kinds, "ranking").join(same, "ranking", "left").join(single, "ranking", "left").na.fill(0)
+    c = c.select("ranking", *(((F.col(k) - F.col(f"{k}_same") - (F.col("single") if k == "pairs" else 0)) / 2).alias(k) for k in terms)).where("pairs > 0")
     low = F.sqrt((F.col("n") + F.col("ta")) * (F.col("n") + F.col("tb")))
     rows = scores.select("ranking").distinct().join(c, "ranking", "left")
     return rows.select("ranking", F.coalesce(F.col("s") / F.col("pairs"), F.lit(1.0)).alias("tau_a"), F.coalesce(F.when(low > 0, F.col("s") / low), F.lit(0.0)).alias("tau_b"))
