@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph, checkpointed
+from meshwork.graph import Graph, checkpointed, meeting_items
 
 
 def oriented(edges: DataFrame, graph: Graph) -> DataFrame:
@@ -42,15 +42,12 @@ def stars(graph: Graph, min_degree: int) -> DataFrame:
 
 def co_citations(edges: DataFrame, min_count: int) -> DataFrame:
     """Pairs of targets that enough sources cite together."""
-    other = edges.select("src", F.col("dst").alias("b"))
-    return edges.select("src", F.col("dst").alias("a")).join(other, "src").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    return meeting_items(edges, "src", "dst").where(F.col("n") >= min_count)
 
 
 def couplings(edges: DataFrame, min_shared: int) -> DataFrame:
     """Pairs of sources that share enough distinct targets."""
-    plain = edges.select("src", "dst").distinct()
-    other = plain.select(F.col("src").alias("b"), "dst")
-    return plain.select(F.col("src").alias("a"), "dst").join(other, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared)
+    return meeting_items(edges, "dst", "src", repeats=False).where(F.col("n") >= min_shared)
 
 
 def support(graph: Graph) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from meshwork import graph as model
 from meshwork.functions import statistics
 
 
@@ -43,3 +44,16 @@ def test_rank_agreement_pairs_kinds(spark):
     assert math.isclose(found.pop("many")[0], 50_000**2 / math.comb(100_000, 2))
     for r, xs in few.items():
         assert all(math.isclose(p, q, abs_tol=1e-12) for p, q in zip(found[r], plain_kendall(xs), strict=True))
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(model, "PART_ROWS", 50)
+    rows = [(k, (k * 7 + j * j) % 40) for k in range(60) for j in range(5)]
+    df = spark.createDataFrame(rows, "o long, s long")
+    want: dict[tuple, int] = {}
+    for k in range(60):
+        for a, b in itertools.combinations(sorted({s for o, s in rows if o == k}), 2):
+            want[a, b] = want.get((a, b), 0) + 1
+    found = model.meeting_items(df, "o", "s", repeats=False)
+    assert {(r.a, r.b): r.n for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() == 12  # ten pairs an order
