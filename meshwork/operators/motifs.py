@@ -70,11 +70,41 @@ def k_truss(graph: Graph, k: int) -> DataFrame:
         count = left
 
 
+def induced_counts(graph: Graph) -> dict[str, int]:
+    """How many induced copies there are of the connected patterns on three and four vertices.
+
+    Copies that need not be induced follow from degrees, from triangles at vertices and
+    on edges, and from shared neighbours; each is a sum over the induced patterns that
+    contain it. Only triangles and pairs with a common neighbour become rows, never the
+    copies of sparser patterns, of which there are far more.
+    """
+    near = checkpointed(graph.neighbours())
+    g = Graph(checkpointed(near.where("u < v").select(F.col("u").alias("src"), F.col("v").alias("dst"))))
+    degree = checkpointed(near.groupBy("u").agg(F.count("*").alias("d")))
+    found = checkpointed(triangles(g))
+    d = F.col("d").cast("decimal(38,0)")
+    total = lambda df, x: int(df.agg(F.sum(x)).first()[0] or 0)
+    wedges, stars3 = total(degree, d * (d - 1)) // 2, total(degree, d * (d - 1) * (d - 2)) // 6
+    k3 = found.count()
+    ends = g.edges.join(degree.select(F.col("u").alias("src"), "d"), "src").join(degree.select(F.col("u").alias("dst"), F.col("d").alias("e")), "dst")
+    paths = total(ends, (d - 1) * (F.col("e") - 1)) - 3 * k3
+    at = found.select(F.explode(F.array("a", "b", "c")).alias("u")).join(degree, "u")
+    paws = total(at, d - 2)
+    on = found.select(F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ("ab", "ac", "bc")))).alias("e")).groupBy("e").agg(F.count("*").alias("s"))
+    two = F.expr("CAST(s * (s - 1) div 2 AS DECIMAL(38,0))")
+    diamonds = total(on, two)
+    fours = found.join(found.select("a", "b", F.col("c").alias("d")), ["a", "b"]).where("c < d")
+    k4 = fours.join(g.edges.select(F.col("src").alias("c"), F.col("dst").alias("d")), ["c", "d"]).count()
+    cycles = total(meeting_items(near, "u", "v").withColumnRenamed("n", "s"), two) // 2
+    diamond = diamonds - 6 * k4
+    c4 = cycles - diamond - 3 * k4
+    paw = paws - 4 * diamond - 12 * k4
+    return {
+        "P3": wedges - 3 * k3, "K3": k3, "C3": k3, "claw": stars3 - paw - 2 * diamond - 4 * k4, "P4": paths - 4 * c4 - 2 * paw - 6 * diamond - 12 * k4,
+        "C4": c4, "paw": paw, "diamond": diamond, "K4": k4,
+    }
+
+
 def induced_paths4(graph: Graph) -> DataFrame:
     """Number of induced paths on four vertices: a-b-c-d with no further edge."""
-    n = graph.neighbours()
-    mid = n.where("u < v").select(F.col("u").alias("b"), F.col("v").alias("c"))
-    walk = mid.join(n.select(F.col("u").alias("b"), F.col("v").alias("a")), "b").where("a <> c").join(n.select(F.col("u").alias("c"), F.col("v").alias("d")), "c").where("d <> b AND d <> a")
-    for x, y in (("a", "c"), ("b", "d"), ("a", "d")):
-        walk = walk.join(n.select(F.col("u").alias(x), F.col("v").alias(y)), [x, y], "left_anti")
-    return walk.agg(F.count("*").alias("n"))
+    return graph.edges.sparkSession.createDataFrame([(induced_counts(graph)["P4"],)], "n long")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from meshwork import graph as model
 from meshwork.functions import statistics
+from meshwork.graph import Graph
+from meshwork.operators import motifs
+from meshwork.plans import classes
 
 
 def test_resamples_make_no_rows(spark):
@@ -46,6 +49,17 @@ def test_rank_agreement_pairs_kinds(spark):
         assert all(math.isclose(p, q, abs_tol=1e-12) for p, q in zip(found[r], plain_kendall(xs), strict=True))
 
 
+def test_patterns_are_counted_without_listing_copies(spark):
+    star = Graph(spark.range(1, 1501).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    assert {r.pattern: r.copies for r in classes.pattern_counts(star, ["P3", "claw", "diamond", "P4"]).collect()} == {"P3": math.comb(1500, 2), "claw": math.comb(1500, 3), "diamond": 0, "P4": 0}
+    assert classes.is_free_of(star, ["P4", "K3"]) and not classes.is_free_of(star, ["claw"])
+    rng = random.Random(8)
+    edges = [(a, b) for a, b in itertools.combinations(range(14), 2) if rng.random() < 0.45]
+    g = Graph(spark.createDataFrame(edges, "src long, dst long"))
+    listed = {n: classes.induced_copies(g, n).count() // classes.automorphisms(classes.pattern(n)) for n in classes.COUNTED}
+    assert motifs.induced_counts(g) == listed
+
+
 def test_parts_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(model, "PART_ROWS", 50)
     rows = [(k, (k * 7 + j * j) % 40) for k in range(60) for j in range(5)]
