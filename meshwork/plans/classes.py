@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.functions.statistics import in_ranges, running
-from meshwork.graph import Graph, checkpointed
+from meshwork.graph import Graph, checkpointed, dropped, measured
 from meshwork.operators import motifs, traversal
 
 #: Small graphs by name, as edges among 0, 1, 2, ...
@@ -178,11 +178,42 @@ def eccentricities(graph: Graph) -> DataFrame:
     return traversal.levels(graph, graph.ids()).groupBy(F.col("seed").alias("id")).agg(F.max("hops").alias("eccentricity"))
 
 
+def reach(graph: Graph) -> tuple[int, DataFrame]:
+    """The number of vertices, and hops, block, ends and pairs: how many pairs are so many hops apart, and which sources of a block still meet new vertices there.
+
+    Sources come in blocks of 64, one bit each, so a vertex holds one row for each block
+    that reaches it and a round is an or over neighbours; no pair becomes a row.
+    """
+    step = checkpointed(graph.adjacency().where("u <> v").select("u", "v").distinct())
+    order = [F.col("id")]
+    ids = running(in_ranges(graph.ids(), *order), order, F.lit(1), "at").select("id", F.floor((F.col("at") - 1) / 64).alias("block"), F.expr("shiftleft(1L, CAST((at - 1) % 64 AS INT))").alias("bits"))
+    fresh, (n,) = measured(ids, F.count("*"))
+    seen, told, hops = fresh, [], 0
+    while True:
+        hops += 1
+        met = fresh.join(step, fresh.id == step.u).groupBy("block", F.col("v").alias("id")).agg(F.bit_or("bits").alias("bits"))
+        both = seen.withColumnRenamed("bits", "old").join(met, ["block", "id"], "full").select("block", "id", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("bits", F.lit(0)).alias("bits"))
+        both = both.select("block", "id", F.col("old").bitwiseOR(F.col("bits")).alias("all"), F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits"))
+        both, (new,) = measured(both, F.sum((F.col("bits") != 0).cast("int")))
+        dropped(seen)
+        seen, fresh = both.select("block", "id", F.col("all").alias("bits")), both.where("bits <> 0").select("block", "id", "bits")
+        if not new:
+            break
+        told.append(checkpointed(fresh.groupBy("block").agg(F.lit(hops).alias("hops"), F.bit_or("bits").alias("ends"), F.sum(F.bit_count("bits").cast("long")).alias("pairs"))))
+    none = ids.limit(0).select("block", F.lit(0).alias("hops"), F.col("bits").alias("ends"), F.lit(0).cast("long").alias("pairs"))
+    return n, reduce(DataFrame.unionByName, told, none)
+
+
 def distances_row(graph: Graph) -> DataFrame:
     """One row: diameter, radius and mean distance over the pairs that reach each other."""
-    hops = checkpointed(traversal.levels(graph, graph.ids()))
-    ends = hops.groupBy("seed").agg(F.max("hops").alias("e")).agg(F.max("e").alias("diameter"), F.min("e").alias("radius"))
-    return ends.join(F.broadcast(hops.where("seed <> id").agg(F.avg("hops").alias("mean_distance"))))  # one row each
+    n, told = reach(graph)
+    bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
+    far = told.select("block", "hops", "ends", bit).where("shiftright(ends, bit) & 1 = 1").groupBy("block", "bit").agg(F.max("hops").alias("e"))
+    ends = far.agg(F.max("e").alias("most"), F.min("e").alias("least"), F.count("*").alias("sources"))
+    mean = told.agg((F.sum(F.col("hops") * F.col("pairs")) / F.sum("pairs")).alias("mean_distance"))
+    # A source that reaches nobody has no row; its farthest vertex is itself.
+    some = F.lit(0 if n else None).cast("int")
+    return ends.select(F.coalesce("most", some).alias("diameter"), F.when(F.col("sources") < n, some).otherwise(F.col("least")).alias("radius")).join(F.broadcast(mean))  # one row each
 
 
 def girth(graph: Graph) -> DataFrame:

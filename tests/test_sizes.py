@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshwork import graph as model
 from meshwork.functions import statistics
 from meshwork.graph import Graph
-from meshwork.operators import motifs
+from meshwork.operators import motifs, traversal
 from meshwork.plans import classes
 
 
@@ -71,3 +71,37 @@ def test_parts_follow_the_rows(spark, monkeypatch):
     found = model.meeting_items(df, "o", "s", repeats=False)
     assert {(r.a, r.b): r.n for r in found.collect()} == want
     assert found.rdd.getNumPartitions() == 12  # ten pairs an order
+
+
+def test_distances_hold_no_row_for_a_pair(spark, monkeypatch):
+    written = []
+    keep = model.checkpointed
+    rng = random.Random(4)
+    edges = [(a, (a + 1) % 150) for a in range(150)] + [(rng.randrange(150), rng.randrange(150)) for _ in range(25)] + [(900, 901), (901, 902)]
+    near: dict[int, set] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    hops = {}
+    for s in near:
+        dist, front = {s: 0}, [s]
+        while front:
+            front = [v for u in front for v in near[u] if v not in dist and not dist.update({v: dist[u] + 1})]
+        hops[s] = dist
+    pairs = [h for s, d in hops.items() for v, h in d.items() if v != s]
+    far = [max(d.values()) for d in hops.values()]
+
+    def spied(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    for module in (model, classes, traversal):
+        monkeypatch.setattr(module, "checkpointed", spied)
+    row = classes.distances_row(Graph(spark.createDataFrame(edges, "src long, dst long"))).first()
+    assert (row.diameter, row.radius) == (max(far), min(far)) and math.isclose(row.mean_distance, sum(pairs) / len(pairs))
+    assert max(written) < len(pairs) / 10
+    lone = Graph(spark.createDataFrame([(1, 1)], "src long, dst long"))
+    assert tuple(classes.distances_row(lone).first()) == (0, 0, None)
+    arc = Graph(spark.createDataFrame([(1, 2)], "src long, dst long"), None, True)
+    assert tuple(classes.distances_row(arc).first()) == (1, 0, 1.0)
