@@ -151,6 +151,12 @@ def _free(name: str) -> Callable[[Graph], bool]:
     return lambda g: classes.is_free_of(g, [name])
 
 
+def _counted(g: Graph) -> dict[str, bool]:
+    """Both from one count of the small patterns."""
+    counts = motifs.induced_counts(g)
+    return {"cograph": counts["P4"] == 0, "claw_free": counts["claw"] == 0}
+
+
 def _threshold(g: Graph) -> bool:
     return bool(classes.is_split(g).first().split) and classes.is_free_of(g, ["P4"])
 
@@ -172,12 +178,11 @@ SOURCES: list[tuple[tuple[str, ...], Callable[[Graph], dict]]] = [
     (("tournament",), _named("tournament", is_tournament)),
     (("complete_bipartite",), _named("complete_bipartite", is_complete_bipartite)),
     (("split",), _row(classes.is_split)),
-    (("cograph",), _named("cograph", _free("P4"))),
+    (("cograph", "claw_free"), _counted),
     (("threshold",), _named("threshold", _threshold)),
     (("chordal",), _named("chordal", classes.is_chordal)),
     (("ptolemaic",), _named("ptolemaic", _ptolemaic)),
     (("distance_hereditary",), _named("distance_hereditary", classes.is_distance_hereditary)),
-    (("claw_free",), _named("claw_free", _free("claw"))),
     (("bull_free",), _named("bull_free", _free("bull"))),
     (("gem_free",), _named("gem_free", _free("gem"))),
     (("p5_free",), _named("p5_free", _free("P5"))),

@@ -12,7 +12,7 @@ from meshwork import graph as model
 from meshwork.functions import statistics
 from meshwork.graph import Graph
 from meshwork.operators import motifs, traversal
-from meshwork.plans import classes
+from meshwork.plans import analyze, classes
 
 
 def test_resamples_make_no_rows(spark):
@@ -105,3 +105,13 @@ def test_distances_hold_no_row_for_a_pair(spark, monkeypatch):
     assert tuple(classes.distances_row(lone).first()) == (0, 0, None)
     arc = Graph(spark.createDataFrame([(1, 2)], "src long, dst long"), None, True)
     assert tuple(classes.distances_row(arc).first()) == (1, 0, 1.0)
+
+
+def test_validation_counts_small_patterns_once(spark, monkeypatch):
+    calls = []
+    count = motifs.induced_counts
+    monkeypatch.setattr(motifs, "induced_counts", lambda g: calls.append(1) or count(g))
+    monkeypatch.setattr(classes, "induced_copies", None)  # no copy is listed
+    star = Graph(spark.range(1, 6).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    assert analyze.inferred(star, ["cograph", "claw_free"]) == {"cograph": True, "claw_free": False}
+    assert len(calls) == 1
