@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshwork import graph as model
 from meshwork.functions import statistics
 from meshwork.graph import Graph
-from meshwork.operators import motifs, traversal
+from meshwork.operators import expansion, motifs, tiles, traversal
 from meshwork.plans import analyze, classes
 
 
@@ -115,3 +115,37 @@ def test_validation_counts_small_patterns_once(spark, monkeypatch):
     star = Graph(spark.range(1, 6).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
     assert analyze.inferred(star, ["cograph", "claw_free"]) == {"cograph": True, "claw_free": False}
     assert len(calls) == 1
+
+
+def plain_betweenness(arcs, n):
+    out = dict.fromkeys(range(n), 0.0)
+    for s in range(n):
+        hops, ways, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for v in sorted(v for x, v in arcs if x == u):
+                if v not in hops:
+                    hops[v], ways[v] = hops[u] + 1, 0
+                    order.append(v)
+                ways[v] += ways[u] if hops[v] == hops[u] + 1 else 0
+        delta = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            delta[u] = sum(ways[u] / ways[v] * (1 + delta[v]) for x, v in arcs if x == u and hops[v] == hops[u] + 1)
+            out[u] += delta[u] if u != s else 0
+    return out
+
+
+def test_betweenness_makes_no_row_of_a_pair(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tiles, "checkpointed", lambda df: written.append(model.checkpointed(df)) or written[-1])
+    monkeypatch.setattr(tiles, "measured", lambda df, *a: (lambda r: written.append(r[0]) or r)(model.measured(df, *a)))
+    monkeypatch.setattr(tiles, "dropped", lambda *frames: None)
+    star = Graph(spark.range(1, 1501).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")), spark.range(1502))
+    found = {r.id: r.betweenness for r in expansion.betweenness(star, star.ids()).collect()}
+    assert found == {v: 1500.0 * 1499 if v == 0 else 0.0 for v in range(1502)}
+    assert max(df.count() for df in written) <= 1502
+    rng = random.Random(3)
+    arcs = {(a, b) for a in range(20) for b in range(20) if a != b and rng.random() < 0.12}
+    g = Graph(spark.createDataFrame(sorted(arcs), "src long, dst long"), spark.range(20), True)
+    got = {r.id: r.betweenness for r in expansion.betweenness(g, g.ids()).collect()}
+    want = plain_betweenness(arcs, 20)
+    assert all(math.isclose(got[v], want[v], abs_tol=1e-9) for v in want) and len(got) == 20
