@@ -5,11 +5,13 @@ Each answer is a table of witnesses that joins found, not a yes or no alone.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.graph import Graph, checkpointed, dropped, measured, sized
-from meshwork.operators import hierarchy
+from meshwork.operators import hierarchy, motifs
 from meshwork.operators.traversal import min_labels, topological_levels
 
 
@@ -108,7 +110,14 @@ def forced_arcs(graph: Graph) -> DataFrame:
     other ends are no neighbours. class is the smallest arc (src, dst) of it.
     """
     around = checkpointed(graph.neighbours())
-    pairs = around.join(around.select("u", F.col("v").alias("w")), "u").where("v < w")
+    # What is no neighbour of a pivot is tied to it, so only the pivot and its neighbours are paired with all around u:
+    # two others that are apart are both tied to the pivot. The pivot has the fewest neighbours around u.
+    corners = F.explode(F.array(*(F.struct(*(F.col(c).alias(x) for c, x in zip(order, "uvw", strict=True))) for order in itertools.permutations("abc")))).alias("t")
+    inside = checkpointed(motifs.triangles(graph).select(corners).select("t.*"))
+    few = around.join(inside.groupBy("u", "v").agg(F.count("*").alias("k")), ["u", "v"], "left")
+    pivot = checkpointed(few.groupBy("u").agg(F.min_by("v", F.struct(F.coalesce("k", F.lit(0)), "v")).alias("p")))
+    chosen = pivot.select("u", F.col("p").alias("v")).union(inside.join(pivot, "u").where("v = p").select("u", "w"))
+    pairs = chosen.join(around.select("u", F.col("v").alias("w")), "u").where("v <> w")
     apart = checkpointed(pairs.join(around.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_anti"))
     arc = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
     forces = apart.select(arc("u", "v").alias("a"), arc("u", "w").alias("b")).union(apart.select(arc("v", "u").alias("a"), arc("w", "u").alias("b")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshwork import graph as model
 from meshwork.functions import statistics
 from meshwork.graph import Graph
-from meshwork.operators import expansion, motifs, tiles, traversal
+from meshwork.operators import certificates, expansion, motifs, tiles, traversal
 from meshwork.plans import analyze, classes
 
 
@@ -149,3 +149,23 @@ def test_betweenness_makes_no_row_of_a_pair(spark, monkeypatch):
     got = {r.id: r.betweenness for r in expansion.betweenness(g, g.ids()).collect()}
     want = plain_betweenness(arcs, 20)
     assert all(math.isclose(got[v], want[v], abs_tol=1e-9) for v in want) and len(got) == 20
+
+
+def test_forced_arcs_are_tied_to_a_pivot(spark, monkeypatch):
+    ties = []
+    monkeypatch.setattr(certificates, "min_labels", lambda e: ties.append(e.count()) or traversal.min_labels(e))
+    star = Graph(spark.range(1, 601).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+    assert {tuple(r["class"]) for r in certificates.forced_arcs(star).collect()} == {(0, 1), (1, 0)}
+    assert ties.pop() <= 4 * 600
+    rng = random.Random(4)
+    edges = [e for e in itertools.combinations(range(16), 2) if rng.random() < 0.6]
+    near = {(a, b) for e in edges for a, b in itertools.permutations(e)}
+    label = {a: a for a in near}
+    while True:
+        forced = [(x, y) for x in near for y in near if (x[0] == y[0] and (x[1], y[1]) not in near) or (x[1] == y[1] and (x[0], y[0]) not in near)]
+        low = {x: min([label[x], *(label[y] for z, y in forced if z == x)]) for x in near}
+        if low == label:
+            break
+        label = low
+    got = certificates.forced_arcs(Graph(spark.createDataFrame(edges, "src long, dst long")))
+    assert {(r.src, r.dst): tuple(r["class"]) for r in got.collect()} == label
