@@ -169,3 +169,12 @@ def test_forced_arcs_are_tied_to_a_pivot(spark, monkeypatch):
         label = low
     got = certificates.forced_arcs(Graph(spark.createDataFrame(edges, "src long, dst long")))
     assert {(r.src, r.dst): tuple(r["class"]) for r in got.collect()} == label
+
+
+def test_a_topological_level_is_one_job(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(model, "scratch", lambda spark, name, real=model.scratch: written.append(name) or real(spark, name))
+    arcs = [(k, k + 1) for k in range(12)] + [(0, 5), (20, 21), (21, 22), (22, 21), (22, 12), (30, 30)]
+    got = {r.id: r.level for r in traversal.topological_levels(Graph(spark.createDataFrame(arcs, "src long, dst long"), None, True)).collect()}
+    assert got == {**{k: k for k in range(12)}, 12: None, 20: 0, 21: None, 22: None, 30: None}
+    assert len(written) <= 12 + 3
