@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph
+from meshwork.graph import Graph, checkpointed
 from meshwork.operators import certificates, communities, expansion, flow, hierarchy, layout, spectral
 
 RNG = random.Random(4)
@@ -220,6 +220,32 @@ def test_orientations_triples_and_elimination(spark):
     assert width(spider) == 1 and width(ring5) == 2 and width([(a, b) for a, b in itertools.combinations(range(6), 2)]) == 5
 
 
+def plain_elimination(edges) -> set:
+    """(id, round, degree) when one round after the other is played."""
+    near, out, r = {v: set(ns) for v, ns in adjacency(edges).items()}, set(), 0
+    while near:
+        r += 1
+        key = {v: (len(ns), v) for v, ns in near.items()}
+        for v in [v for v, ns in near.items() if all(key[v] < key[w] for w in ns)]:
+            out.add((v, r, key[v][0]))
+            for w in near[v]:
+                near[w] = (near[w] | near[v]) - {v, w}
+            del near[v]
+    return out
+
+
+def test_cliques_are_eliminated_at_once(spark, monkeypatch):
+    ring = [(k, (k + 1) % 6) for k in range(6)]
+    clique = [(a, b) for a, b in itertools.combinations(range(20, 60), 2)]
+    part = [(a, b) for a, b in itertools.combinations(range(60, 72), 2) if b - a != 6]
+    edges = ring + clique + part + [(80, 81), (59, 90), (90, 91)]
+    tables = []
+    monkeypatch.setattr(certificates, "checkpointed", lambda df: (tables.append(1), checkpointed(df))[1])
+    found = {tuple(r) for r in certificates.elimination(Graph(spark.createDataFrame(edges, "src long, dst long"))).collect()}
+    assert found == plain_elimination(edges)
+    assert len(tables) < 60  # four in each of some 40 rounds before
+
+
 def plain_feedback(edges, seeds, order: str) -> dict:
     """(query, seed, id) to (parent, depth, round) of the banded rounds with feedback from the paths found."""
     near = adjacency(edges)
