@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.graph import Graph, checkpointed, dropped, measured, sized
+from meshwork.graph import Graph, checkpointed, dropped, looped, measured
 from meshwork.operators.communities import weighed
 
 #: Multiplications in one round.
@@ -27,7 +27,7 @@ BUCKETS = 4096
 
 def _times(x: DataFrame, entries: DataFrame, k: int, n: int) -> DataFrame:
     """x (id and columns x0, x1, ...) multiplied by a sparse matrix with entries u, v, w."""
-    return entries.join(sized(x.withColumnRenamed("id", "v"), n, 16 + 8 * k), "v").groupBy(F.col("u").alias("id")).agg(*(F.sum(F.col("w") * F.col(f"x{i}")).alias(f"x{i}") for i in range(k)))
+    return entries.join(looped(x.withColumnRenamed("id", "v"), n), "v").groupBy(F.col("u").alias("id")).agg(*(F.sum(F.col("w") * F.col(f"x{i}")).alias(f"x{i}") for i in range(k)))
 
 
 def _mapped(x: DataFrame, matrix: np.ndarray) -> DataFrame:
@@ -50,7 +50,7 @@ def embedding(graph: Graph, k: int, weight: str | None = None, rounds: int = 60,
     """
     step = checkpointed(Graph(weighed(graph, weight)).adjacency("w").where("u <> v").groupBy("u", "v").agg(F.sum("w").alias("w")))
     d, (n,) = measured(step.groupBy("u").agg(F.sum("w").alias("d")), F.count("*"))
-    du, dv = sized(d, n, 24), sized(d.select(F.col("u").alias("v"), F.col("d").alias("dv")), n, 24)
+    du, dv = looped(d, n), looped(d.select(F.col("u").alias("v"), F.col("d").alias("dv")), n)
     halved = step.join(du, "u").join(dv, "v").select("u", "v", (F.col("w") / F.sqrt(F.col("d") * F.col("dv")) / 2).alias("w"))
     entries = checkpointed(halved.union(d.select("u", F.col("u").alias("v"), F.lit(0.5).alias("w"))))
     wide = k + 2
@@ -78,12 +78,12 @@ def embedding(graph: Graph, k: int, weight: str | None = None, rounds: int = 60,
     # Rayleigh and Ritz: the eigenvectors inside the block.
     q = checkpointed(_mapped(x, _inverse_root(gram(values))))
     aq = _times(q, entries, wide, n).select("id", *(F.col(f"x{j}").alias(f"y{j}") for j in range(wide)))
-    row = q.join(sized(aq, n, 16 + 8 * wide), "id").agg(*(F.sum(F.col(f"x{i}") * F.col(f"y{j}")) for i in range(wide) for j in range(wide))).first()
+    row = q.join(looped(aq, n), "id").agg(*(F.sum(F.col(f"x{i}") * F.col(f"y{j}")) for i in range(wide) for j in range(wide))).first()
     small = np.array([v or 0.0 for v in row]).reshape(wide, wide)
     found, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-found)[:k]
     rows = _mapped(q, vectors[:, order]).select("id", F.array(*(f"x{j}" for j in range(k))).alias("x"))
-    out = graph.ids().join(sized(rows, n, 16 + 8 * k), "id", "left").select("id", F.coalesce("x", F.array(*[F.lit(0.0)] * k)).alias("x"))
+    out = graph.ids().join(looped(rows, n), "id", "left").select("id", F.coalesce("x", F.array(*[F.lit(0.0)] * k)).alias("x"))
     return checkpointed(out), [float(2 - 2 * v) for v in found[order]]
 
 

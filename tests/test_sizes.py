@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshwork import graph as model
 from meshwork.functions import statistics
 from meshwork.graph import Graph
-from meshwork.operators import certificates, expansion, motifs, tiles, traversal
+from meshwork.operators import certificates, communities, expansion, motifs, spectral, tiles, traversal
 from meshwork.plans import analyze, classes
 
 
@@ -178,3 +178,25 @@ def test_a_topological_level_is_one_job(spark, monkeypatch):
     got = {r.id: r.level for r in traversal.topological_levels(Graph(spark.createDataFrame(arcs, "src long, dst long"), None, True)).collect()}
     assert got == {**{k: k for k in range(12)}, 12: None, 20: 0, 21: None, 22: None, 30: None}
     assert len(written) <= 12 + 3
+
+
+def test_rounds_over_many_vertices_broadcast_nothing(spark, monkeypatch):
+    edges = [(a + 10 * k, b + 10 * k) for k in range(4) for a, b in itertools.combinations(range(6), 2)]
+    g = Graph(spark.createDataFrame(edges, "src long, dst long"))
+    plans, write = [], model.checkpointed
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(model, "checkpointed", told)
+    rounds = lambda: [("BroadcastExchange" in p) for p in plans if "own_tot" in p]
+    few = {r.id: r.community for r in communities.leiden(g, levels=1).collect()}
+    assert any(rounds())
+    monkeypatch.setattr(model, "LOOP_ROWS", 0)
+    plans.clear()
+    assert {r.id: r.community for r in communities.leiden(g, levels=1).collect()} == few
+    assert rounds() and not any(rounds())
+    x = spark.createDataFrame([(k, 1.0) for k in range(6)], "id long, x0 double")
+    entries = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w"))
+    assert "BroadcastExchange" not in spectral._times(x, entries, 1, 6)._jdf.queryExecution().executedPlan().toString()
