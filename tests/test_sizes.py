@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshwork import graph as model
 from meshwork.functions import statistics
 from meshwork.graph import Graph
-from meshwork.operators import certificates, communities, expansion, motifs, spectral, tiles, traversal
+from meshwork.operators import certificates, communities, expansion, flow, motifs, spectral, tiles, traversal
 from meshwork.plans import analyze, classes
 
 
@@ -200,3 +200,15 @@ def test_rounds_over_many_vertices_broadcast_nothing(spark, monkeypatch):
     x = spark.createDataFrame([(k, 1.0) for k in range(6)], "id long, x0 double")
     entries = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w"))
     assert "BroadcastExchange" not in spectral._times(x, entries, 1, 6)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_round_of_infomap_deals_links_once(spark):
+    g = Graph(spark.createDataFrame([(a, (a + d) % 30) for a in range(30) for d in (1, 2)], "src long, dst long"))
+    visits, steps = flow.flows(g)
+    state = model.checkpointed(visits.select("id", F.col("id").alias("module"), "p"))
+    sums = model.checkpointed(flow.module_sums(state, steps, 30))
+    links = model.checkpointed(flow.both_ways(steps))
+    for disjoint in (False, True):
+        plan = flow._proposed(state, links, sums, 1.0, 30, 0, disjoint)._jdf.queryExecution().executedPlan().toString()
+        whole = [x for x in plan.split("\n") if "FileScan" in x and "[u#" in x]
+        assert len(whole) == 1 and sum("BroadcastExchange" in x for x in plan.split("\n")) <= 5
