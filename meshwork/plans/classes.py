@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from meshwork.functions.statistics import in_ranges, running
 from meshwork.graph import Graph, checkpointed, dropped, measured
-from meshwork.operators import motifs, traversal
+from meshwork.operators import motifs, sweeps, traversal
 
 #: Small graphs by name, as edges among 0, 1, 2, ...
 PATTERNS: dict[str, tuple[tuple[int, int], ...]] = {
@@ -179,11 +179,15 @@ def eccentricities(graph: Graph) -> DataFrame:
 
 
 def reach(graph: Graph) -> tuple[int, DataFrame]:
-    """The number of vertices, and hops, block, ends and pairs: how many pairs are so many hops apart, and which sources of a block still meet new vertices there.
+    """The number of vertices, and hops, pairs (how many are so many hops apart) and ended (of how many vertices the farthest is so far).
 
-    Sources come in blocks of 64, one bit each, so a vertex holds one row for each block
-    that reaches it and a round is an or over neighbours; no pair becomes a row.
+    A graph that a task can hold is swept by groups of sources. Of a larger one sources
+    come in blocks of 64, one bit each, so a vertex holds one row for each block that
+    reaches it and a round is an or over neighbours; no pair becomes a row.
     """
+    sweep = sweeps.Sweep(graph, graph.ids(), "id")
+    if sweep.held:
+        return sweep.n, checkpointed(sweeps.reached(sweep))
     step = checkpointed(graph.adjacency().where("u <> v").select("u", "v").distinct())
     order = [F.col("id")]
     ids = running(in_ranges(graph.ids(), *order), order, F.lit(1), "at").select("id", F.floor((F.col("at") - 1) / 64).alias("block"), F.expr("shiftleft(1L, CAST((at - 1) % 64 AS INT))").alias("bits"))
@@ -201,15 +205,16 @@ def reach(graph: Graph) -> tuple[int, DataFrame]:
             break
         told.append(checkpointed(fresh.groupBy("block").agg(F.lit(hops).alias("hops"), F.bit_or("bits").alias("ends"), F.sum(F.bit_count("bits").cast("long")).alias("pairs"))))
     none = ids.limit(0).select("block", F.lit(0).alias("hops"), F.col("bits").alias("ends"), F.lit(0).cast("long").alias("pairs"))
-    return n, reduce(DataFrame.unionByName, told, none)
+    each = reduce(DataFrame.unionByName, told, none)
+    bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
+    far = each.select("block", "hops", "ends", bit).where("shiftright(ends, bit) & 1 = 1").groupBy("block", "bit").agg(F.max("hops").alias("hops"))
+    return n, each.select("hops", "pairs", F.lit(0).cast("long").alias("ended")).unionByName(far.select("hops", F.lit(0).cast("long").alias("pairs"), F.lit(1).cast("long").alias("ended")))
 
 
 def distances_row(graph: Graph) -> DataFrame:
     """One row: diameter, radius and mean distance over the pairs that reach each other."""
     n, told = reach(graph)
-    bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
-    far = told.select("block", "hops", "ends", bit).where("shiftright(ends, bit) & 1 = 1").groupBy("block", "bit").agg(F.max("hops").alias("e"))
-    ends = far.agg(F.max("e").alias("most"), F.min("e").alias("least"), F.count("*").alias("sources"))
+    ends = told.where("ended > 0").agg(F.max("hops").alias("most"), F.min("hops").alias("least"), F.coalesce(F.sum("ended"), F.lit(0)).alias("sources"))
     mean = told.agg((F.sum(F.col("hops") * F.col("pairs")) / F.sum("pairs")).alias("mean_distance"))
     # A source that reaches nobody has no row; its farthest vertex is itself.
     some = F.lit(0 if n else None).cast("int")
