@@ -1,5 +1,7 @@
 """Shortest paths from many sources at once, as products of tiles: Brandes' levels out and back, with no row for a pair of vertices.
 
+Graphs that a task can hold go by `sweeps`; what follows is for larger ones.
+
 Vertices are numbered by component and id, so that what is connected lies together. A
 tile (s, b) holds the paths from 64 sources to 1024 vertices, of which only the entries
 that a level has are written; an edge tile (b, c) holds the edges between two blocks.
@@ -16,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.functions.statistics import in_ranges, running
 from meshwork.graph import Graph, checkpointed, dropped, measured, sized
+from meshwork.operators import sweeps
 from meshwork.operators.traversal import components
 
 #: Sources and vertices of a tile.
@@ -28,12 +30,6 @@ PART_TILES = 16
 _TILE = "s long, b long, at binary, value binary"
 
 
-def _numbered(graph: Graph) -> DataFrame:
-    """id, n (from 0, by component and id), and the component."""
-    order = [F.col("component"), F.col("id")]
-    return checkpointed(running(in_ranges(components(graph), *order), order, F.lit(1), "n").select("id", (F.col("n") - 1).alias("n")))
-
-
 def _sparse(dense: np.ndarray) -> tuple[bytes, bytes]:
     """Places and values of a tile's entries that are not zero."""
     at = np.flatnonzero(dense)
@@ -107,9 +103,10 @@ def _summed(products: DataFrame, known: DataFrame, step, schema: str, tiles: int
 
 def betweenness(graph: Graph, sources: DataFrame) -> DataFrame:
     """id and the sum over sources of the share of shortest paths to other vertices that lead through it, of every vertex."""
-    number = _numbered(graph)
-    arcs = graph.adjacency().where("u <> v").select("u", "v").distinct()
-    ends = arcs.join(number.select(F.col("id").alias("u"), F.col("n").alias("x")), "u").join(number.select(F.col("id").alias("v"), F.col("n").alias("y")), "v")
+    sweep = sweeps.Sweep(graph, components(graph), "component", "id")
+    if sweep.held:
+        return checkpointed(sweeps.betweenness(sweep, sources))
+    number, ends = sweep.number, sweep.ends
     block, place = (lambda c: F.floor(F.col(c) / VERTICES)), (lambda c: (F.col(c) % VERTICES).cast("int"))
     pair = (place("x") * VERTICES + place("y")).alias("e")
 

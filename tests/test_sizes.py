@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshwork import graph as model
 from meshwork.functions import statistics
 from meshwork.graph import Graph
-from meshwork.operators import certificates, communities, expansion, flow, motifs, spectral, tiles, traversal
+from meshwork.operators import certificates, communities, expansion, flow, motifs, spectral, sweeps, tiles, traversal
 from meshwork.plans import analyze, classes
 
 
@@ -151,6 +151,33 @@ def test_betweenness_makes_no_row_of_a_pair(spark, monkeypatch):
     assert all(math.isclose(got[v], want[v], abs_tol=1e-9) for v in want) and len(got) == 20
 
 
+def test_no_level_becomes_a_table(spark, monkeypatch):
+    written = []
+    for module in (tiles, classes, sweeps):
+        monkeypatch.setattr(module, "checkpointed", lambda df: written.append(1) or model.checkpointed(df), raising=False)
+        monkeypatch.setattr(module, "measured", lambda df, *a: written.append(1) or model.measured(df, *a))
+    path = Graph(spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert tuple(classes.distances_row(path).first())[:2] == (40, 20)
+    assert {r.id: r.betweenness for r in expansion.betweenness(path, path.ids()).collect()} == {k: 2.0 * k * (40 - k) for k in range(41)}
+    assert len(written) < 10  # one a level would be 80 and more
+
+
+def test_sweeps_equal_tiles_and_rows_of_bits(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(sweeps, "PULLED", 5)
+    monkeypatch.setattr(sweeps, "CELLS", 300)
+    for directed, density in ((False, 0.3), (True, 0.06)):
+        arcs = [(a, b) for a in range(24) for b in range(24) if a != b and rng.random() < density]
+        g = Graph(spark.createDataFrame(arcs, "src long, dst long"), spark.range(26), directed)
+        sources, found = spark.range(0, 26, 3), {}
+        for held in (1 << 23, -1):
+            monkeypatch.setattr(sweeps, "HELD_ARCS", held)
+            found[held] = {r.id: r.betweenness for r in expansion.betweenness(g, sources).collect()}, tuple(classes.distances_row(g).first())
+        (swept, far), (tiled, also) = found.values()
+        assert all(math.isclose(swept[v], tiled[v], abs_tol=1e-9) for v in range(26)) and len(swept) == 26
+        assert far[:2] == also[:2] and math.isclose(far[2], also[2])
+
+
 def test_forced_arcs_are_tied_to_a_pivot(spark, monkeypatch):
     ties = []
     monkeypatch.setattr(certificates, "min_labels", lambda e: ties.append(e.count()) or traversal.min_labels(e))
