@@ -178,6 +178,25 @@ def test_sweeps_equal_tiles_and_rows_of_bits(spark, monkeypatch):
         assert far[:2] == also[:2] and math.isclose(far[2], also[2])
 
 
+def test_rounds_broadcast_few_rows(spark, monkeypatch):
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(model, "LOOP_ROWS", 5)
+    ring = Graph(spark.range(12).select(F.col("id").alias("src"), ((F.col("id") + 1) % 12).alias("dst")))
+    seeds = spark.createDataFrame([(1, 0), (1, 6)], "query int, seed long")
+    for order in ("adaptive", "retrospective"):
+        assert expansion.expand(ring, seeds, order).count() == 24
+    assert max(sent) <= 5
+
+
+def test_pairs_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(certificates, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or model.checkpointed(df))
+    ring = Graph(spark.range(7).select(F.col("id").alias("src"), ((F.col("id") + 1) % 7).alias("dst")))
+    assert certificates.asteroidal_triples(ring).count() == 7
+    assert any("strategy=merge" in p for p in plans)
+
+
 def test_forced_arcs_are_tied_to_a_pivot(spark, monkeypatch):
     ties = []
     monkeypatch.setattr(certificates, "min_labels", lambda e: ties.append(e.count()) or traversal.min_labels(e))
